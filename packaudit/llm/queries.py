@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packaudit.llm import bpe, packing, token_counts
+from packaudit.llm import bpe, matroska, packing, rules, token_counts
 from packaudit.llm.common import table
 
 
@@ -18,6 +18,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(sf_dir, spark, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(sf_dir, spark, "documents"), vocabulary())
     return coded.select(
@@ -32,14 +36,30 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(sf_dir, spark, "documents"), vocabulary())
 
 
+def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = matroska.media_columns(table(sf_dir, spark, "documents"))
+    return media.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(sf_dir, spark, "documents"), vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_rules": op4_rules,
         "op6_bpe": op6_bpe,
         "op8_token_counts": op8_token_counts,
+        "op9_matroska": op9_matroska,
         "op10_packing": op10_packing,
     }
 
