@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at a time.
@@ -30,10 +30,19 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared scratch folder and read again: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id: larger than others.
+NO_ID = (1 << 63) - 1
+
+
+def real_id(column: str = "_id") -> Column:
+    """The id as it was in the table."""
+    return F.when(F.col(column) != NO_ID, F.col(column))
+
+
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (_id, _h, _t): id, a hash of the text, and the text with null as empty.
 
@@ -42,7 +51,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     return docs.select(
-        F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1)).alias("_id"),
+        F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("_id"),
         F.xxhash64(text).alias("_h"),
         text.alias("_t"),
     )

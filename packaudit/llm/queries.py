@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packaudit.llm import bpe, matroska, packing, rules, token_counts
-from packaudit.llm.common import table
+from packaudit.llm import bpe, exact_spans, matroska, packing, rules, token_counts, window_index
+from packaudit.llm.common import real_id, table, units
 
 
 def vocabulary() -> str:
@@ -18,6 +18,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = window_index.without_seen_windows(units(table(sf_dir, spark, "documents")))
+    return kept.select(real_id().alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(sf_dir, spark, "documents"))
 
@@ -32,6 +37,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = exact_spans.stripped(units(table(sf_dir, spark, "documents")))
+    return kept.select(real_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(sf_dir, spark, "documents"), vocabulary())
 
@@ -56,8 +66,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_window_dedup": op2_window_dedup,
         "op4_rules": op4_rules,
         "op6_bpe": op6_bpe,
+        "op7_suffix_array": op7_suffix_array,
         "op8_token_counts": op8_token_counts,
         "op9_matroska": op9_matroska,
         "op10_packing": op10_packing,
