@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packaudit.llm import bpe, exact_spans, matroska, packing, rules, token_counts, window_index
+from packaudit.llm import bpe, exact_spans, matroska, near_dedup, packing, rules, token_counts, window_index
 from packaudit.llm.common import real_id, table, units
 
 
@@ -23,6 +23,16 @@ def op2_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(real_id().alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(units(table(sf_dir, spark, "documents")))
+    return found.select(
+        real_id().alias("doc_id"),
+        "n_shingles",
+        real_id("component").alias("component_id"),
+        (F.col("_id") == F.col("component")).alias("kept"),
+    )
+
+
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(sf_dir, spark, "documents"))
 
@@ -67,6 +77,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_window_dedup": op2_window_dedup,
+        "op3_near_dedup": op3_near_dedup,
         "op4_rules": op4_rules,
         "op6_bpe": op6_bpe,
         "op7_suffix_array": op7_suffix_array,
