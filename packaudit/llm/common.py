@@ -43,18 +43,20 @@ def real_id(column: str = "_id") -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column))
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (_id, _h, _t): id, a hash of the text, and the text with null as empty.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with _id and _h: the id (null: the largest id) and a hash of the text (null: empty).
 
-    (_id, _h) is the key of joins: repeated rows agree in every result, and rows that share
-    an id but not the text stay apart. A null id becomes the largest id.
+    The two are the key of joins: repeated rows agree in every result, and rows that share an id
+    but not the text stay apart.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("_id"),
-        F.xxhash64(text).alias("_h"),
-        text.alias("_t"),
-    )
+    return docs.withColumns({"_id": F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), "_h": F.xxhash64(text)})
+
+
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (_id, _h, _t): keys as in keyed(), and the text with null as empty."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_t"))
 
 
 def table(sf_dir: str, spark: SparkSession, name: str) -> DataFrame:

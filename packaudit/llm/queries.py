@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packaudit.llm import bpe, exact_spans, matroska, near_dedup, packing, rules, token_counts, window_index
-from packaudit.llm.common import real_id, table, units
+from packaudit.llm import bpe, exact_spans, kneser_ney, matroska, near_dedup, packing, rules, token_counts, window_index
+from packaudit.llm.common import keyed, real_id, table, units
 
 
 def vocabulary() -> str:
@@ -18,6 +18,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(sf_dir, spark, "documents")
+    judged = kneser_ney.quality(documents, table(sf_dir, spark, "labels"))
+    rows = keyed(documents.select("doc_id", "text")).select("_id", "_h")
+    found = rows.join(judged.distinct(), ["_id", "_h"], "left")
+    return found.select(real_id().alias("doc_id"), "lang", "n_bytes", "perplexity", "threshold", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 def op2_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = window_index.without_seen_windows(units(table(sf_dir, spark, "documents")))
     return kept.select(real_id().alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -76,6 +84,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_kneser_ney": op1_kneser_ney,
         "op2_window_dedup": op2_window_dedup,
         "op3_near_dedup": op3_near_dedup,
         "op4_rules": op4_rules,
