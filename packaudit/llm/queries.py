@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packaudit.llm import bpe, exact_spans, kneser_ney, matroska, near_dedup, packing, rules, token_counts, window_index
+from packaudit.llm import bpe, exact_spans, html_extract, kneser_ney, matroska, near_dedup, packing, rules, token_counts, window_index
 from packaudit.llm.common import keyed, real_id, table, units
 
 
@@ -45,6 +45,11 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(sf_dir, spark, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(sf_dir, spark, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(sf_dir, spark, "documents"), vocabulary())
     return coded.select(
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_window_dedup": op2_window_dedup,
         "op3_near_dedup": op3_near_dedup,
         "op4_rules": op4_rules,
+        "op5_html": op5_html,
         "op6_bpe": op6_bpe,
         "op7_suffix_array": op7_suffix_array,
         "op8_token_counts": op8_token_counts,
