@@ -6,7 +6,7 @@ rest of p without the two of them being merged differently when they stand side
 So the distinct words of a batch are put into a trie, and one depth-first walk hands each
 node the last token of every prefix above it; a prefix that many words share is encoded
 once. The words' ids are then read back along the last tokens. Texts are looked up word by
-word in what the walk found, which each task keeps up to `CACHE_WORDS` entries.
+word in what the walk found, which each task keeps up to a bound.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packaudit.llm.common import slices
+from packaudit.llm.common import SLICE_BYTES, slices
 
-#: Entries that a task keeps before it starts anew.
-CACHE_WORDS = 250_000
+#: Pieces of text that a task keeps before it starts anew: ids only (about 200 bytes each), or with names.
+PIECES, NAMED_PIECES = 700_000, 250_000
 
 
 def byte_symbols() -> list[str]:
@@ -58,9 +59,13 @@ class TrieEncoder:
             if self.made[k] not in self.parts:
                 self.parts[self.made[k]] = k
                 self.born[self.made[k]] = r
-        self.symbols = byte_symbols()
+        self.middle = byte_symbols()
+        self.final = [s + self.suffix for s in self.middle]
         # words are looked for in pieces without white space, so \s needs no mention there
         self.word_parts = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", ""))
+        pattern = tokenizers.Regex(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.split_words = tokenizers.pre_tokenizers.Split(pattern, "removed", invert=True)
+        self.normalizer = tokenizers.Tokenizer.from_file(path).normalizer
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         #: Tokens by their symbols, last symbol first: a trie to find all suffix tokens of a prefix.
         self.ends: dict = {}
@@ -109,39 +114,43 @@ class TrieEncoder:
             else:  # the same merge further left comes first
                 limit, right = b + 1, self.parts[right][0]
 
-    def words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each word: symbols into a trie, one depth-first walk with last-token states."""
+    def words(self, words: Iterable[str]) -> list[tuple[str, list[int]]]:
+        """Words with their ids: symbols into a trie, one depth-first walk with last-token states."""
         root: dict = {}
-        symbols, suffix = self.symbols, self.suffix
+        middle, final = self.middle, self.final
         for w in words:
             at = root
-            for b in (code := w.encode())[:-1]:
-                at = at.setdefault(symbols[b], {})
-            at.setdefault(symbols[code[-1]] + suffix, {})[""] = w
-        out: dict[str, tuple[int, ...]] = {}
-        longer, single, follows = self.longer.get, self.vocab, self.follows
+            code = w.encode()
+            for b in code[:-1]:
+                u = middle[b]
+                at = at[u] if u in at else at.setdefault(u, {})
+            at[final[code[-1]]] = w
+        out: list[tuple[str, list[int]]] = []
+        longer, single, follows, state_of = self.longer.get, self.vocab, self.follows, self._state
         # a state: last token, the state without it, the state without the last symbol, that symbol
         start = (-1, None, None, "")
-        stack = [(start, u, child) for u, child in root.items()]
+        stack = [(start, root)]
         while stack:
-            up, u, node = stack.pop()
+            up, node = stack.pop()
             t, rest = up[0], up[1]
-            grown = longer((t, u))
-            if grown is not None and (rest is start or follows(rest[0], grown)):
-                state = (grown, rest, up, u)
-            elif up is start or follows(t, single[u]):
-                state = (single[u], up, up, u)
-            else:
-                state = self._state(up, u, start)
-            for v, child in node.items():
-                if v:
-                    stack.append((state, v, child))
+            for u, child in node.items():
+                grown = longer((t, u))
+                if grown is not None and (rest is start or follows(rest[0], grown)):
+                    state = (grown, rest, up, u)
+                elif up is start or follows(t, single[u]):
+                    state = (single[u], up, up, u)
+                else:
+                    state = state_of(up, u, start)
+                if type(child) is dict:
+                    stack.append((state, child))
                 else:
-                    ids, at = [], state
+                    ids = [state[0]]
+                    at = state[1]
                     while at is not start:
                         ids.append(at[0])
                         at = at[1]
-                    out[child] = tuple(ids[::-1])
+                    ids.reverse()
+                    out.append((child, ids))
         return out
 
     def _state(self, up: tuple, u: str, start: tuple) -> tuple:
@@ -167,10 +176,18 @@ class TrieEncoder:
         return text.split()
 
     def parts_of(self, piece: str) -> list[str]:
-        """The words of a piece, normalised as the vocabulary file says."""
-        if not piece.isascii():
-            # one character at a time: a final sigma is a sigma as others
-            piece = unicodedata.normalize("NFC", piece).replace("\u03a3", "\u03c3")
+        """The words of a piece, normalised as the vocabulary file says.
+
+        Beyond Latin letters, versions of Unicode differ in what is a letter: there the library
+        that defines the result says what the words are.
+        """
+        if piece.isascii():
+            if (head := piece[:-1]).isalpha() and not piece[-1].isalnum():
+                return [head.lower(), piece[-1]]
+        else:
+            if max(piece) > "\u024f":
+                return [w for w, _ in self.split_words.pre_tokenize_str(self.normalizer.normalize_str(piece))]
+            piece = unicodedata.normalize("NFC", piece)
         piece = piece.lower()
         return [piece] if piece.isalpha() else self.word_parts.findall(piece)
 
@@ -189,7 +206,6 @@ class Cache:
         self.ids: dict[str, bytes] = {}
         self.names: dict[str, str] = {}
         self.old: tuple[dict, dict] = {}, {}
-        self.known: dict[str, tuple[int, ...]] = {}
 
     def learn(self, texts: list[list[str]], named: bool = False) -> None:
         """Encodes the distinct new pieces of these texts together."""
@@ -200,28 +216,39 @@ class Cache:
             gc.enable()
 
     def _learn(self, texts: list[list[str]], named: bool) -> None:
-        if len(self.ids) > CACHE_WORDS:
-            self.old = self.ids, self.names
-            self.ids, self.names, self.known = {}, {}, {}
-        new = set().union(*texts).difference(self.names if named else self.ids)
-        for p in new & (self.old[named].keys()):
-            self.ids[p] = self.old[0][p]
-            if named:
-                self.names[p] = self.old[1][p]
-        new -= self.old[named].keys()
-        special, known, encoder = self.encoder.special, self.known, self.encoder
-        parts = {p: encoder.parts_of(p) for p in new if p not in special}
-        known |= encoder.words({w for ws in parts.values() for w in ws}.difference(known))
-        ids = {p: known[ws[0]] if len(ws) == 1 else tuple([i for w in ws for i in known[w]]) for p, ws in parts.items()}
-        ids |= {p: (special[p],) for p in new & special.keys()}
-        for p, own in ids.items():
-            self.ids[p] = PACK[len(own)](*own) if len(own) < len(PACK) else struct.pack(f"<{len(own)}I", *own)
+        if len(self.ids) > (NAMED_PIECES if named else PIECES):
+            self.old, self.ids, self.names = (self.ids, self.names), {}, {}
+        have = self.names if named else self.ids
+        new = set().union(*texts).difference(have)
+        if self.old[named]:
+            again = new & self.old[named].keys()
+            for p in again:
+                self.ids[p] = self.old[0][p]
+                if named:
+                    self.names[p] = self.old[1][p]
+            new -= again
+        # a word is a piece of its own, with the same ids
+        ids, special, parts_of = self.ids, self.encoder.special, self.encoder.parts_of
+        words, parts = [], {}
+        for p in new:
+            if p.isascii() and p.islower() and p.isalpha():
+                words.append(p)
+            elif p in special:
+                ids[p] = struct.pack("<I", special[p])
+            else:
+                parts[p] = parts_of(p)
+        words = {w for ws in parts.values() for w in ws}.union(words).difference(ids)
+        for w, own in self.encoder.words(words):
+            ids[w] = PACK[len(own)](*own) if len(own) < len(PACK) else struct.pack(f"<{len(own)}I", *own)
+        for p, ws in parts.items():
+            ids[p] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
         if named:
-            names = encoder.names
-            for p, own in ids.items():
-                self.names[p] = " ".join([names[i] for i in own])
+            names = self.encoder.names
+            for p in new:
+                self.names[p] = " ".join([names[i] for (i,) in UNPACK(ids[p])])
 
 
+UNPACK = struct.Struct("<I").iter_unpack
 PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
@@ -234,7 +261,7 @@ def cache_for(path: str) -> Cache:
 def pieces_of(batches: Iterator[pa.RecordBatch], path: str, named: bool = False) -> Iterator[tuple[pa.RecordBatch, Cache, list[list[str]]]]:
     """Slices of the batches, the cache that knows all their pieces, and each text's pieces."""
     cache = cache_for(path)
-    for batch, texts in slices(batches):
+    for batch, texts in slices(batches, limit=4 * SLICE_BYTES):
         cut = [cache.encoder.pieces(t.decode()) for t in texts]
         cache.learn(cut, named)
         yield batch, cache, cut
