@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at a time.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -59,6 +60,16 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_t"))
 
 
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_row, _id, _h): all columns of docs as one struct, beside the key, so that no names clash."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    return rows.select(
+        "_row",
+        F.coalesce(F.col("_row")[id_col].cast("long"), F.lit(NO_ID)).alias("_id"),
+        F.xxhash64(F.coalesce(F.col("_row")[text_col].cast("string"), F.lit(""))).alias("_h"),
+    )
+
+
 def table(sf_dir: str, spark: SparkSession, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,15 +77,16 @@ def table(sf_dir: str, spark: SparkSession, name: str) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "_t", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Pieces of the batches with at most `limit` bytes of text (one row at least), and their texts as UTF-8."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()
+        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
+        lengths = pc.binary_length(texts).to_pylist()
         at = size = 0
-        for i, text in enumerate(texts):
-            if i > at and size + len(text) > limit:
-                yield batch.slice(at, i - at), texts[at:i]
+        for i, n in enumerate(lengths):
+            if i > at and size + n > limit:
+                yield batch.slice(at, i - at), texts.slice(at, i - at).to_pylist()
                 at, size = i, 0
-            size += len(text)
-        if at < len(texts):
-            yield batch.slice(at), texts[at:]
+            size += n
+        if at < len(lengths):
+            yield batch.slice(at), texts.slice(at).to_pylist()
 
 
 def starts_of(lengths: np.ndarray) -> np.ndarray:

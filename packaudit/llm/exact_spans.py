@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packaudit.llm.anchors import BYTES, Rolling, Shape, anchor_rows
-from packaudit.llm.common import saved, starts_of, units
+from packaudit.llm.common import saved, slices, starts_of
 from packaudit.llm.suffix_array import common_prefixes, suffix_array
 
 #: Groups with more different surroundings than this are compared by window hashes instead.
@@ -53,12 +54,12 @@ def surroundings(rows: DataFrame, rest: DataFrame, shape: Shape) -> DataFrame:
     texts = by_text.join(rows, ["_id", "_h"]).select("_id", "_h", "_runs", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                text, out = row["_t"].encode(), []
-                for r in row["_runs"]:
+        for batch, own in slices(batches):
+            for i, h, runs, text in zip(batch.column(0), batch.column(1), batch.column(2), own, strict=True):
+                out, i, h = [], i.as_py(), h.as_py()
+                for r in runs.as_py():
                     at, lo, end = r["anchor"], r["lo"], r["hi"] + shape.width
-                    out.append((r["core"], r["n"], row["_id"], row["_h"], lo, r["hi"], at, text[lo:at], text[at + shape.core : end]))
+                    out.append((r["core"], r["n"], i, h, lo, r["hi"], at, text[lo:at], text[at + shape.core : end]))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=_NAMES)
 
@@ -202,74 +203,110 @@ def _compared(table: pa.Table, shape: Shape) -> Iterator[pa.RecordBatch]:
         )
 
 
+#: Windows that a band of in_large_groups() takes together.
+BAND = 32
+
+
 def in_large_groups(found: DataFrame, shape: Shape) -> DataFrame:
-    """The same spans for groups of any size: each window's hash beside its core, counted by Spark.
+    """The same spans for groups of any size, counted by Spark.
 
-    A window that occurs in two rows is one of more than one text place; rows with n > 1 count as two.
+    Windows of a row that begin at most BAND bytes apart form a band; what all of them share, all
+    but BAND bytes of a window, must occur in another row, or none of them does. Only bands for
+    which it does are taken apart, and each window's hash beside its core is counted. Rows with
+    n > 1 count as more than one place.
     """
+    width = shape.width - shape.core
+    columns = ["core", "_band", "_key", "n", "_id", "_h", "lo", "_back", "bytes"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            out: list[tuple] = []
+            for core, n, i, h, lo, hi, at, left, right in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
+                data, low, high = left + right, at - hi, at - lo
+                for band in range(low // BAND, high // BAND + 1):
+                    # these windows begin between `near` and `far` bytes before the anchor
+                    near, far = max(low, band * BAND), min(high, band * BAND + BAND - 1)
+                    start = len(left) - far
+                    shared = data[len(left) - band * BAND : len(left) + width - (band * BAND + BAND - 1)]
+                    key = digest(shared) - (1 << 63)
+                    out.append((core, band, key, n, i, h, at - far, far, data[start : len(left) - near + width]))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=columns)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lefts, rights = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            lo, hi, at = (batch.column(c).to_numpy() for c in ("lo", "hi", "anchor"))
-            counts = hi - lo + 1
-            # the core is the same for all rows of the group: it is left out of the hash
-            data = np.frombuffer(b"".join(x for p in zip(lefts, rights, strict=True) for x in p), np.uint8).astype(np.uint64) + np.uint64(1)
-            begins = starts_of(np.array([len(a) + len(b) for a, b in zip(lefts, rights, strict=True)], np.int64))
-            row = np.repeat(np.arange(len(lefts)), counts)
-            start = begins[row] + np.arange(int(counts.sum())) - starts_of(counts)[row]
-            hashes = Rolling(data).of(start, start + shape.width - shape.core)
-            window = lo[row] + np.arange(len(row)) - starts_of(counts)[row]
+            texts = batch.column("bytes").to_pylist()
+            lo, back = (batch.column(c).to_numpy() for c in ("lo", "_back"))
+            counts = np.array([len(t) - width + 1 for t in texts], np.int64)
+            begins = starts_of(np.array([len(t) for t in texts], np.int64))
+            row = np.repeat(np.arange(len(texts)), counts)
+            step = np.arange(len(row)) - starts_of(counts)[row]
+            data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
+            hashes = Rolling(data).of(begins[row] + step, begins[row] + step + width)
             of = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("core").take(of),
                     pa.array(hashes.view(np.int64)),
-                    pa.array((at[row] - window).astype(np.int32)),
-                    batch.column("n").take(of),
-                    batch.column("_id").take(of),
-                    batch.column("_h").take(of),
-                    pa.array(window.astype(np.int32)),
+                    pa.array((back[row] - step).astype(np.int32)),
+                    *(batch.column(c).take(of) for c in ("n", "_id", "_h")),
+                    pa.array((lo[row] + step).astype(np.int32)),
                 ],
                 names=["core", "_w", "_back", "n", "_id", "_h", "lo"],
             )
 
-    windows = found.mapInArrow(run, "core long, _w long, _back int, n long, _id long, _h long, lo int")
-    twice = windows.groupBy("core", "_w", "_back").agg(F.sum("n").alias("_n")).where("_n > 1").drop("_n")
-    single = windows.where("n = 1").join(twice, ["core", "_w", "_back"])
+    banded = found.select(_NAMES).mapInArrow(bands, "core long, _band int, _key long, n long, _id long, _h long, lo int, _back int, bytes binary")
+    several = banded.groupBy("core", "_band", "_key").agg(F.sum("n").alias("_n")).where("_n > 1").drop("_n")
+    each = banded.join(several, ["core", "_band", "_key"]).select(columns).mapInArrow(windows, "core long, _w long, _back int, n long, _id long, _h long, lo int")
+    twice = each.groupBy("core", "_w", "_back").agg(F.sum("n").alias("_n")).where("_n > 1").drop("_n")
+    single = each.where("n = 1").join(twice, ["core", "_w", "_back"])
     return single.select("_id", "_h", "lo", F.col("lo").alias("hi"))
 
 
-def stripped(rows: DataFrame, shape: Shape = BYTES) -> DataFrame:
-    """(_id, _h, n_bytes, n_removed, n_spans, kept) of each row of units(): kept has the bytes that are left."""
+def stripped(rows: DataFrame, shape: Shape = BYTES, whole_characters: bool = False) -> DataFrame:
+    """(_id, _h, n_bytes, n_removed, n_spans, kept) of each row of units(): kept has the bytes that are left.
+
+    With whole_characters, a character stays if one of its bytes does. A null text counts as
+    empty; a text that is shorter than a string to look for stays as it is. Repeated rows are
+    other places: from 400 bytes on, they lose everything.
+    """
     spans = repeated_spans(rows, shape).groupBy("_id", "_h").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     whole = rows.join(spans, ["_id", "_h"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in slices(batches):
             out: list[tuple] = []
-            for i, h, text, found in zip(*(batch.column(c) for c in ("_id", "_h", "_t", "_spans")), strict=True):
-                data, runs, end, kept = text.as_py().encode(), 0, 0, []
-                removed, since = 0, -1
+            for i, h, data, found in zip(batch.column(0), batch.column(1), texts, batch.column(3), strict=True):
+                gone: list[list[int]] = []
                 for lo, hi in sorted((s["lo"], s["hi"] + shape.width) for s in found.as_py() or ()):
-                    if lo > end or since < 0:
-                        kept.append(data[end:lo])
-                        runs += 1
-                        since, end, removed = lo, hi, removed + hi - lo
-                    elif hi > end:
-                        removed += hi - end
-                        end = hi
-                kept.append(data[end:])
-                out.append((i.as_py(), h.as_py(), len(data), removed, runs, b"".join(kept)))
-                if len(out) == 500:
-                    yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
+                    if gone and lo <= gone[-1][1]:
+                        gone[-1][1] = max(gone[-1][1], hi)
+                    else:
+                        gone.append([lo, hi])
+                if whole_characters:
+                    gone = [x for x in (_characters(data, *g) for g in gone) if x[0] < x[1]]
+                at, kept = 0, []
+                for lo, hi in gone:
+                    kept.append(data[at:lo])
+                    at = hi
+                kept.append(data[at:])
+                out.append((i.as_py(), h.as_py(), len(data), sum(b - a for a, b in gone), len(gone), b"".join(kept)))
+            yield _batch(out)
 
     return whole.select("_id", "_h", "_t", "_spans").mapInArrow(run, "_id long, _h long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def _characters(data: bytes, lo: int, hi: int) -> list[int]:
+    """The part of a stretch of bytes that consists of whole characters."""
+    while lo < hi and data[lo] & 0xC0 == 0x80:
+        lo += 1
+    while lo < hi < len(data) and data[hi] & 0xC0 == 0x80:
+        hi -= 1
+    return [lo, hi]
+
+
 def _batch(out: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     names = ["_id", "_h", "n_bytes", "n_removed", "n_spans", "kept"]

@@ -117,14 +117,14 @@ def _elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, i
         element, at = _vint(data, at, True)
         size, at = _vint(data, at, False)
         stop = end if size < 0 else at + size
-        if stop > end:
-            raise ValueError(f"the element at byte {start} ends beyond its parent")
         if size < 0 and element == CLUSTER:  # ends where the next top-level element begins
             stop = at
             while stop < end and not any(data.startswith(_id(x), stop) for x in (CLUSTER, CUES, INFO, TRACKS)):
                 _, body = _vint(data, stop, True)
                 n, body = _vint(data, body, False)
                 stop = body + n
+        if stop > end:
+            raise ValueError(f"the element at byte {start} ends beyond its parent")
         yield element, start, at, stop
         at = stop
 

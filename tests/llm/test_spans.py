@@ -82,6 +82,11 @@ def test_words_in_short_windows(spark):
     check_words(spark, mutated(spark), Shape(width=8, reach=5, gram=2), 3)
 
 
+def test_words_in_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(window_index, "LARGE", 1)
+    check_words(spark, mutated(spark), Shape(width=8, reach=5, gram=2), 1)
+
+
 def test_bytes_as_dealt(spark):
     check_bytes(spark, frame(spark), exact_spans.BYTES)
 
@@ -92,6 +97,7 @@ def test_bytes_in_short_windows(spark, monkeypatch):
 
 def test_bytes_in_large_groups(spark, monkeypatch):
     monkeypatch.setattr(exact_spans, "LARGE", 1)
+    monkeypatch.setattr(exact_spans, "BAND", 4)
     check_bytes(spark, mutated(spark), Shape(width=24, reach=14, gram=5))
 
 
