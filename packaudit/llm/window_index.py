@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packaudit.llm.anchors import WORDS, Shape, anchor_rows
-from packaudit.llm.common import saved, scratch
+from packaudit.llm.common import saved, scratch, slices, starts_of
 
 #: Runs of the index that may stand side by side before they are merged into one.
 RUNS = 2
@@ -92,40 +92,90 @@ def seen_windows(rows: DataFrame, shape: Shape = WORDS, batches: int = BATCHES)
     return reduce(DataFrame.unionByName, seen).unionByName(_verified(rows, anchors, index.compact(), shape))
 
 
+#: Cores with more different surroundings than this are compared by Spark, window by window.
+LARGE = 256
+
+
 def _verified(rows: DataFrame, anchors: DataFrame, index: DataFrame, shape: Shape) -> DataFrame:
-    several = saved(index.groupBy("core").agg(F.count("*").alias("_k")).where("_k > 1").select("core"), "cores")
-    firsts = saved(index.join(several, "core").select("core", "ctx", F.col("first").alias("_id")), "firsts")
-    places = anchors.join(firsts, ["core", "ctx", "_id"]).select("_id", "_h", "lo", "hi")
-    by_text = places.groupBy("_id", "_h").agg(F.collect_set(F.struct("lo", "hi")).alias("_runs"))
-    windows = by_text.join(rows, ["_id", "_h"]).select("_id", "_h", "_runs", "_t").mapInArrow(_window_rows(shape), "_id long, _h long, lo int, w1 long, w2 long")
-    windows = saved(windows, "windows")
-    first = windows.groupBy("w1", "w2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last")
-    late = windows.join(saved(first.select("w1", "w2", "_first"), "repeated"), ["w1", "w2"]).where(F.col("_first") < F.col("_id"))
-    return late.select("_id", "_h", "lo", F.col("lo").alias("hi"))
+    several = saved(index.groupBy("core").agg(F.count("*").alias("k")).where("k > 1"), "cores")
+    firsts = saved(index.join(several, "core").select("core", "ctx", "k", F.col("first").alias("_id")), "firsts")
+    places = saved(anchors.join(firsts, ["core", "ctx", "_id"]).select("core", "k", "_id", "_h", "lo", "hi"), "places")
+    small = _hashed(rows, places.where(F.col("k") <= LARGE), shape).repartition("core").sortWithinPartitions("core")
+    return small.mapInArrow(_late_in_groups, "_id long, _h long, lo int, hi int").unionByName(_late_windows(_hashed(rows, places.where(F.col("k") > LARGE), shape)))
 
 
-def _window_rows(shape: Shape):
-    digest = xxhash.xxh3_128_digest
+def _hashed(rows: DataFrame, places: DataFrame, shape: Shape) -> DataFrame:
+    """(core, _id, _h, lo, windows): 64-bit hashes of the words of all windows of each run, beside the core's."""
+    by_text = places.groupBy("_id", "_h").agg(F.collect_set(F.struct("core", "lo", "hi")).alias("_runs"))
+    digest = xxhash.xxh3_64_digest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            out = []
+            for i, h, runs, text in zip(batch.column(0), batch.column(1), batch.column(2), texts, strict=True):
+                words, i, h = text.split(), i.as_py(), h.as_py()
+                for r in runs.as_py():
+                    lo, hi = r["lo"], r["hi"]
+                    windows = b"".join([digest(b" ".join(words[s : s + shape.width])) for s in range(lo, hi + 1)])
+                    out.append((r["core"], i, h, lo, windows))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["core", "_id", "_h", "lo", "windows"])
+
+    texts = by_text.join(rows, ["_id", "_h"]).select("_id", "_h", "_runs", "_t")
+    return texts.mapInArrow(run, "core long, _id long, _h long, lo int, windows binary")
+
+
+def _late_in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches sorted by core: the windows that a row of the same core with a smaller id has."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        cores = table.column("core").to_numpy()
+        cut = int(np.searchsorted(cores, cores[-1])) if len(cores) else 0  # the last group may go on
+        yield from _late(table.slice(0, cut))
+        held = table.slice(cut).combine_chunks()
+    if held is not None:
+        yield from _late(held)
+
+
+def _late(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    if not table.num_rows:
+        return
+    windows = table.column("windows").to_pylist()
+    counts = np.array([len(w) // 8 for w in windows], np.int64)
+    row = np.repeat(np.arange(len(windows)), counts)
+    hashes = np.frombuffer(b"".join(windows), np.int64)
+    core, ids = table.column("core").to_numpy()[row], table.column("_id").to_numpy()[row]
+    order = np.lexsort((ids, hashes, core))
+    head = np.ones(len(order), bool)
+    head[1:] = (core[order][1:] != core[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+    first = ids[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    late = np.sort(order[ids[order] > first])
+    lo = table.column("lo").to_numpy()[row] + np.arange(len(row)) - starts_of(counts)[row]
+    of = pa.array(row[late])
+    starts = pa.array(lo[late].astype(np.int32))
+    yield pa.RecordBatch.from_arrays([table.column("_id").combine_chunks().take(of), table.column("_h").combine_chunks().take(of), starts, starts], names=["_id", "_h", "lo", "hi"])
+
+
+def _late_windows(hashed: DataFrame) -> DataFrame:
+    """The same for groups of any size, with a row for each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, h, runs, text in zip(*(batch.column(c) for c in ("_id", "_h", "_runs", "_t")), strict=True):
-                words = text.as_py().encode().split()
-                starts = sorted({s for r in runs.as_py() for s in range(r["lo"], r["hi"] + 1)})
-                hashes = np.frombuffer(b"".join([digest(b" ".join(words[s : s + shape.width])) for s in starts]), np.int64).reshape(-1, 2)
-                n = len(starts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, i.as_py())),
-                        pa.array(np.full(n, h.as_py())),
-                        pa.array(starts, pa.int32()),
-                        pa.array(np.ascontiguousarray(hashes[:, 0])),
-                        pa.array(np.ascontiguousarray(hashes[:, 1])),
-                    ],
-                    names=["_id", "_h", "lo", "w1", "w2"],
-                )
-
-    return run
+            windows = batch.column("windows").to_pylist()
+            counts = np.array([len(w) // 8 for w in windows], np.int64)
+            row = np.repeat(np.arange(len(windows)), counts)
+            lo = batch.column("lo").to_numpy()[row] + np.arange(len(row)) - starts_of(counts)[row]
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(of) for c in ("core", "_id", "_h")), pa.array(lo.astype(np.int32)), pa.array(np.frombuffer(b"".join(windows), np.int64))],
+                names=["core", "_id", "_h", "lo", "window"],
+            )
+
+    every = hashed.mapInArrow(run, "core long, _id long, _h long, lo int, window long")
+    first = every.groupBy("core", "window").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
+    late = every.join(first, ["core", "window"]).where(F.col("_first") < F.col("_id"))
+    return late.select("_id", "_h", "lo", F.col("lo").alias("hi"))
 
 
 def without_seen_windows(rows: DataFrame, shape: Shape = WORDS, batches: int = BATCHES) -> DataFrame:
@@ -138,21 +188,17 @@ def without_seen_windows(rows: DataFrame, shape: Shape = WORDS, batches: int = B
     whole = rows.join(spans, ["_id", "_h"], "left").select("_id", "_h", "_t", "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in slices(batches):
             out: list[tuple] = []
-            for i, h, text, spans in zip(*(batch.column(c) for c in ("_id", "_h", "_t", "_spans")), strict=True):
-                words = text.as_py().encode().split()
+            for i, h, text, spans in zip(batch.column(0), batch.column(1), texts, batch.column(3), strict=True):
+                words = text.split()
                 kept, end = [], 0
                 for lo, hi in sorted((s["lo"], s["hi"] + shape.width) for s in spans.as_py() or ()):
                     kept += words[end:lo]
                     end = max(end, hi)
                 kept += words[end:]
                 out.append((i.as_py(), h.as_py(), len(words), len(words) - len(kept), b" ".join(kept).decode()))
-                if len(out) == 500:
-                    yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
+            yield _batch(out)
 
     return whole.mapInArrow(run, "_id long, _h long, n_words long, n_removed long, kept string")
 
