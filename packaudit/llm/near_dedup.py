@@ -185,8 +185,9 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(rows: DataFrame, near: Near = Near()) -> DataFrame:
     """(_id, _h, n_shingles, component) of each row of units(); component is the smallest id that links reach.
 
-    Rows with equal shingle sets are one node. In every bucket of the index, nodes are first
-    compared with the bucket's smallest only, each with the nearest of these; what that confirms
+    Rows with equal shingle sets are one node. A node's weight is the number of nodes in its
+    buckets: the text that a family of copies comes from has the largest. Each node is first
+    compared with one node only, the heaviest that leads one of its buckets; what that confirms
     makes the first components. Then the pairs that share a bucket but not a component are
     compared, all of them, so no link that joins two components is missed, while the pairs inside
     a group of copies are never listed. Texts without words are linked with nothing.
@@ -197,10 +198,13 @@ def near_duplicates(rows: DataFrame, near: Near = Near()) -> DataFrame:
     classes = saved(nodes.select("s1", "s2", "_r.*").withColumn("node", F.monotonically_increasing_id()), "classes")
 
     keys = chunk_keys(classes, near)
-    leads = saved(keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("_m")).where("lead < _m").select("key", "lead"), "leads")
-    shared = saved(keys.join(leads, "key").select("key", "lead", "node"), "shared")
-    stars = shared.where("lead < node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    best = _within(stars, classes, near).groupBy("b").agg(F.min(F.struct("far", "a")).alias("_s")).select(F.col("_s.a").alias("a"), "b")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("_n"), F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a < _b")
+    shared = saved(keys.join(saved(sizes.select("key", "_n"), "sizes"), "key"), "shared")
+    heavy = saved(shared.groupBy("node").agg(F.sum("_n").alias("_w")), "weights")
+    weighed = saved(shared.select("key", "node").join(heavy, "node"), "weighed")
+    leads = saved(weighed.groupBy("key").agg(F.max(F.struct("_w", F.col("node").alias("lead"))).alias("_l")), "leads")
+    best = weighed.join(leads, "key").where("struct(_w, node) < _l").groupBy("node").agg(F.max("_l").alias("_l"))
+    best = best.select(F.col("_l.lead").alias("a"), F.col("node").alias("b"))
     links = saved(confirmed(saved(best, "stars"), classes, rows, near), "links")
     first = saved(components(links), "components")
 
