@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from packaudit.plans import finance, packages, texts
+from packaudit.plans import finance, packages, records, texts
 
-MODULES = (finance, packages, texts)
+MODULES = (finance, packages, texts, records)
 
 
 def queries() -> dict:
