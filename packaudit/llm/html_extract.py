@@ -327,8 +327,10 @@ def variants(html: str, others: list[str], rng: np.random.Generator) -> list[str
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", limit: int = TRAIN_PAGES) -> Forest:
     """A forest from at most `limit` pages with an article element; without any, all nodes are as likely as not."""
     able = pages.where(F.col(html_col).rlike(r"(?i)<article\b") & (F.length(html_col) <= TRAIN_CHARS))
-    chosen = able.select(F.col(html_col).alias("h")).orderBy(F.xxhash64(id_col, html_col), "h").limit(limit)
-    texts = [r["h"] for r in chosen.collect()]
+    # first the hashes alone, so that tasks don't send pages that aren't taken
+    able = able.select(F.col(html_col).alias("h"), F.xxhash64(id_col, html_col).alias("_k"))
+    last = able.select("_k").orderBy("_k").limit(limit).agg(F.max("_k")).first()[0]
+    texts = [] if last is None else sorted(r["h"] for r in able.where(F.col("_k") <= last).limit(limit).collect())
     rng = np.random.default_rng(11)
     others = [t for h in texts for t in re.findall(r"<p>([^<]{20,240})", h)][:2000]
     x, y = [], []
