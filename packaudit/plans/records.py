@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from packaudit.functions.money import cents
 from packaudit.operators import checks, chunks, records
-from packaudit.plans import finance, views
+from packaudit.plans import finance, texts, views  # noqa: F401  texts adds SQL views
 from packaudit.plans.sql_views import VIEWS, money, oracle
 
 QUERIES: dict = {}
