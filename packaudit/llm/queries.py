@@ -102,5 +102,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = r"""words AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS j FROM (
+    SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM (SELECT doc_id, string_split_regex({text}, '[\x20\x09-\x0D]+') AS w FROM documents)) WHERE word <> '')"""
+
+OP2 = (
+    "WITH "
+    + _WORDS.format(text="coalesce(text, '')")
+    + """, windows AS (SELECT doc_id, j, string_agg(word, ' ') OVER w AS s, count(*) OVER w AS n FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+    first AS (SELECT s, min(doc_id) AS f FROM windows WHERE n = 50 GROUP BY s),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(j, j + 50)) AS j FROM windows JOIN first USING (s) WHERE n = 50 AND f < doc_id),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS k FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(n, 0) - coalesce(k, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM words GROUP BY 1) USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+)
+
+OP3 = (
+    "WITH RECURSIVE "
+    + _WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    + """, windows AS (SELECT doc_id, j, string_agg(word, ' ') OVER w AS s, count(*) OVER w AS n FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+    shingles AS (SELECT DISTINCT doc_id, s FROM windows WHERE n = 4 OR j = 0),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+    links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+        JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+    reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, r FROM reach JOIN links ON doc_id = a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) LEFT JOIN sizes USING (doc_id)"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can express; the others are held against brute force, libraries and round trips in tests/llm."""
+    return {"op2_window_dedup": OP2, "op3_near_dedup": OP3}
