@@ -32,8 +32,8 @@ BROADCAST_IDS = 4_000_000
 HELD = 2_000_000
 #: The limit of a language: this quantile of its trusted texts, and room above it.
 QUANTILE, ROOM = 0.99, 1.1
-#: Trusted texts that a language needs for a limit of its own, and typical bytes that each text gets in addition.
-LEAST_TEXTS, PRIOR_BYTES = 30, 64
+#: Typical bytes that each text gets in addition, and as how many trusted texts uniform bytes count in a language's limit.
+PRIOR_BYTES, UNIFORM_TEXTS = 64, 1
 START = b"\n\n\n"
 
 
@@ -263,10 +263,13 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """(_id, _h, lang, n_bytes, perplexity, threshold, kept) of each document with text, keys as in units().
 
     Trusted are the documents that labels call good (quality 1) and not toxic. A document is kept
-    if its perplexity (per byte; towards the trusted median by PRIOR_BYTES, for short texts) is at
-    most its language's limit: the 0.99 quantile of the trusted texts, with 10 % room. Languages
-    with fewer than 30 trusted texts, and a null language, take the limit of all together.
-    Empty and null texts have no row, which counts as not kept. Repeated rows have a row each. Without trusted texts nothing can be judged, and all texts with bytes are kept.
+    if its perplexity (per byte; towards its language's trusted median by PRIOR_BYTES, for short
+    texts) is at most its language's limit: the 0.99 quantile of the language's own trusted texts,
+    with 10 % room. The fewer these are, the wider the limit: the logarithm of a perplexity of 256
+    (uniform bytes) counts in the limit's like UNIFORM_TEXTS texts, the quantile's like all texts.
+    A null language is one of its own. A language without trusted texts can't be judged: its limit
+    is infinite, and its texts with bytes are kept.
+    Empty and null texts have no row, which counts as not kept. Repeated rows have a row each.
     """
     rows = units(docs, id_col, text_col)
     trusted = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
@@ -278,14 +281,23 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     language = keyed(language, id_col, text_col).groupBy("_id", "_h").agg(F.min("_lang").alias("lang"))
     scored = saved(scored.where("n_bytes > 0").join(language, ["_id", "_h"], "left"), "scored")
     good = scored.join(known, "_id", "left_semi")
-    typical = good.agg(F.percentile_approx(-F.col("log_p") / F.col("n_bytes"), 0.5, 10000)).first()[0] or 0.0
-    mean = (PRIOR_BYTES * typical - F.col("log_p")) / (F.col("n_bytes") + PRIOR_BYTES)
-    quantile = F.percentile_approx(F.exp(mean), QUANTILE, 10000)
-    overall = good.agg(quantile).first()[0]
-    limits = good.where("lang is not null").groupBy("lang").agg(quantile.alias("_q"), F.count("*").alias("_n")).where(F.col("_n") >= LEAST_TEXTS)
-    limit = F.coalesce("_q", F.lit(math.inf if overall is None else overall)) * ROOM
+    own = -F.col("log_p") / F.col("n_bytes")
+    typical = good.groupBy("lang").agg(F.percentile_approx(own, 0.5, 10000).alias("_typical"))
+    mean = (PRIOR_BYTES * F.coalesce("_typical", own) - F.col("log_p")) / (F.col("n_bytes") + PRIOR_BYTES)
+    typical = saved(typical, "typical")
+    n = F.count("*")
+    # uniform bytes only ever widen
+    quantile = F.percentile_approx(mean, QUANTILE, 10000)
+    limit = (n * quantile + UNIFORM_TEXTS * F.greatest(F.lit(math.log(256)), quantile)) / (n + UNIFORM_TEXTS)
+    limits = _of_language(good, typical).groupBy("lang").agg((F.exp(limit) * ROOM).alias("_limit"))
     return (
-        scored.join(limits.select("lang", "_q"), "lang", "left")
-        .withColumns({"perplexity": F.round(F.exp(mean), 6), "threshold": F.round(limit, 6)})
+        _of_language(_of_language(scored, typical), saved(limits, "limits"))
+        .withColumns({"perplexity": F.round(F.exp(mean), 6), "threshold": F.round(F.coalesce("_limit", F.lit(math.inf)), 6)})
         .select("_id", "_h", "lang", "n_bytes", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("kept"))
     )
+
+
+def _of_language(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """rows with the values of their language, null included; values (a row per language) are broadcast."""
+    values = values.withColumnRenamed("lang", "_l")
+    return rows.join(F.broadcast(values), F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l")

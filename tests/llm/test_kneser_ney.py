@@ -80,6 +80,24 @@ def test_held_out_texts(spark):
     assert kept == set(range(120))
 
 
+def test_languages_with_few_labels(spark):
+    """Clean languages (one null) stay whole with 1, 29 and 30 labels, and one label more hardly moves the limit."""
+    rng = np.random.default_rng(5)
+    say = lambda n, units, most: " ".join("".join(rng.choice(units, rng.integers(1, most))) for _ in range(n))
+    docs = [(i, say(80, ["ba", "ko", "ti", "ren"], 4), "en") for i in range(150)] + [(9000, "Ω" * 50, "zz")]
+    few = {1000: ("a1", "αβγδεζηθικλμνξοπ", 1), 2000: ("a29", "абвгдежзиклмнопр", 29), 3000: (None, "աբգդեզէըթժիլխծկհ", 30)}
+    labels = [(i, 1, 0) for i in range(150)]
+    for first, (lang, letters, n) in few.items():
+        docs += [(first + i, say(60, list(letters), 9), lang) for i in range(60)]
+        docs += [(first + 100 + i, "".join(rng.choice(list("#$%XYZ|"), 300)), lang) for i in range(5)]
+        labels += [(first + i, 1, 0) for i in range(n)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = kneser_ney.quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert {r["_id"] for r in got if not r["kept"]} == {first + 100 + i for first in few for i in range(5)}
+    limits = {r["lang"]: r["threshold"] for r in got}
+    assert limits["a1"] > limits["a29"] and limits["a29"] == pytest.approx(limits[None], rel=0.1) and limits["zz"] == math.inf
+
+
 def test_odd_rows(spark):
     labels = spark.createDataFrame([(51, 1, 0), (54, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = kneser_ney.quality(frame(spark), labels).collect()
