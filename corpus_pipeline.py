@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that with the smallest id. Of repeated rows one stays."""
-    found = near_dedup.near_duplicates(units(docs)).where("_id = component").select("_id", "_h").distinct()
+    found = near_dedup.near_duplicates(units(docs), near_dedup.Near(shingle=5)).where("_id = component").select("_id", "_h").distinct()
     return packed(docs).dropDuplicates(["_id", "_h"]).join(found, ["_id", "_h"], "left_semi").select("_row.*")
 
 

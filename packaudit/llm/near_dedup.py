@@ -26,7 +26,7 @@ class Near:
     a similarity of 0.8 differ by more than 29 of 60 values with a probability of about 1e-6.
     """
 
-    shingle: int = 4
+    shingle: int = 5
     percent: int = 80
     symbols: int = 60
     bits: int = 12

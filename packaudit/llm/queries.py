@@ -32,7 +32,7 @@ def op2_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_duplicates(units(table(sf_dir, spark, "documents")))
+    found = near_dedup.near_duplicates(units(table(sf_dir, spark, "documents")), near_dedup.Near(shingle=4))
     return found.select(
         real_id().alias("doc_id"),
         "n_shingles",

@@ -8,7 +8,7 @@ import corpus_pipeline
 from packaudit.llm import html_extract
 from packaudit.llm.common import table, units
 from packaudit.llm.near_dedup import Near
-from tests.llm.cases import frame, rows
+from tests.llm.cases import SCHEMA, frame, rows, words
 from tests.llm.test_near import brute
 
 LAST = (1 << 63) - 1
@@ -43,6 +43,16 @@ def test_near_stage_leaves_one_of_each_group(spark, sf_dir):
     assert len(got) == len(set(got))
 
 
+def test_near_stage_compares_five_words(spark, sf_dir):
+    """Three changed words in 115: linked by sets of four words (100 of 124), not of five (96 of 126)."""
+    first = words(115, 40)
+    second = [f"new{i}" if i in (20, 50, 80) else w for i, w in enumerate(first)]
+    texts = [(1, " ".join(first)), (2, " ".join(second)), (3, " ".join([*first[:-1], "end"]))]
+    assert [c for *_, c in brute(texts[:2], Near(shingle=4))] == [1, 1]
+    docs = spark.createDataFrame([(*t, *[None] * 6) for t in texts], SCHEMA)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()) == [1, 2]
+
+
 def test_suffix_stage_keeps_rows_and_counts(spark, sf_dir):
     docs = table(sf_dir, spark, "documents")
     got = corpus_pipeline.suffix_array_dedup(spark, docs, sf_dir).collect()
