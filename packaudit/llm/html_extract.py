@@ -58,6 +58,15 @@ class Page:
         self.links: list[int] = [0]
         self.tags: list[int] = [0]
         open_, parts, link, linked, at, skip = [0], [], 0, 0, 0, -1
+        #: where each tag's open blocks are in open_, the innermost last; the root isn't among them
+        places: dict[str, list[int]] = {}
+
+        def innermost(tags) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+        def close_from(place: int) -> None:
+            while len(open_) > place:
+                places[self.tag[open_.pop()]].pop()
 
         def flush() -> None:
             nonlocal linked
@@ -85,10 +94,8 @@ class Page:
                     link = max(0, link - 1)
                 elif tag in BLOCKS:
                     flush()
-                    for i in range(len(open_) - 1, 0, -1):
-                        if self.tag[open_[i]] == tag:
-                            del open_[i:]
-                            break
+                    if place := innermost((tag,)):
+                        close_from(place)
                     link = 0
                 continue
             if tag in RAW and not m[3].endswith("/"):
@@ -106,15 +113,12 @@ class Page:
             flush()
             link = 0
             if self.tag[open_[-1]] == "p" and len(open_) > 1:
-                open_.pop()
+                close_from(len(open_) - 1)
             if tag in CLOSES:
                 same, within = CLOSES[tag]
-                for i in range(len(open_) - 1, 0, -1):
-                    if self.tag[open_[i]] in within:
-                        break
-                    if self.tag[open_[i]] in same.split():
-                        del open_[i:]
-                        break
+                place = innermost(same.split())
+                if place > innermost(within):
+                    close_from(place)
             names, mark = "", None
             if m[3]:
                 for name, a, b, c in ATTRIBUTE.findall(m[3]):
@@ -123,7 +127,8 @@ class Page:
                     else:
                         names += f" {a or b or c}"
             node = self._add(tag, open_[-1], names, mark, None, 0)
-            if tag not in VOID and len(open_) < 200:
+            if tag not in VOID:
+                places.setdefault(tag, []).append(len(open_))
                 open_.append(node)
         if at < len(html):
             parts.append(html[at:])

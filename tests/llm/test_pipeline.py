@@ -104,6 +104,21 @@ def test_decoding_is_consistent_and_the_best():
         assert page.decoded(p) == "\n".join(page.text[i] for i in leaves if best[i])
 
 
+def test_many_open_blocks():
+    """Every block has its own node and its own end, however many are open."""
+    nested = "<div>" * 1000 + "deep" + "</div>" * 1000
+    page = html_extract.Page(f'<div class="comments">{nested}<p>still a comment</div><article>text</article>')
+    where = {t: page.parent[i] for i, t in enumerate(page.text) if t}
+    outer = page.names.index(" comments")
+    assert page.tag.count("div") == 1001 and page.parent[where["still a comment"]] == outer
+    assert page.tag[where["text"]] == "article" and page.parent[where["text"]] == 0
+    page = html_extract.Page("<article>" + "".join(f"<div id=d{i}>item {i}" for i in range(1000)) + "<ul><li>a<li>b</ul><p>last</article><p>after")
+    where = {t: page.parent[i] for i, t in enumerate(page.text) if t}
+    assert all(page.names[where[f"item {i}"]] == f" d{i}" for i in range(1000))
+    assert page.names[page.parent[where["last"]]] == " d999" and page.parent[where["after"]] == 0
+    assert page.parent[where["a"]] == page.parent[where["b"]] and page.tag[page.parent[where["a"]]] == "ul"
+
+
 def test_held_out_pages_of_other_make():
     import numpy as np
 
