@@ -27,9 +27,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: that with the smallest id. Of repeated rows one stays."""
-    found = near_dedup.near_duplicates(units(docs), near_dedup.Near(shingle=5)).where("_id = component").select("_id", "_h").distinct()
-    return packed(docs).dropDuplicates(["_id", "_h"]).join(found, ["_id", "_h"], "left_semi").select("_row.*")
+    """One row of each group of near copies: that with the smallest id, then hash of the text. Of repeated rows one stays.
+
+    Rows without words are linked with nothing, and all of them stay.
+    """
+    rows = packed(docs).withColumn("_words", F.coalesce(F.col("_row.text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    found = near_dedup.near_duplicates(units(docs), near_dedup.Near(shingle=5))
+    found = found.where("n_shingles > 0 and _id = component and _h = component_h").select("_id", "_h").distinct()
+    one = rows.where("_words").dropDuplicates(["_id", "_h"]).join(found, ["_id", "_h"], "left_semi")
+    return one.select("_row.*").unionByName(rows.where("not _words").select("_row.*"))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -183,7 +183,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(rows: DataFrame, near: Near = Near()) -> DataFrame:
-    """(_id, _h, n_shingles, component) of each row of units(); component is the smallest id that links reach.
+    """(_id, _h, n_shingles, component, component_h) of each row of units(); component is the smallest id that links reach.
+
+    component_h is the hash of the text that has this id, the smallest if there are several: the
+    two together name one text of each component, also where ids are shared or null.
 
     Rows with equal shingle sets are one node. A node's weight is the number of nodes in its
     buckets: the text that a family of copies comes from has the largest. Each node is first
@@ -220,10 +223,11 @@ def near_duplicates(rows: DataFrame, near: Near = Near()) -> DataFrame:
     roots = saved(components(links.unionByName(more)), "components")
 
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("_id").alias("component"))
-    of_set = saved(named.join(least, "root").select("s1", "s2", "component"), "roots")
+    least = named.groupBy("root").agg(F.min(F.struct("_id", "_h")).alias("_least"))
+    least = least.select("root", F.col("_least._id").alias("component"), F.col("_least._h").alias("component_h"))
+    of_set = saved(named.join(least, "root").select("s1", "s2", "component", "component_h"), "roots")
     return (
         every.select("_id", "_h", F.col("n").alias("n_shingles"), "s1", "s2")
         .join(of_set, ["s1", "s2"], "left")
-        .select("_id", "_h", "n_shingles", F.coalesce("component", "_id").alias("component"))
+        .select("_id", "_h", "n_shingles", F.coalesce("component", "_id").alias("component"), F.coalesce("component_h", "_h").alias("component_h"))
     )

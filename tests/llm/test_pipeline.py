@@ -53,6 +53,18 @@ def test_near_stage_compares_five_words(spark, sf_dir):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()) == [1, 2]
 
 
+def test_near_stage_without_ids(spark, sf_dir):
+    """Of near copies one stays, whatever their ids; rows without words stay, alike or not."""
+    base = words(200, 41)
+    copy = lambda w: " ".join([*base[:-1], w])
+    other = " ".join(words(200, 42))
+    docs = [(None, copy("p")), (None, copy("q")), (None, copy("q")), (7, other), (7, other + " more"), (None, None), (None, ""), (8, " "), (8, " ")]
+    docs = spark.createDataFrame([(*d, f"l{i}", *[None] * 5) for i, d in enumerate(docs)], SCHEMA)
+    got = [int(r["lang"][1:]) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()]
+    assert sorted(i for i in got if i > 4) == [5, 6, 7, 8]
+    assert len([i for i in got if i < 3]) == 1 and len([i for i in got if i in (3, 4)]) == 1 and len(got) == 6
+
+
 def test_suffix_stage_keeps_rows_and_counts(spark, sf_dir):
     docs = table(sf_dir, spark, "documents")
     got = corpus_pipeline.suffix_array_dedup(spark, docs, sf_dir).collect()
