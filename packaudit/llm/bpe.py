@@ -5,8 +5,10 @@ t ends the encoding of a prefix p if t is a suffix of p and follows the last tok
 rest of p without the two of them being merged differently when they stand side by side.
 So the distinct words of a batch are put into a trie, and one depth-first walk hands each
 node the last token of every prefix above it; a prefix that many words share is encoded
-once. The words' ids are then read back along the last tokens. Texts are looked up word by
-word in what the walk found, which each task keeps up to a bound.
+once. The trie is laid out as the sorted words: each one hangs below what it shares with the
+one before it, and the walk keeps the states of the path it stands on. The words' ids are
+then read back along the last tokens. Texts are looked up word by word in what the walk
+found, which each task keeps up to a bound of bytes.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -25,10 +26,14 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packaudit.llm.common import SLICE_BYTES, slices
+from packaudit.llm.common import SLICE_BYTES, kept, slices
 
-#: Pieces of text that a task keeps before it starts anew: ids only (about 200 bytes each), or with names.
-PIECES, NAMED_PIECES = 700_000, 250_000
+#: Bytes that a task keeps of pieces and their ids, in each of two generations; an entry's own cost is counted in.
+CACHE_BYTES, ENTRY_BYTES = 64_000_000, 220
+#: Longer pieces are encoded each time.
+LONGEST_KEPT = 64
+#: Texts' bytes that are cut into pieces at a time.
+SLICE = 3 * SLICE_BYTES
 
 
 def byte_symbols() -> list[str]:
@@ -38,6 +43,22 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class Follows(dict):
+    """(left << 32 | right) to whether the two tokens stay side by side; kept up to a bound."""
+
+    def __init__(self, encoder: TrieEncoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, pair: int) -> bool:
+        found = self[pair] = self.encoder._follows(pair >> 32, pair & 0xFFFFFFFF)
+        return found
+
+    def trim(self) -> None:
+        if len(self) > 1 << 18:
+            self.clear()
+
+
 class TrieEncoder:
     """Words (strings without white space) to token ids, as the vocabulary file defines it."""
 
@@ -46,55 +67,65 @@ class TrieEncoder:
             spec = json.load(f)
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.vocab: dict[str, int] = model["vocab"]
-        self.names = {i: t for t, i in self.vocab.items()}
+        vocab: dict[str, int] = model["vocab"]
+        self.names = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.special.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.rank = {(self.vocab[a], self.vocab[b]): r for r, (a, b) in enumerate(pairs)}
-        self.made = {k: self.vocab[a + b] for k, (a, b) in zip(self.rank, pairs, strict=True)}
+        #: Of a pair of tokens, as left << 32 | right: its place among the merges.
+        self.rank: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
-        for k, r in self.rank.items():
-            if self.made[k] not in self.parts:
-                self.parts[self.made[k]] = k
-                self.born[self.made[k]] = r
-        self.middle = byte_symbols()
-        self.final = [s + self.suffix for s in self.middle]
+        for r, (a, b) in enumerate(pairs):
+            left, right, made = vocab[a], vocab[b], vocab[a + b]
+            self.rank[left << 32 | right] = r
+            if made not in self.parts:
+                self.parts[made] = (left, right)
+                self.born[made] = r
         # words are looked for in pieces without white space, so \s needs no mention there
         self.word_parts = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", ""))
         pattern = tokenizers.Regex(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.split_words = tokenizers.pre_tokenizers.Split(pattern, "removed", invert=True)
         self.normalizer = tokenizers.Tokenizer.from_file(path).normalizer
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        #: Tokens by their symbols, last symbol first: a trie to find all suffix tokens of a prefix.
-        self.ends: dict = {}
+        #: Symbols are bytes, and from 256 on bytes at the end of a word; the token of each alone.
+        symbols = byte_symbols()
+        code = {s: i for i, s in enumerate(symbols)}
+        ending = {s + self.suffix: i + 256 for s, i in code.items()} if self.suffix else {s: i for s, i in code.items()}
+        self.single = [vocab.get(s, -1) for s in symbols] + [vocab.get(s + self.suffix, -1) for s in symbols]
+
+        def units(token: str) -> list[int] | None:
+            """Symbols of a token; the last one carries the end-of-word mark. None: not from bytes."""
+            try:
+                if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
+                    body = token[: -len(self.suffix)]
+                    return [*(code[c] for c in body[:-1]), ending[body[-1] + self.suffix]]
+                return [code[c] for c in token]
+            except KeyError:
+                return None
+
         whole: dict[int, bool] = {}
-        for i in sorted(self.vocab.values(), key=lambda i: self.born.get(i, -1)):
+        for i in sorted(vocab.values(), key=lambda i: self.born.get(i, -1)):
             left, right = self.parts.get(i, (-1, -1))
             whole[i] = left < 0 or (whole[left] and whole[right] and self._follows(left, right, self.born[i]))
-        for t, i in self.vocab.items():
-            if not whole[i] or (i not in self.parts and len(self._units(t)) > 1):
+        #: Tokens by their symbols, last symbol first: (node << 9 | symbol) to node, and node to token.
+        self.ends: dict[int, int] = {}
+        self.end_token: dict[int, int] = {}
+        #: (token << 9 | symbol) to the token that is one symbol longer.
+        self.longer: dict[int, int] = {}
+        for t, i in vocab.items():
+            own = units(t)
+            if own is None or not whole[i] or (i not in self.parts and len(own) > 1):
                 continue  # merges never make it
-            at = self.ends
-            for s in reversed(self._units(t)):
-                at = at.setdefault(s, {})
-            at[""] = i
-        #: (token, symbol) to the token that is one symbol longer.
-        self.longer: dict[tuple[int, str], int] = {}
-        for i in self.parts:
-            units = self._units(self.names[i])
-            before = self.vocab.get("".join(units[:-1]))
-            if whole[i] and before is not None:
-                self.longer[before, units[-1]] = i
-        self.follows = lru_cache(1 << 18)(self._follows)
-
-    def _units(self, token: str) -> list[str]:
-        """Symbols of a token; the last one carries the end-of-word mark."""
-        if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
-            body = token[: -len(self.suffix)]
-            return [*body[:-1], body[-1] + self.suffix]
-        return list(token)
+            at = 0
+            for u in reversed(own):
+                at = self.ends.setdefault(at << 9 | u, len(self.ends) + 1)
+            self.end_token[at] = i
+            if i in self.parts and own[:-1]:
+                before = vocab.get("".join(symbols[u] for u in own[:-1]))
+                if before is not None:
+                    self.longer[before << 9 | own[-1]] = i
+        self.follows = Follows(self)
 
     def _follows(self, left: int, right: int, limit: int = 1 << 60) -> bool:
         """Whether `left right` stays so when both are encoded side by side.
@@ -102,64 +133,66 @@ class TrieEncoder:
         The two are taken apart, latest merge first; a merge across the boundary that comes
         before the merge that made the neighbour would have broken it.
         """
+        rank, born, parts = self.rank, self.born, self.parts
         while True:
-            r = self.rank.get((left, right))
+            r = rank.get(left << 32 | right)
             if r is not None and r < limit:
                 return False
-            a, b = self.born.get(left, -1), self.born.get(right, -1)
+            a, b = born.get(left, -1), born.get(right, -1)
             if a < 0 and b < 0:
                 return True
             if a > b:  # the left one was made last: before, its right part stood at the boundary
-                limit, left = a, self.parts[left][1]
+                limit, left = a, parts[left][1]
             else:  # the same merge further left comes first
-                limit, right = b + 1, self.parts[right][0]
-
-    def words(self, words: Iterable[str]) -> list[tuple[str, list[int]]]:
-        """Words with their ids: symbols into a trie, one depth-first walk with last-token states."""
-        root: dict = {}
-        middle, final = self.middle, self.final
-        for w in words:
-            at = root
-            code = w.encode()
-            for b in code[:-1]:
-                u = middle[b]
-                at = at[u] if u in at else at.setdefault(u, {})
-            at[final[code[-1]]] = w
-        out: list[tuple[str, list[int]]] = []
-        longer, single, follows, state_of = self.longer.get, self.vocab, self.follows, self._state
+                limit, right = b + 1, parts[right][0]
+
+    def words(self, words: Iterable[str]) -> list[tuple[bytes, list[int]]]:
+        """The UTF-8 of non-empty words with their ids, by one depth-first walk over their trie."""
+        out: list[tuple[bytes, list[int]]] = []
+        longer, single, follows, state_of = self.longer.get, self.single, self.follows, self._state
+        follows.trim()
         # a state: last token, the state without it, the state without the last symbol, that symbol
-        start = (-1, None, None, "")
-        stack = [(start, root)]
-        while stack:
-            up, node = stack.pop()
-            t, rest = up[0], up[1]
-            for u, child in node.items():
-                grown = longer((t, u))
-                if grown is not None and (rest is start or follows(rest[0], grown)):
-                    state = (grown, rest, up, u)
-                elif up is start or follows(t, single[u]):
-                    state = (single[u], up, up, u)
-                else:
-                    state = state_of(up, u, start)
-                if type(child) is dict:
-                    stack.append((state, child))
+        start = (-1, None, None, -1)
+        path, before = [start], b""
+        for code in sorted([w.encode() for w in words]):
+            n = len(code) - 1
+            # the path down to where this word leaves the last one; the last symbol is one of its own
+            k = 0
+            for x, y in zip(before, code[:n], strict=False):
+                if x != y:
+                    break
+                k += 1
+            k = min(k, len(path) - 1)
+            del path[k + 1 :]
+            up = path[k]
+            for u in (*code[k:n], code[n] | 256):
+                t, rest = up[0], up[1]
+                grown = longer(t << 9 | u)
+                if grown is not None and (rest is start or follows[rest[0] << 32 | grown]):
+                    up = (grown, rest, up, u)
+                elif up is start or follows[t << 32 | single[u]]:
+                    up = (single[u], up, up, u)
                 else:
-                    ids = [state[0]]
-                    at = state[1]
-                    while at is not start:
-                        ids.append(at[0])
-                        at = at[1]
-                    ids.reverse()
-                    out.append((child, ids))
+                    up = state_of(up, u, start)
+                path.append(up)
+            path.pop()  # symbols inside other words carry no end mark
+            before = code
+            ids = []
+            while up is not start:
+                ids.append(up[0])
+                up = up[1]
+            ids.reverse()
+            out.append((code, ids))
         return out
 
-    def _state(self, up: tuple, u: str, start: tuple) -> tuple:
+    def _state(self, up: tuple, u: int, start: tuple) -> tuple:
         """The state after symbol u where neither the last token grows nor u stands alone."""
-        at, before = self.ends[u], up
+        ends, before = self.ends, up
+        at = ends[u]
         while True:
-            at, before = at[before[3]], before[2]
-            t = at.get("")
-            if t is not None and (before is start or self.follows(before[0], t)):
+            at, before = ends[at << 9 | before[3]], before[2]
+            t = self.end_token.get(at)
+            if t is not None and (before is start or self.follows[before[0] << 32 | t]):
                 return (t, before, up, u)
 
     def pieces(self, text: str) -> list[str]:
@@ -198,7 +231,8 @@ NOT_SPACE = regex.compile("[^\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u20
 class Cache:
     """Pieces of text to their ids as bytes, and to their ids' names joined by a space.
 
-    Holds two generations: when the newer one is full, only what is used again lives on.
+    Holds two generations, each of CACHE_BYTES and one slice's new pieces at most: when the newer
+    one is full, only what is used again lives on. Pieces beyond LONGEST_KEPT live for one slice.
     """
 
     def __init__(self, encoder: TrieEncoder):
@@ -206,18 +240,24 @@ class Cache:
         self.ids: dict[str, bytes] = {}
         self.names: dict[str, str] = {}
         self.old: tuple[dict, dict] = {}, {}
+        self.bytes = 0
+        self.passing: list[str] = []
 
     def learn(self, texts: list[list[str]], named: bool = False) -> None:
         """Encodes the distinct new pieces of these texts together."""
-        gc.disable()  # a trie has no cycles, and many nodes for the collector to visit
+        gc.disable()  # states and ids have no cycles, and there are many of them to visit
         try:
             self._learn(texts, named)
         finally:
             gc.enable()
 
     def _learn(self, texts: list[list[str]], named: bool) -> None:
-        if len(self.ids) > (NAMED_PIECES if named else PIECES):
-            self.old, self.ids, self.names = (self.ids, self.names), {}, {}
+        for p in self.passing:
+            self.ids.pop(p, None)
+            self.names.pop(p, None)
+        self.passing = []
+        if self.bytes > CACHE_BYTES:
+            self.old, self.ids, self.names, self.bytes = (self.ids, self.names), {}, {}, 0
         have = self.names if named else self.ids
         new = set().union(*texts).difference(have)
         if self.old[named]:
@@ -227,6 +267,7 @@ class Cache:
                 if named:
                     self.names[p] = self.old[1][p]
             new -= again
+            self.bytes += ENTRY_BYTES * (1 + named) * len(again)
         # a word is a piece of its own, with the same ids
         ids, special, parts_of = self.ids, self.encoder.special, self.encoder.parts_of
         words, parts = [], {}
@@ -238,30 +279,31 @@ class Cache:
             else:
                 parts[p] = parts_of(p)
         words = {w for ws in parts.values() for w in ws}.union(words).difference(ids)
-        for w, own in self.encoder.words(words):
-            ids[w] = PACK[len(own)](*own) if len(own) < len(PACK) else struct.pack(f"<{len(own)}I", *own)
+        for code, own in self.encoder.words(words):
+            ids[code.decode()] = PACK[len(own)](*own) if len(own) < len(PACK) else struct.pack(f"<{len(own)}I", *own)
         for p, ws in parts.items():
             ids[p] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
         if named:
             names = self.encoder.names
             for p in new:
                 self.names[p] = " ".join([names[i] for (i,) in UNPACK(ids[p])])
+        self.bytes += ENTRY_BYTES * (len(words) + len(parts) + named * len(new))
+        self.passing = [p for p in {*words, *parts} if len(p) > LONGEST_KEPT]
 
 
 UNPACK = struct.Struct("<I").iter_unpack
 PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
-@lru_cache(2)
 def cache_for(path: str) -> Cache:
     """One per worker process and vocabulary file."""
-    return Cache(TrieEncoder(path))
+    return kept(path, lambda: Cache(TrieEncoder(path)))
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], path: str, named: bool = False) -> Iterator[tuple[pa.RecordBatch, Cache, list[list[str]]]]:
     """Slices of the batches, the cache that knows all their pieces, and each text's pieces."""
     cache = cache_for(path)
-    for batch, texts in slices(batches, limit=4 * SLICE_BYTES):
+    for batch, texts in slices(batches, limit=SLICE, keep=path):
         cut = [cache.encoder.pieces(t.decode()) for t in texts]
         cache.learn(cut, named)
         yield batch, cache, cut

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +16,10 @@ SLICE_BYTES = 1_000_000
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names.
-
-    Only where the setting is missing (tests, one machine) a temporary folder is taken.
-    """
+    """A new path in the shared folder that spark.checkpoint.dir names; without that setting there is none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -74,8 +69,25 @@ def table(sf_dir: str, spark: SparkSession, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "_t", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Pieces of the batches with at most `limit` bytes of text (one row at least), and their texts as UTF-8."""
+#: What a worker process keeps from one task to the next, by name.
+_KEPT: dict = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What make() gives, made once in a worker process, until an operator that doesn't use it runs there."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "_t", limit: int = SLICE_BYTES, keep: str | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Pieces of the batches with at most `limit` bytes of text (one row at least), and their texts as UTF-8.
+
+    Worker processes outlive an operator: what another one keeps there (all but `keep`) is let go.
+    """
+    if keep not in _KEPT:
+        _KEPT.clear()
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
         lengths = pc.binary_length(texts).to_pylist()

@@ -25,7 +25,7 @@ from packaudit.llm.common import keyed, saved, slices, starts_of, units
 ORDER = 4
 SHARDS = 16
 #: Bytes of text whose n-grams one shard task takes at most (a slice goes whole).
-SALT_BYTES = 512_000_000
+SALT_BYTES = 256_000_000
 #: Trusted ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 #: Distinct n-grams that a task holds before it passes its counts on.
@@ -212,7 +212,9 @@ def _scored(two: np.ndarray):
             order = np.argsort(keys[own])
             tables[kind] = keys[own][order], values[own][order]
         names, sums = [], []
-        for row in lists.select(["slice", "size", "grams", "sizes", "steps", "counts"]).to_pylist():
+        lists = lists.select(["slice", "size", "grams", "sizes", "steps", "counts", "ids", "lengths"])
+        for at in range(lists.num_rows):
+            row = lists.slice(at, 1).to_pylist()[0]
             grams, sizes = np.frombuffer(row["grams"], np.uint32), np.frombuffer(row["sizes"], np.uint16).astype(np.int64)
             steps = np.frombuffer(row["steps"], np.uint8).astype(np.int64)
             places = np.cumsum(steps)[steps < 255]

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from packaudit.llm.bpe import token_pieces
 from packaudit.llm.common import saved
 
-#: Parts into which the pieces of one length are dealt for ranking, so that no length is one task's.
-SALTS = 64
+#: Pieces of one length that one task ranks; more are dealt into parts by a salt, so that no length is one task's.
+RANKED = 50_000
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -68,16 +68,20 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def pack_pieces(pieces: DataFrame, capacity: int = 4096, key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """pieces (with a `length` of 1 to capacity) with sequence_id and offset.
 
-    Pieces rank inside their length in the order of a salt and the key; the plan says which
-    ranks go to which place. Driver and broadcast see the plan only: its size depends on the
-    capacity (at most that many lengths and combinations), not on the number of pieces.
-    An empty table gives an empty result; repeated pieces are placed one by one.
+    A piece of the full capacity is a sequence of its own, with a negative number. Others rank
+    inside their length in the order of a salt and the key; the plan says which ranks go to which
+    place. Driver and broadcast see the plan only: its size depends on the capacity (at most that
+    many lengths and combinations), not on the number of pieces. An empty table gives an empty
+    result; repeated pieces are placed one by one.
     """
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
+    full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    pieces = pieces.where(F.col("length") < capacity)
+    totals = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    salts = -(-max(totals.values(), default=1) // RANKED)
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int"))
     counts = pieces.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = saved(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "lengths")
-    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     by_length: dict[int, list[tuple]] = {}
     for row in plan(totals, capacity):
         by_length.setdefault(row[0], []).append(row[1:])
@@ -108,7 +112,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, key: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long").unionByName(full)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
