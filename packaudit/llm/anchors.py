@@ -134,45 +134,96 @@ def _pieces(sizes: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np
     return tuple(np.array(c, np.int64) for c in zip(*out, strict=True))
 
 
+def _progressions(text: np.ndarray, key: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, step, times): rows that come back in a text at equal distances, as one.
+
+    Rows of one text with one key, in the order of their places, are cut where their distance
+    changes. A text of one letter or of a short pattern has a few rows then, not one a byte.
+    """
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(order), bool)
+    same = (key[order][1:] == key[order][:-1]) & (text[order][1:] == text[order][:-1])
+    if same.any():
+        order = np.lexsort((lo, key, text))
+        same = (key[order][1:] == key[order][:-1]) & (text[order][1:] == text[order][:-1])
+        distance = np.diff(lo[order])
+        new[1:] = ~same
+        # the third and later of a key begin anew where the distance changes
+        third = same[1:] & same[:-1]
+        new[2:] |= third & (distance[1:] != distance[:-1])
+    starts = np.flatnonzero(new)
+    times = np.diff(np.append(starts, len(order)))
+    step = np.zeros(len(starts), np.int64)
+    several = times > 1
+    step[several] = lo[order[starts[several] + 1]] - lo[order[starts[several]]]
+    return order[starts], step, times
+
+
 def anchor_rows(rows: DataFrame, shape: Shape, by_words: bool) -> DataFrame:
-    """(_id, _h, core, ctx, anchor, lo, hi) of all runs of windows of the texts _t.
+    """(_id, _h, core, ctx, proof, anchor, lo, hi, step, times) of all runs of windows of the texts _t.
 
-    core hashes the units that all windows of the run share; ctx hashes all units from the
-    first to the last window and the anchor's place in them. lo and hi are the first units of
-    the run's first and last window.
+    core hashes the units that all windows of the run share; ctx and proof are a 128-bit digest of
+    all units (words: their bytes) from the first to the last window and the anchor's place in
+    them. lo and hi are the first units of the run's first and last window. The same run is at
+    lo + step, lo + 2 * step and so on, `times` in all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             if by_words:
-                data, starts, ends, sizes = joined_words(texts)
+                data, starts, ends, sizes = joined_words([b" ".join(t.split()) for t in texts])
                 values = word_values(data, starts, ends)
             else:
-                values = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
+                data = np.frombuffer(b"".join(texts), np.uint8)
+                values = data.astype(np.uint64) + np.uint64(1)
                 sizes = np.array([len(t) for t in texts], np.int64)
             text, skip, n = _pieces(sizes, shape)
             begins = starts_of(sizes)[text] + skip
             if len(text) > len(texts):  # segments overlap
                 values = np.concatenate([values[b : b + k] for b, k in zip(begins.tolist(), n.tolist(), strict=True)])
             segment, anchor, lo, hi, core = runs(values, n, shape)
-            raw = memoryview(np.ascontiguousarray(values).view(np.uint8) if by_words else values.astype(np.uint8)).cast("B")
-            unit = 8 if by_words else 1
-            begin = (starts_of(n)[segment] + lo) * unit
-            end = (starts_of(n)[segment] + hi + shape.width) * unit
-            digest = xxhash.xxh3_64_intdigest
-            ctx = np.array([digest(raw[b:e]) for b, e in zip(begin.tolist(), end.tolist(), strict=True)], np.uint64)
+            begin, end = begins[segment] + lo, begins[segment] + hi + shape.width
+            if by_words and len(begin):
+                begin, end = starts[begin], ends[end - 1]
+            raw, digest = memoryview(data).cast("B"), xxhash.xxh3_128_digest
+            digests = b"".join([digest(raw[b:e]) for b, e in zip(begin.tolist(), end.tolist(), strict=True)])
+            ctx, proof = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
             ctx = mixed(ctx + (anchor - lo).astype(np.uint64))
-            of = pa.array(text[segment])
-            offset = skip[segment]
+            of, offset = text[segment], skip[segment]
+            first, step, times = _progressions(of, ctx ^ core, lo + offset)
+            to = pa.array(of[first])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(of),
-                    batch.column(1).take(of),
-                    pa.array(core.view(np.int64)),
-                    pa.array(ctx.view(np.int64)),
-                    *(pa.array((x + offset).astype(np.int32)) for x in (anchor, lo, hi)),
+                    batch.column(0).take(to),
+                    batch.column(1).take(to),
+                    *(pa.array(np.ascontiguousarray(x[first]).view(np.int64)) for x in (core, ctx, proof)),
+                    *(pa.array((x + offset)[first].astype(np.int32)) for x in (anchor, lo, hi)),
+                    pa.array(step.astype(np.int32)),
+                    pa.array(times.astype(np.int32)),
                 ],
-                names=["_id", "_h", "core", "ctx", "anchor", "lo", "hi"],
+                names=["_id", "_h", "core", "ctx", "proof", "anchor", "lo", "hi", "step", "times"],
             )
 
-    return rows.select("_id", "_h", "_t").mapInArrow(run, "_id long, _h long, core long, ctx long, anchor int, lo int, hi int")
+    return rows.select("_id", "_h", "_t").mapInArrow(run, "_id long, _h long, core long, ctx long, proof long, anchor int, lo int, hi int, step int, times int")
+
+
+#: A span as a row of any of these tables has it, and as collected for a text.
+SPAN = ["lo", "hi", "step", "times"]
+
+
+def covered(spans: list[dict], width: int) -> list[list[int]]:
+    """Sorted disjoint stretches [start, end) of units that windows with these first starts cover."""
+    every: list[tuple[int, int]] = []
+    for s in spans:
+        lo, end, step, times = s["lo"], s["hi"] + width, s["step"], s["times"]
+        if times > 1 and step <= end - lo:
+            every.append((lo, end + step * (times - 1)))
+        else:
+            every += [(lo + k * step, end + k * step) for k in range(times)]
+    out: list[list[int]] = []
+    for lo, end in sorted(every):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([lo, end])
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packaudit.llm.anchors import BYTES, Rolling, Shape, anchor_rows
-from packaudit.llm.common import saved, slices, starts_of
+from packaudit.llm.anchors import BYTES, SPAN, Shape, anchor_rows, covered
+from packaudit.llm.common import saved, slices
 from packaudit.llm.suffix_array import common_prefixes, suffix_array
 
-#: Groups with more different surroundings than this are compared by window hashes instead.
-LARGE = 256
+#: Different surroundings of one core that a suffix array takes; larger groups are divided first.
+LARGE = 1_000
+#: Windows that begin so close together are taken together when a group is divided, ever fewer of them.
+BANDS = (64, 16, 4, 1)
 #: Surroundings that one suffix array takes together, whole groups at a time.
 TOGETHER = 4_000
 #: Stands for "no byte here"; UTF-8 has no such byte.
@@ -23,34 +26,83 @@ NONE = 0xFF
 
 
 def repeated_spans(rows: DataFrame, shape: Shape = BYTES) -> DataFrame:
-    """(_id, _h, lo, hi): runs of windows of `shape.width` bytes, by first and last start, that occur elsewhere too.
+    """(_id, _h, lo, hi, step, times): runs of windows of `shape.width` bytes, by first and last start, that occur elsewhere too.
 
     rows are units(). Runs whose whole surroundings occur twice are known from counts alone;
     of the other groups with a repeated core, the surroundings are fetched once for each different
-    one and go to suffix arrays, whole groups at a time; large groups go by window hashes.
+    one and go to suffix arrays, whole groups at a time. Groups that are too large for a task are
+    divided by what bands of their windows share, until they aren't.
     """
-    anchors = saved(anchor_rows(rows, shape, by_words=False), "anchors")
-    cores = saved(anchors.groupBy("core").agg(F.count("*").alias("_n")).where("_n > 1").select("core"), "cores")
+    anchors = saved(anchor_rows(rows, shape, by_words=False).drop("proof"), "anchors")
+    cores = saved(anchors.groupBy("core").agg(F.sum("times").alias("_n")).where("_n > 1").select("core"), "cores")
     hits = saved(anchors.join(cores, "core"), "hits")
     first = F.min(F.struct("_id", "_h", "lo", "hi", "anchor")).alias("_first")
-    kinds = hits.groupBy("core", "ctx").agg(F.count("*").alias("n"), first)
+    kinds = hits.groupBy("core", "ctx").agg(F.sum("times").alias("n"), first)
     per_core = kinds.groupBy("core").agg(F.count("*").alias("k"), F.min("n").alias("_least"))
     kinds = saved(kinds.join(per_core, "core"), "kinds")
-    whole = hits.join(kinds.where("n > 1").select("core", "ctx"), ["core", "ctx"]).select("_id", "_h", "lo", "hi")
+    parts = [hits.join(kinds.where("n > 1").select("core", "ctx"), ["core", "ctx"]).select("_id", "_h", *SPAN)]
     # where all surroundings occur twice, nothing is left to find
     rest = kinds.where("k > 1 and _least = 1").select("core", "n", "k", "_first.*")
-    small = surroundings(rows, rest.where(F.col("k") <= LARGE), shape)
-    large = surroundings(rows, rest.where(F.col("k") > LARGE), shape)
-    compared = small.repartition("core").sortWithinPartitions("core").mapInArrow(_in_small_groups(shape), SPAN)
-    return whole.unionByName(compared).unionByName(in_large_groups(large, shape))
+    groups = saved(surroundings(rows, rest, shape), "surroundings")
+    for band in BANDS:
+        small = groups.where(F.col("k") <= LARGE).repartition("core").sortWithinPartitions("core")
+        parts.append(_once(small.drop("k").mapInArrow(_in_small_groups(shape), RUN)))
+        found, groups = divided(groups.where(F.col("k") > LARGE), band, shape)
+        parts.append(_once(found))
+    return reduce(DataFrame.unionByName, parts)
 
 
-SPAN = "_id long, _h long, lo int, hi int"
+RUN = "_id long, _h long, lo int, hi int"
+
+
+def _once(runs: DataFrame) -> DataFrame:
+    return runs.withColumns({"step": F.lit(0), "times": F.lit(1)})
+
+
+def divided(groups: DataFrame, band: int, shape: Shape) -> tuple[DataFrame, DataFrame]:
+    """(runs known to occur elsewhere, smaller groups in the form of surroundings()).
+
+    The windows of a row are taken in bands of `band` neighbouring starts. If the bytes that all
+    windows of a band share are in no other row, none of them is; if all their bytes together are,
+    all are. What neither holds for is left: rows that share the first, one for each different
+    second, are a group. With one window to a band, nothing is left.
+    """
+    width = shape.width - shape.core
+    names = ["core", "outer", "n", "_id", "_h", "lo", "hi", "anchor", "left", "right"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, key = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
+        for batch in batches:
+            out: list[tuple] = []
+            for core, n, i, h, lo, hi, at, left, right in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
+                low, high, own = at - hi, at - lo, core.to_bytes(8, "little", signed=True)
+                for number in range(low // band, high // band + 1):
+                    # these windows begin between `near` and `far` bytes before the anchor
+                    near, far = number * band, number * band + band - 1
+                    inner = left[len(left) - near :] + right[: max(0, width - far)]
+                    near, far = max(low, near), min(high, far)
+                    before, behind = left[len(left) - far :] if far else b"", right[: width - near]
+                    outer = digest(before + behind, far) - (1 << 63)
+                    inner = int.from_bytes(key(own + inner, number)[:8], "little", signed=True)
+                    out.append((inner, outer, n, i, h, at - far, at - near, at, before, behind))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    fields = "core long, outer long, n long, _id long, _h long, lo int, hi int, anchor int, left binary, right binary"
+    banded = saved(groups.select(_NAMES).mapInArrow(run, fields), "bands")
+    first = F.min(F.struct("_id", "_h", "lo", "hi", "anchor", "left", "right")).alias("_first")
+    kinds = banded.groupBy("core", "outer").agg(F.sum("n").alias("_n"), first)
+    per_core = kinds.groupBy("core").agg(F.count("*").alias("k"), F.min("_n").alias("_least"), F.sum("_n").alias("_all"))
+    kinds = saved(kinds.join(per_core.where("_all > 1"), "core"), "kinds")
+    found = banded.where("n = 1").join(kinds.where("_n > 1").select("core", "outer"), ["core", "outer"]).select("_id", "_h", "lo", "hi")
+    left = kinds.where("k > 1 and _least = 1").select("core", F.col("_n").alias("n"), "k", "_first.*")
+    return found, left
 
 
 def surroundings(rows: DataFrame, rest: DataFrame, shape: Shape) -> DataFrame:
-    """(core, n, _id, _h, lo, hi, anchor, left, right): bytes before and behind the core of each run in rest."""
-    by_text = rest.groupBy("_id", "_h").agg(F.collect_list(F.struct("core", "n", "lo", "hi", "anchor")).alias("_runs"))
+    """(core, n, k, _id, _h, lo, hi, anchor, left, right): bytes before and behind the core of each run in rest."""
+    by_text = rest.groupBy("_id", "_h").agg(F.collect_list(F.struct("core", "n", "k", "lo", "hi", "anchor")).alias("_runs"))
     texts = by_text.join(rows, ["_id", "_h"]).select("_id", "_h", "_runs", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,11 +111,11 @@ def surroundings(rows: DataFrame, rest: DataFrame, shape: Shape) -> DataFrame:
                 out, i, h = [], i.as_py(), h.as_py()
                 for r in runs.as_py():
                     at, lo, end = r["anchor"], r["lo"], r["hi"] + shape.width
-                    out.append((r["core"], r["n"], i, h, lo, r["hi"], at, text[lo:at], text[at + shape.core : end]))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=_NAMES)
+                    out.append((r["core"], r["n"], r["k"], i, h, lo, r["hi"], at, text[lo:at], text[at + shape.core : end]))
+                kinds = (*[pa.int64()] * 5, *[pa.int32()] * 3, pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[*_NAMES[:2], "k", *_NAMES[2:]])
 
-    return texts.mapInArrow(run, "core long, n long, _id long, _h long, lo int, hi int, anchor int, left binary, right binary")
+    return texts.mapInArrow(run, "core long, n long, k long, _id long, _h long, lo int, hi int, anchor int, left binary, right binary")
 
 
 _NAMES = ["core", "n", "_id", "_h", "lo", "hi", "anchor", "left", "right"]
@@ -203,68 +255,6 @@ def _compared(table: pa.Table, shape: Shape) -> Iterator[pa.RecordBatch]:
         )
 
 
-#: Windows that a band of in_large_groups() takes together.
-BAND = 32
-
-
-def in_large_groups(found: DataFrame, shape: Shape) -> DataFrame:
-    """The same spans for groups of any size, counted by Spark.
-
-    Windows of a row that begin at most BAND bytes apart form a band; what all of them share, all
-    but BAND bytes of a window, must occur in another row, or none of them does. Only bands for
-    which it does are taken apart, and each window's hash beside its core is counted. Rows with
-    n > 1 count as more than one place.
-    """
-    width = shape.width - shape.core
-    columns = ["core", "_band", "_key", "n", "_id", "_h", "lo", "_back", "bytes"]
-
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            out: list[tuple] = []
-            for core, n, i, h, lo, hi, at, left, right in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
-                data, low, high = left + right, at - hi, at - lo
-                for band in range(low // BAND, high // BAND + 1):
-                    # these windows begin between `near` and `far` bytes before the anchor
-                    near, far = max(low, band * BAND), min(high, band * BAND + BAND - 1)
-                    start = len(left) - far
-                    shared = data[len(left) - band * BAND : len(left) + width - (band * BAND + BAND - 1)]
-                    key = digest(shared) - (1 << 63)
-                    out.append((core, band, key, n, i, h, at - far, far, data[start : len(left) - near + width]))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=columns)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("bytes").to_pylist()
-            lo, back = (batch.column(c).to_numpy() for c in ("lo", "_back"))
-            counts = np.array([len(t) - width + 1 for t in texts], np.int64)
-            begins = starts_of(np.array([len(t) for t in texts], np.int64))
-            row = np.repeat(np.arange(len(texts)), counts)
-            step = np.arange(len(row)) - starts_of(counts)[row]
-            data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
-            hashes = Rolling(data).of(begins[row] + step, begins[row] + step + width)
-            of = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("core").take(of),
-                    pa.array(hashes.view(np.int64)),
-                    pa.array((back[row] - step).astype(np.int32)),
-                    *(batch.column(c).take(of) for c in ("n", "_id", "_h")),
-                    pa.array((lo[row] + step).astype(np.int32)),
-                ],
-                names=["core", "_w", "_back", "n", "_id", "_h", "lo"],
-            )
-
-    banded = found.select(_NAMES).mapInArrow(bands, "core long, _band int, _key long, n long, _id long, _h long, lo int, _back int, bytes binary")
-    several = banded.groupBy("core", "_band", "_key").agg(F.sum("n").alias("_n")).where("_n > 1").drop("_n")
-    each = banded.join(several, ["core", "_band", "_key"]).select(columns).mapInArrow(windows, "core long, _w long, _back int, n long, _id long, _h long, lo int")
-    twice = each.groupBy("core", "_w", "_back").agg(F.sum("n").alias("_n")).where("_n > 1").drop("_n")
-    single = each.where("n = 1").join(twice, ["core", "_w", "_back"])
-    return single.select("_id", "_h", "lo", F.col("lo").alias("hi"))
-
-
 def stripped(rows: DataFrame, shape: Shape = BYTES, whole_characters: bool = False) -> DataFrame:
     """(_id, _h, n_bytes, n_removed, n_spans, kept) of each row of units(): kept has the bytes that are left.
 
@@ -272,19 +262,14 @@ def stripped(rows: DataFrame, shape: Shape = BYTES, whole_characters: bool = Fal
     empty; a text that is shorter than a string to look for stays as it is. Repeated rows are
     other places: from 400 bytes on, they lose everything.
     """
-    spans = repeated_spans(rows, shape).groupBy("_id", "_h").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
+    spans = repeated_spans(rows, shape).groupBy("_id", "_h").agg(F.collect_list(F.struct(*SPAN)).alias("_spans"))
     whole = rows.join(spans, ["_id", "_h"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             out: list[tuple] = []
             for i, h, data, found in zip(batch.column(0), batch.column(1), texts, batch.column(3), strict=True):
-                gone: list[list[int]] = []
-                for lo, hi in sorted((s["lo"], s["hi"] + shape.width) for s in found.as_py() or ()):
-                    if gone and lo <= gone[-1][1]:
-                        gone[-1][1] = max(gone[-1][1], hi)
-                    else:
-                        gone.append([lo, hi])
+                gone = covered(found.as_py() or [], shape.width)
                 if whole_characters:
                     gone = [x for x in (_characters(data, *g) for g in gone) if x[0] < x[1]]
                 at, kept = 0, []

@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from packaudit.llm import exact_spans, window_index
+from packaudit.llm import anchors, exact_spans, window_index
 from packaudit.llm.anchors import Shape
 from packaudit.llm.common import units
 from packaudit.llm.suffix_array import common_prefixes, suffix_array
@@ -97,13 +97,58 @@ def test_bytes_in_short_windows(spark, monkeypatch):
 
 def test_bytes_in_large_groups(spark, monkeypatch):
     monkeypatch.setattr(exact_spans, "LARGE", 1)
-    monkeypatch.setattr(exact_spans, "BAND", 4)
+    monkeypatch.setattr(exact_spans, "BANDS", (6, 2, 1))
     check_bytes(spark, mutated(spark), Shape(width=24, reach=14, gram=5))
 
 
-def test_segments_of_long_texts(spark, monkeypatch):
-    from packaudit.llm import anchors
+def test_bytes_in_groups_divided_by_few(spark, monkeypatch):
+    monkeypatch.setattr(exact_spans, "LARGE", 4)
+    check_bytes(spark, mutated(spark), Shape(width=24, reach=14, gram=5))
+
 
+def periodic(spark):
+    texts = ["a" * 500, "ab" * 300, "abc" * 90 + "x" + "abc" * 90, "x" * 23, "x" * 24, "abab" * 20 + "ba" * 40, "q w e " * 60, "q w " * 70 + "e q w e " * 30, "z z z z z", None]
+    return spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[2], texts[6]])], "doc_id long, text string")
+
+
+def test_periodic_texts(spark):
+    check_bytes(spark, periodic(spark), Shape(width=24, reach=14, gram=5))
+    check_words(spark, periodic(spark), Shape(width=8, reach=5, gram=2), 2)
+
+
+def test_a_megabyte_of_one_letter(spark):
+    """Few rows, whatever the length; all of it goes, and so do words that an earlier text has."""
+    table = spark.createDataFrame([(1, "a" * 1_000_000), (2, "b " * 200_000), (3, "b " * 300_000)], "doc_id long, text string")
+    assert anchors.anchor_rows(units(table), exact_spans.BYTES, by_words=False).count() < 50
+    got = {r["_id"]: r for r in exact_spans.stripped(units(table)).collect()}
+    assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"]) for i in (1, 2)] == [(1_000_000, 1_000_000, 1), (400_000, 400_000, 1)]
+    words = {r["_id"]: r["n_removed"] for r in window_index.without_seen_windows(units(table)).collect()}
+    assert words == {1: 0, 2: 0, 3: 300_000}
+
+
+def test_index_over_three_sessions(spark, tmp_path):
+    """Each session opens what the last one left, adds a batch and compacts; the first runs' tables are gone from the catalog."""
+    shape, path = Shape(width=8, reach=5, gram=2), f"file://{tmp_path}/index"
+    rows = [(r["doc_id"], r["text"]) for r in mutated(spark).collect()]
+    want, got = by_words(rows, shape.width), Counter()
+    for at in range(0, 60, 20):
+        batch, history = (spark.createDataFrame(x, "doc_id long, text string") for x in (rows[at : at + 20], rows[:at]))
+        index = window_index.FingerprintIndex.open(spark, path)
+        assert len(index.names) == (at > 0) + (at > 20)
+        spans = {}
+        for r in index.late(units(batch), units(history), shape).collect():
+            spans.setdefault(r["_id"], []).append(r.asDict())
+        index.close()
+        for doc, text in rows[at : at + 20]:
+            w = words_of(text)
+            gone = {j for a, b in anchors.covered(spans.get(doc, []), shape.width) for j in range(a, b)}
+            got[doc, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)] += 1
+    assert got == want
+    assert len(window_index.FingerprintIndex.open(spark, path).names) == 1
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("fingerprints_")]
+
+
+def test_segments_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(anchors, "SEGMENT", 37)
     got = list(zip(*anchors._pieces(np.array([0, 36, 37, 200]), Shape(24, 14, 5)), strict=True))
     covered = defaultdict(set)
