@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packaudit.llm.anchors import Rolling, joined_words, mixed, word_values
@@ -73,8 +73,21 @@ def signatures(sets: list[np.ndarray], near: Near) -> np.ndarray:
     return out
 
 
+#: Words of 64 bits in a parity sketch.
+ODD = 8
+
+
+def parity_sketch(members: np.ndarray) -> list[int]:
+    """Whether an odd number of a set's members falls on each of 64 * ODD places.
+
+    Two sets differ in at least as many members as their sketches do in bits.
+    """
+    odd = np.bincount((members >> np.uint64(20)).astype(np.int64) % (64 * ODD), minlength=64 * ODD) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def signed(rows: DataFrame, near: Near) -> DataFrame:
-    """(_id, _h, n, s1, s2, sig) of units(): size and 128-bit hash of the shingle set, and its signature (null if empty)."""
+    """(_id, _h, n, s1, s2, sig, odd) of units(): size and 128-bit hash of the shingle set, its signature (null if empty) and parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
@@ -90,11 +103,12 @@ def signed(rows: DataFrame, near: Near) -> DataFrame:
                     pa.array(np.ascontiguousarray(digests[:, 0])),
                     pa.array(np.ascontiguousarray(digests[:, 1])),
                     pa.array([next(made).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([parity_sketch(s) for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["_id", "_h", "n", "s1", "s2", "sig"],
+                names=["_id", "_h", "n", "s1", "s2", "sig", "odd"],
             )
 
-    return rows.select("_id", "_h", "_t").mapInArrow(run, "_id long, _h long, n long, s1 long, s2 long, sig binary")
+    return rows.select("_id", "_h", "_t").mapInArrow(run, "_id long, _h long, n long, s1 long, s2 long, sig binary, odd array<bigint>")
 
 
 def chunk_keys(classes: DataFrame, near: Near) -> DataFrame:
@@ -119,19 +133,69 @@ def chunk_keys(classes: DataFrame, near: Near) -> DataFrame:
     return classes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
-def _within(pairs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
-    """pairs (a, b) with their signatures' distance, those beyond the limit left out."""
-    sig = classes.select("node", "sig")
-    joined = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "sb"}), "b")
+def _shingles(nodes: DataFrame, rows: DataFrame, near: Near) -> DataFrame:
+    """(s, node, root, n): a row per shingle of the nodes (node, root, _id, _h)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            far = (sa != sb).sum(axis=1)
-            near_ones = pa.array(far <= near.distance)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far.astype(np.int32))], names=["a", "b", "far"]).filter(near_ones)
+        for batch, texts in slices(batches):
+            sets = shingle_sets(texts, near)
+            sizes = np.array([len(x) for x in sets], np.int64)
+            of = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(sets).view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(np.repeat(sizes, sizes))], names=["s", "node", "root", "n"]
+            )
+
+    texts = nodes.join(rows.select("_id", "_h", "_t"), ["_id", "_h"]).dropDuplicates(["_id", "_h"]).select("node", "root", "_t")
+    return texts.mapInArrow(run, "s long, node long, root long, n long")
+
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, far int")
+#: Sizes of sets within this ratio are in one class.
+CLASS = 1.1
+
+
+def rare_pairs(nodes: DataFrame, rows: DataFrame, near: Near) -> DataFrame:
+    """(a, b): pairs of nodes of different roots that can be similar enough. No such pair is left out.
+
+    In the order from rare to frequent, two sets that are similar enough share one of the first
+    shingles of each: among n - overlap + 1 of them, where overlap is what the sizes of the two
+    ask for. A smaller or equal set must hold it still further in front, and the places of the
+    first shared one bound the overlap. So sets whose own edits are more than a link allows meet
+    nowhere, however many they are. Shingles that only one node has are counted, not moved.
+    Where most rows of a shingle belong to one root, these aren't compared with one another.
+    Parity sketches bound the difference of two sets from below, before the two are a pair.
+    """
+    t = near.percent
+    every = _shingles(nodes, rows, near)
+    frequent = saved(every.groupBy("s").agg(F.count("*").alias("_f")).where("_f > 1"), "shingles")
+    shared = every.join(frequent, "s")
+    by_node = Window.partitionBy("node")
+    rank = F.row_number().over(by_node.orderBy("_f", "s")) - 1
+    placed = shared.withColumns({"_r": rank, "_m": F.count("*").over(by_node)}).withColumn("i", F.col("n") - F.col("_m") + F.col("_r"))
+    n, i = F.col("n"), F.col("i")
+    placed = saved(placed.where(i <= n - F.ceil(n * t / 100)).select("s", "node", "root", "n", "i"), "rare")
+
+    def size_class(x: F.Column) -> F.Column:
+        return F.floor(F.log(x.cast("double")) / float(np.log(CLASS))).cast("int")
+
+    first = placed.where(i <= n - F.ceil(n * 2 * t / (100 + t))).withColumn("c", size_class(n))
+    # sizes that a partner, of the same size at most, may have
+    most = F.least(n, F.floor((n - i) * (100 + t) / t) - n)
+    least = F.ceil(n * t / 100)
+    second = placed.where(most >= least).withColumn("c", F.explode(F.sequence(size_class(least), size_class(most))))
+    both = first.select("s", "c", "root").unionByName(second.select("s", "c", "root"))
+    counts = both.groupBy("s", "c", "root").agg(F.count("*").alias("_k")).groupBy("s", "c").agg(F.max(F.struct("_k", "root")).alias("_top"), F.count("*").alias("_roots"))
+    tops = saved(counts.where("_roots > 1").select("s", "c", F.col("_top.root").alias("_heavy")), "heavy")
+    sketch = nodes.select("node", "odd")
+    left = first.join(tops, ["s", "c"]).join(sketch, "node").select("odd", "s", "c", F.col("node").alias("a"), F.col("root").alias("_ra"), F.col("n").alias("na"), F.col("i").alias("ia"), (F.col("root") == F.col("_heavy")).alias("_ha"))
+    right = second.join(tops, ["s", "c"]).join(sketch, "node").select("odd", "s", "c", F.col("node").alias("b"), F.col("root").alias("_rb"), F.col("n").alias("nb"), F.col("i").alias("ib"), (F.col("root") == F.col("_heavy")).alias("_hb"))
+    left, right = saved(left.withColumnRenamed("odd", "_oa"), "left"), saved(right.withColumnRenamed("odd", "_ob"), "right")
+    differ = " + ".join(f"bit_count(_oa[{k}] ^ _ob[{k}])" for k in range(ODD))
+    can = f"""_ra <> _rb and (na < nb or na = nb and a < b) and 100 * na >= {t} * nb
+        and (100 + {t}) * least(na - ia, nb - ib) >= {t} * (na + nb)
+        and (100 + {t}) * (na + nb - ({differ})) >= 2 * {t} * (na + nb)"""
+    light = left.where("not _ha").join(right, ["s", "c"]).where(can)
+    heavy = left.where("_ha").join(right.where("not _hb"), ["s", "c"]).where(can)
+    return light.select("a", "b").unionByName(heavy.select("a", "b")).distinct()
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, near: Near) -> DataFrame:
@@ -191,13 +255,15 @@ def near_duplicates(rows: DataFrame, near: Near = Near()) -> DataFrame:
     Rows with equal shingle sets are one node. A node's weight is the number of nodes in its
     buckets: the text that a family of copies comes from has the largest. Each node is first
     compared with one node only, the heaviest that leads one of its buckets; what that confirms
-    makes the first components. Then the pairs that share a bucket but not a component are
-    compared, all of them, so no link that joins two components is missed, while the pairs inside
-    a group of copies are never listed. Texts without words are linked with nothing.
+    makes the first components. Nodes that then share a bucket with a node of another component
+    are open; of their pairs, those that can be links by their sizes and rarest shingles are
+    compared, all of them, so no link that joins two components is missed, while neither the
+    pairs inside a group of copies nor those of texts that are merely alike are ever listed.
+    Texts without words are linked with nothing.
     """
     every = saved(signed(rows, near), "signed")
     full = every.where("n > 0")
-    nodes = full.groupBy("s1", "s2").agg(F.min(F.struct("_id", "_h", "sig")).alias("_r"))
+    nodes = full.groupBy("s1", "s2").agg(F.min(F.struct("_id", "_h", "sig", "odd")).alias("_r"))
     classes = saved(nodes.select("s1", "s2", "_r.*").withColumn("node", F.monotonically_increasing_id()), "classes")
 
     keys = chunk_keys(classes, near)
@@ -216,10 +282,9 @@ def near_duplicates(rows: DataFrame, near: Near = Near()) -> DataFrame:
 
     placed = saved(rooted(shared.select("key", "node")), "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
-    open_ = placed.join(saved(mixed_keys, "mixed"), "key")
-    other = open_.select("key", F.col("node").alias("b"), F.col("root").alias("_rb"))
-    pairs = open_.select("key", F.col("node").alias("a"), F.col("root").alias("_ra")).join(other, "key").where("_ra < _rb").select("a", "b").distinct()
-    more = saved(confirmed(saved(_within(pairs, classes, near).select("a", "b"), "pairs"), classes, rows, near), "links")
+    open_ = placed.join(saved(mixed_keys, "mixed"), "key").select("node", "root").distinct()
+    pairs = rare_pairs(saved(open_.join(classes.select("node", "_id", "_h", "odd"), "node"), "open"), rows, near)
+    more = saved(confirmed(saved(pairs, "pairs"), classes, rows, near), "links")
     roots = saved(components(links.unionByName(more)), "components")
 
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

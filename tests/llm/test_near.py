@@ -3,6 +3,9 @@
 from itertools import combinations
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from packaudit.llm import near_dedup
 from packaudit.llm.common import units
@@ -65,6 +68,32 @@ def test_nothing(spark):
     assert near_dedup.near_duplicates(units(frame(spark, []))).count() == 0
 
 
+def test_rare_pairs_leave_out_no_link(spark):
+    """Of nodes that are components of their own: all pairs that are links, and few others."""
+    near, rng, texts = Near(shingle=3), np.random.default_rng(5), []
+    for family in range(4):
+        base = words(100 + 30 * family, 300 + family)
+        for step in range(30):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 9))):
+                w[int(rng.integers(len(w)))] = f"x{rng.integers(10_000)}"
+            del w[: int(rng.integers(0, 6))]
+            texts.append((len(texts), " ".join(w)))
+    rows = units(spark.createDataFrame(texts, "doc_id long, text string"))
+    nodes = near_dedup.signed(rows, near).select(F.col("_id").alias("node"), F.col("_id").alias("root"), "_id", "_h", "odd")
+    got = {(min(p), max(p)) for p in near_dedup.rare_pairs(nodes, rows, near).collect()}
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for _, t in texts)]
+    links = {(i, j) for i, j in combinations(range(len(sets)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert links <= got and 20 < len(links) and len(got) < 1.6 * len(links)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, (1 << 63) - 1), max_size=60), st.sets(st.integers(0, (1 << 63) - 1), max_size=60))
+def test_parity_sketch_bounds_the_difference(a, b):
+    x, y = (near_dedup.parity_sketch(np.array(sorted(s), np.uint64)) for s in (a, b))
+    assert sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True)) <= len(a ^ b)
+
+
 def test_keys_reach_every_pair_within_the_distance():
     near, rng = Near(), np.random.default_rng(2)
     ways = near.left_out()
