@@ -19,9 +19,11 @@ FUNCTION_WORDS = (
     "der die und das den von zu mit sich auf für ist im dem nicht ein eine als auch es "
     "el los las y del se con una su al lo como más pero sus le ya o este sí"
 ).split()
-ROUNDS = 12
-#: A rule is taken to be right at least and at most so often; so rare may a class be.
-LEAST, MOST, RARE = 0.55, 0.98, 0.02
+ROUNDS = 25
+#: Where estimation starts: probability that a text is good if no rule votes against it, and if one does.
+UNOPPOSED, OPPOSED = 0.98, 0.1
+#: How a rule votes on all texts counts like so many texts, as a share of all, in its rates on either class.
+PRIOR = 0.002
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -80,6 +82,8 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.size(lines).cast("long").alias("n_lines"),
             (F.size(F.split(t, r"\p{Lu}", -1)) - 1).cast("long").alias("n_upper"),
             (F.size(F.split(t, r"[!?]{2}", -1)) - 1).cast("long").alias("n_shouts"),
+            (F.size(F.split(t, r"[.!?\u3002]", -1)) - 1).cast("long").alias("n_stops"),
+            (F.size(F.split(t, r"[0-9]", -1)) - 1).cast("long").alias("n_digits"),
             F.size(F.filter(words, lambda w: F.lower(w).isin(*dict.fromkeys(FUNCTION_WORDS)))).cast("long").alias("n_function_words"),
         )
 
@@ -97,56 +101,71 @@ def votes() -> dict[str, Column]:
 
     enough = f("n_words") >= 30
     return {
-        "symbols": rule(f("n_symbols") * 50 <= words, f("n_symbols") * 5 > words),
-        "repeats": rule(enough & (f("n_repeat_words") * 20 <= words), f("n_repeat_words") * 100 > words * 15),
+        "symbols": rule(f("n_symbols") * 50 <= words, f("n_symbols") * 10 > words),
         "lines": rule((lines >= 3) & (f("n_dup_lines") * 20 <= lines), f("n_dup_lines") * 10 > lines * 3),
-        "word_length": rule(enough & (chars >= words * 3) & (chars <= words * 8), (f("n_words") >= 10) & ((chars < words * 2) | (chars > words * 12))),
-        "capitals": rule(f("n_upper") * 20 <= chars, f("n_upper") * 4 > chars),
+        "word_length": rule((chars >= words * 3) & (chars <= words * 8), (chars < words * 2) | (chars > words * 12)),
+        "capitals": rule(f("n_upper") * 10 <= chars, f("n_upper") * 4 > chars),
         "shouts": rule(enough & (f("n_shouts") * 200 <= words), f("n_shouts") * 10 > words),
-        "function_words": rule(enough & (f("n_function_words") * 10 >= words), enough & (f("n_function_words") * 50 < words)),
-        "length": rule(f("n_words") >= 40, f("n_words") < 10),
+        "function_words": rule(f("n_function_words") * 100 >= words * 15, enough & (f("n_function_words") * 100 < words * 6)),
+        "stops": rule((f("n_stops") * 3 <= words) & (f("n_stops") * 40 >= words), (f("n_stops") * 2 > words) | (f("n_stops") * 100 < words)),
+        "line_words": rule(words >= lines * 5, (lines >= 5) & (words < lines * 3)),
+        "digits": rule(f("n_digits") * 20 <= chars, enough & (f("n_digits") * 4 > chars)),
     }
 
 
 class VoteModel:
-    """Share of good texts and each rule's accuracy, estimated from the votes alone."""
+    """Share of good texts, and of each rule how often it votes -1, 0 and 1 on good and on bad ones."""
 
-    def __init__(self, share: float, accuracy: dict[str, float]):
-        self.share, self.accuracy = share, accuracy
+    def __init__(self, share: float, good: dict[str, tuple[float, ...]], bad: dict[str, tuple[float, ...]]):
+        self.share, self.good, self.bad = share, good, bad
+
+    def weights(self) -> dict[str, tuple[float, ...]]:
+        """What each vote of a rule adds to the log odds of good; an abstention counts as well."""
+        return {n: tuple(math.log(g / b) for g, b in zip(self.good[n], self.bad[n], strict=True)) for n in self.good}
 
     def posterior(self) -> Column:
         """Probability that a text is good, given its votes (columns _v_<rule>)."""
         odds = F.lit(math.log(self.share / (1 - self.share)))
-        for name, a in self.accuracy.items():
-            odds = odds + F.col(f"_v_{name}") * math.log(a / (1 - a))
+        for name, (against, none, favour) in self.weights().items():
+            odds = odds + F.when(F.col(f"_v_{name}") < 0, against).when(F.col(f"_v_{name}") > 0, favour).otherwise(none)
         return 1 / (1 + F.exp(-odds))
 
 
 def fit(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> VoteModel:
     """Expectation maximisation over the distinct vote patterns, 3^rules of them at most.
 
-    Each round is one aggregation: the posterior of each pattern under the last estimates, then
-    from its sums the share of good texts and each rule's accuracy over what it voted on. It
-    starts with accuracies of 0.8, so that rules are right more often than not.
+    Each round is one aggregation: the posterior of each pattern under the last estimates (at
+    first: whether any rule votes against), then from its sums the share of good texts and how
+    each rule votes on either class. The two classes get rates of their own, so a rule may be
+    sure of one and blind for the other, and an abstention says what it is worth. Rates lean a
+    little towards the rule's votes on all texts, which keeps them off 0.
     """
     columns = [f"_v_{n}" for n in names]
     patterns = saved(voted.groupBy(*columns).agg(F.count("*").alias("_n")).coalesce(1), "votes")
-    model = VoteModel(0.8, dict.fromkeys(names, 0.8))
+    p = F.when(F.array_min(F.array(*columns)) < 0, OPPOSED).otherwise(UNOPPOSED)
+    model = VoteModel(UNOPPOSED, {}, {})
     for _ in range(rounds):
-        p = F.col("_p")
-        sums = patterns.withColumn("_p", model.posterior()).agg(
-            F.sum("_n").alias("n"),
-            F.sum(F.col("_n") * p).alias("good"),
-            *[F.sum(F.col("_n") * F.when(F.col(c) > 0, p).when(F.col(c) < 0, 1 - p).otherwise(0.0)).alias(f"r{c}") for c in columns],
-            *[F.sum(F.when(F.col(c) != 0, F.col("_n")).otherwise(0)).alias(f"n{c}") for c in columns],
+        weight = {"g": F.col("_n") * F.col("_p"), "b": F.col("_n") * (1 - F.col("_p"))}
+        row = (
+            patterns.withColumn("_p", p)
+            .agg(
+                F.sum("_n").alias("n"),
+                F.sum(weight["g"]).alias("good"),
+                *[F.sum(F.when(F.col(c) == v, w).otherwise(0.0)).alias(f"{k}{v}{c}") for c in columns for v in (-1, 0, 1) for k, w in weight.items()],
+            )
+            .first()
         )
-        row = sums.first()
         if not row["n"]:
             break
-        model = VoteModel(
-            min(max(row["good"] / row["n"], RARE), 1 - RARE),
-            {n: min(max(row[f"r{c}"] / row[f"n{c}"], LEAST), MOST) if row[f"n{c}"] else 0.8 for n, c in zip(names, columns, strict=True)},
-        )
+        n, held = row["n"], PRIOR * row["n"] + 1
+        size = {"g": row["good"], "b": n - row["good"]}
+        every = {c: [(row[f"g{v}{c}"] + row[f"b{v}{c}"] + 1) / (n + 3) for v in (-1, 0, 1)] for c in columns}
+        rates = {
+            k: {name: tuple((row[f"{k}{v}{c}"] + held * x) / (size[k] + held) for v, x in zip((-1, 0, 1), every[c], strict=True)) for name, c in zip(names, columns, strict=True)}
+            for k in "gb"
+        }
+        model = VoteModel((row["good"] + 1) / (n + 2), rates["g"], rates["b"])
+        p = model.posterior()
     return model
 
 
@@ -158,8 +177,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_repeat_words, quality_probability, base_failed and kept.
 
     A text fails the base if it has under 10 words or over a fifth of its words lie in repeated
-    5-word windows; others are kept if the posterior probability reaches keep_at. A null or empty
-    text fails. Columns of docs with one of these names, or that begin with _v_ or _f, are
+    5-word windows. The rules look at other things; their rates are estimated on the texts that
+    pass the base, and of these the ones whose posterior probability reaches keep_at are kept. A
+    null or empty text fails. Columns of docs with one of these names, or that begin with _v_ or _f, are
     replaced. Repeated rows and null ids stay as they are; an empty table gives none.
     """
     rules = votes()
@@ -171,8 +191,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rest = ["doc_id"]
         made = features(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text")), "_text").drop("_text")
     voted = saved(made.withColumns({f"_v_{n}": v.cast("tinyint") for n, v in rules.items()}), "rules")
-    model = fit(voted, list(rules))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    passed = voted.select(F.col("_f.n_words").alias("n_words"), F.col("_f.n_repeat_words").alias("n_repeat_words"), *[f"_v_{n}" for n in rules]).where(~failed)
+    model = fit(passed, list(rules))
     return (
         voted.withColumn("quality_probability", F.round(model.posterior(), 6))
         .select(*rest, *[F.col(f"_f.{c}") for c in BASE], "quality_probability")

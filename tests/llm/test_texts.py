@@ -1,6 +1,7 @@
 """BPE, packing, token counts, media columns and rules against brute force and round trips."""
 
 import hashlib
+import math
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from packaudit.llm import bpe, matroska, packing, queries, rules, token_counts
-from tests.llm.cases import SCHEMA, frame, rows, words_of
+from tests.llm.cases import SCHEMA, frame, rows, words, words_of
 
 tokenizers = pytest.importorskip("tokenizers")
 PATH = queries.vocabulary()
@@ -50,8 +51,22 @@ def test_any_text_encodes_like_the_library(text):
 
 def test_whole_vocabulary(library):
     encoder = bpe.cache_for(PATH).encoder
-    found = encoder.words({t.removesuffix("</w>") for t in list(encoder.vocab)[:3000:7] if t.isascii() and t.removesuffix("</w>").islower() and t.removesuffix("</w>").isalpha()})
-    assert found and all(ids == ids_of(library, w) for w, ids in found)
+    found = encoder.words({t.removesuffix("</w>") for t in list(library.get_vocab())[::7] if t.isascii() and t.removesuffix("</w>").islower() and t.removesuffix("</w>").isalpha()})
+    assert found and all(ids == ids_of(library, w.decode()) for w, ids in found)
+
+
+def test_cache_keeps_a_bound_of_bytes(monkeypatch, library):
+    """Generations roll over, long pieces live for one slice, and ids stay the library's."""
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 200 * bpe.ENTRY_BYTES)
+    cache = bpe.Cache(bpe.cache_for(PATH).encoder)
+    for k in range(12):
+        texts = [f"word{k} {'long' * 40}{k} again, " + " ".join(f"w{k}x{i}" for i in range(90))] * 2
+        cut = [cache.encoder.pieces(t) for t in texts]
+        cache.learn(cut)
+        ids = b"".join(cache.ids[p] for p in cut[0])
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == ids_of(library, texts[0])
+        assert len(cache.ids) + len(cache.old[0]) < 900
+        assert sum(len(p) > bpe.LONGEST_KEPT for p in cache.ids) <= 2
 
 
 def test_packing_places_every_piece_once(spark, library):
@@ -75,6 +90,19 @@ def test_packing_places_every_piece_once(spark, library):
     assert len(bins) <= -(-sum(r["length"] for r in got) // 64) + 1
 
 
+def test_packing_in_salted_parts(spark, monkeypatch):
+    """Parts of a length rank after one another; pieces of the full capacity stand alone."""
+    monkeypatch.setattr(packing, "RANKED", 10)
+    made = [(i, 0, [5, 7, 9, 10][i % 4]) for i in range(400)]
+    got = packing.pack_pieces(spark.createDataFrame(made, "doc_id long, piece int, length long"), 10).collect()
+    assert Counter((r["doc_id"], r["length"]) for r in got) == Counter((d, n) for d, _, n in made)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in b) <= 10 and sorted(b)[0][0] == 0 for b in bins.values())
+    assert len(bins) == 100 + 50 + 100 + 100 and sum(k < 0 for k in bins) == 100
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(frame(spark, []), PATH).count() == 0
 
@@ -160,25 +188,62 @@ def test_rules_base(spark):
     assert rules.quality_rules(frame(spark, [])).count() == 0
 
 
-def test_rules_estimates_like_plain_python(spark):
-    import math
-
-    names = list(rules.votes())
-    made = rules.features(frame(spark).select("doc_id", "text")).withColumns({f"_v_{n}": v for n, v in rules.votes().items()}).drop("_f")
-    model = rules.fit(made, names)
-    votes = [[r[f"_v_{n}"] for n in names] for r in made.collect()]
-    share, accuracy = 0.8, [0.8] * len(names)
+def estimated(votes):
+    """(share, rates on good, rates on bad) of lists of votes, one by one in plain Python."""
+    n, held = len(votes), rules.PRIOR * len(votes) + 1
+    p = [rules.OPPOSED if min(v) < 0 else rules.UNOPPOSED for v in votes]
     for _ in range(rules.ROUNDS):
+        share, good, bad = (sum(p) + 1) / (n + 2), [], []
+        for k in range(len(votes[0])):
+            every = [(sum(v[k] == x for v in votes) + 1) / (n + 3) for x in (-1, 0, 1)]
+            for out, w in ((good, p), (bad, [1 - q for q in p])):
+                out.append([(sum(q for q, v in zip(w, votes, strict=True) if v[k] == x) + held * e) / (sum(w) + held) for x, e in zip((-1, 0, 1), every, strict=True)])
         p = []
         for v in votes:
-            odds = math.log(share / (1 - share)) + sum(x * math.log(a / (1 - a)) for x, a in zip(v, accuracy, strict=True))
+            odds = math.log(share / (1 - share)) + sum(math.log(good[k][x + 1] / bad[k][x + 1]) for k, x in enumerate(v))
             p.append(1 / (1 + math.exp(-odds)))
-        share = min(max(sum(p) / len(p), rules.RARE), 1 - rules.RARE)
-        for i in range(len(names)):
-            cast = [(q if v[i] > 0 else 1 - q) for q, v in zip(p, votes, strict=True) if v[i]]
-            accuracy[i] = min(max(sum(cast) / len(cast), rules.LEAST), rules.MOST) if cast else 0.8
-    assert model.share == pytest.approx(share)
-    assert [model.accuracy[n] for n in names] == pytest.approx(accuracy)
+    return share, good, bad, p
+
+
+def spam_and_prose(spark):
+    """Prose, menus and symbol spam, all of which pass the base, and some that fail it."""
+    made, filler = [], "the of and to in is that it for was".split()
+    for i in range(120):
+        w = words(80 + i % 40, 500 + i)
+        if i % 6 == 0:
+            text = " | ".join(w)
+        elif i % 6 == 1 and i % 4 == 1:
+            text = " ".join(x + "&&&" for x in w)
+        else:
+            text = "".join(f"{x} {filler[(i + j) % 10]}{'. ' if j % 6 == 5 else ' '}" for j, x in enumerate(w))
+        made.append((i, text))
+    return spark.createDataFrame([*made, (900, "a b c"), (901, "x y z u v " * 9), (902, None)], "doc_id long, text string")
+
+
+def test_rules_estimate_like_plain_python(spark):
+    names = list(rules.votes())
+    for table in (frame(spark).select("doc_id", "text"), spam_and_prose(spark)):
+        made = rules.features(table).withColumns({f"_v_{n}": v for n, v in rules.votes().items()}).drop("_f")
+        model = rules.fit(made, names)
+        share, good, bad, _ = estimated([[r[f"_v_{n}"] for n in names] for r in made.collect()])
+        assert model.share == pytest.approx(share)
+        for k, n in enumerate(names):
+            assert model.good[n] == pytest.approx(good[k]) and model.bad[n] == pytest.approx(bad[k])
+
+
+def test_rules_verdict_is_more_than_the_base(spark):
+    """The whole verdict by hand: votes of texts that pass the base, their posterior, and spam that goes though it passes."""
+    table = spam_and_prose(spark)
+    got = {r["doc_id"]: r for r in rules.quality_rules(table).collect()}
+    made = rules.features(table).withColumns({f"_v_{n}": v for n, v in rules.votes().items()})
+    rows = [r for r in made.collect() if not got[r["doc_id"]]["base_failed"]]
+    *_, p = estimated([[r[f"_v_{n}"] for n in rules.votes()] for r in rows])
+    for r, q in zip(rows, p, strict=True):
+        assert got[r["doc_id"]]["quality_probability"] == pytest.approx(q, abs=2e-6)
+        assert got[r["doc_id"]]["kept"] == (q >= 0.5)
+    spam = {i for i in range(120) if i % 6 == 0 or (i % 6 == 1 and i % 4 == 1)}
+    assert {i for i, r in got.items() if not r["kept"]} == spam | {900, 901, 902}
+    assert {i for i, r in got.items() if r["base_failed"]} == {900, 901, 902}
 
 
 def test_clashing_columns_survive_with_rows(spark):
