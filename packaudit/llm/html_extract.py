@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -36,12 +38,15 @@ OTHER_NAMES = re.compile(
     r"relat|recommend|form|login|subscri|newsletter|popup|modal|breadcrumb|pag(er|ination)|widget|copyright|meta|tags?\b",
     re.I,
 )
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+#: Class, id and role tokens are features by a hash, so many of them.
+TOKENS = 32
 KINDS = ["", "article main", "section div", "p blockquote pre", "h1 h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "nav", "header", "footer", "aside", "form fieldset button select option label legend", "table tbody thead tr td th"]
 KIND = {tag: i for i, tags in enumerate(KINDS) for tag in tags.split()}
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*(?:["'][^>]*)?)>|<[!?/][^>]*(?:>|\Z)""", re.S
-)
+HEAD = re.compile(r"<(/?)([A-Za-z][^\s/><]*)")
+VALUE = re.compile(r"""=\s*(["'])""")
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})\b", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAMES = [
     "kind", "parent_kind", "depth", "content_name", "other_name", "content_above", "other_above", "in_article", "in_other", "text", "words",
@@ -49,6 +54,45 @@ NAMES = [
 ]
 
 
+def tokens(html: str) -> Iterator[tuple[int, int, str, str | None, str]]:
+    """(start, end, '/' of an end tag, tag or None for a comment or declaration, attributes).
+
+    Each byte is looked at a fixed number of times: a tag ends at the first > outside quoted
+    values, a quote that is never closed counts for nothing, a comment that isn't ends at its
+    first >, and where no > is left, the rest is text.
+    """
+    at, missing = 0, set()
+
+    def find(what: str, start: int) -> int:
+        found = -1 if what in missing else html.find(what, start)
+        if found < 0:
+            missing.add(what)
+        return found
+
+    while (start := find("<", at)) >= 0:
+        if m := HEAD.match(html, start):
+            i, end = m.end(), find(">", m.end())
+            while end >= 0 and (q := VALUE.search(html, i, end)):
+                i = find(q[1], q.end()) + 1
+                if not i:
+                    break
+                if i > end:
+                    end = find(">", i)
+            if end < 0:
+                return
+            yield start, end + 1, m[1], m[2].lower(), html[m.end() : end]
+            at = end + 1
+        elif html[start + 1 : start + 2] in ("!", "?", "/"):
+            end = find("-->", start + 4) + 2 if html.startswith("<!--", start) else 1
+            end = find(">", start) if end < 2 else end
+            if end < 0:
+                return
+            yield start, end + 1, "", None, ""
+            at = end + 1
+        else:
+            at = start + 1
+
+
 class Page:
     """The block tree of a page. Text between block boundaries is a leaf of the block around it."""
 
@@ -76,8 +120,8 @@ class Page:
             parts.clear()
             linked = 0
 
-        for m in TOKEN.finditer(html):
-            start, end = m.span()
+        unclosed: set[str] = set()
+        for start, end, closing, tag, attributes in tokens(html):
             if start < skip:
                 continue
             if start > at:
@@ -85,11 +129,9 @@ class Page:
                 if link:
                     linked += start - at
             at = end
-            tag = m[2]
             if tag is None:
                 continue
-            tag = tag.lower()
-            if m[1]:
+            if closing:
                 if tag == "a":
                     link = max(0, link - 1)
                 elif tag in BLOCKS:
@@ -98,10 +140,17 @@ class Page:
                         close_from(place)
                     link = 0
                 continue
-            if tag in RAW and not m[3].endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, end)
-                at = skip = close.end() if close else len(html)
+            if tag in RAW and not attributes.endswith("/"):
+                close = None if tag in unclosed else RAW_END[tag].search(html, end)
                 parts.append(" ")
+                if close:
+                    at = skip = close.end()
+                    continue
+                # never closed: code goes as far as the next block, the text behind other elements stays
+                unclosed.add(tag)
+                if tag in ("script", "style"):
+                    block = BLOCK_TAG.search(html, end)
+                    at = skip = block.start() if block else len(html)
                 continue
             if tag == "a":
                 link += 1
@@ -120,8 +169,8 @@ class Page:
                 if place > innermost(within):
                     close_from(place)
             names, mark = "", None
-            if m[3]:
-                for name, a, b, c in ATTRIBUTE.findall(m[3]):
+            if attributes:
+                for name, a, b, c in ATTRIBUTE.findall(attributes):
                     if name.lower() == "data-y":
                         mark = (a or b or c) == "1"
                     else:
@@ -185,6 +234,10 @@ class Page:
             tags[p] += tags[i]
             paragraphs[p] += paragraphs[i]
             fields[p] += fields[i]
+        names = np.zeros((n, TOKENS), np.float32)
+        for i, s in enumerate(self.names):
+            if s:
+                names[i, [_token_place(t) for t in s.lower().split()]] = 1
         c, w, l = (np.array(x, np.float64) for x in (chars, words, links))
         up = np.maximum(np.array(parent), 0)
         count = np.maximum(np.array(children, np.float64)[up], 1)
@@ -194,6 +247,7 @@ class Page:
                 kind, np.array(kind)[up], depth, content, other, content_up, other_up, in_article, in_other, np.log1p(c), np.log1p(w),
                 l / np.maximum(c, 1), c / np.maximum(tags, 1), np.array(marks) / np.maximum(w, 1), paragraphs, fields, count, np.array(before) / count,
                 np.array(starts) / total, c / total, c[up] / count, l[up] / np.maximum(c[up], 1), [t is not None for t in self.text],
+                names, names[up],
             ]
         ).astype(np.float32)
 
@@ -230,6 +284,12 @@ class Page:
         return "\n".join(out)
 
 
+@lru_cache(1 << 14)
+def _token_place(token: str) -> int:
+    """The feature of a class, id or role token; digits in it don't count."""
+    return zlib.crc32(re.sub(r"\d+", "", token).encode()) % TOKENS
+
+
 class Forest:
     """Boosted trees with logistic loss; each tree asks DEPTH questions a row, from a table of features and limits."""
 
