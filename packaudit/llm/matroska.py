@@ -18,6 +18,7 @@ from packaudit.llm.common import slices
 # Element ids of the Matroska specification
 EBML, DOC_TYPE, SEGMENT, INFO, TIMESTAMP_SCALE, DURATION = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86
+DEFAULT_DURATION = 0x23E383
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
@@ -80,7 +81,7 @@ def mux(payload: bytes) -> bytes:
     audio = _element(AUDIO, _element(SAMPLING_FREQUENCY, struct.pack(">d", RATE)), _uint(CHANNELS, 1), _uint(BIT_DEPTH, 8))
     tracks = _element(
         TRACKS,
-        _element(TRACK_ENTRY, _uint(TRACK_NUMBER, 1), _uint(TRACK_UID, 1), _uint(TRACK_TYPE, 2), _uint(FLAG_LACING, 1), _element(CODEC_ID, b"A_PCM/INT/LIT"), audio),
+        _element(TRACK_ENTRY, _uint(TRACK_NUMBER, 1), _uint(TRACK_UID, 1), _uint(TRACK_TYPE, 2), _uint(FLAG_LACING, 1), _uint(DEFAULT_DURATION, FRAME * 1_000_000_000 // RATE), _element(CODEC_ID, b"A_PCM/INT/LIT"), audio),
     )
     parts, cues, at = [info, tracks], [], len(info) + len(tracks)
     for c in range(0, len(frames), LACED * BLOCKS):
@@ -123,9 +124,12 @@ def _elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, i
                 _, body = _vint(data, stop, True)
                 n, body = _vint(data, body, False)
                 stop = body + n
-        if stop > end:
+        if stop > end and element not in (SEGMENT, CLUSTER, BLOCK_GROUP):
             raise ValueError(f"the element at byte {start} ends beyond its parent")
-        yield element, start, at, stop
+        # of a container that is cut off, what is there is read first
+        yield element, start, at, min(stop, end)
+        if stop > end:
+            raise ValueError(f"the element at byte {start} is cut off")
         at = stop
 
 
@@ -165,9 +169,11 @@ def parse(data: bytes) -> dict:
     """Tracks, packets, cues and clusters of a file; what can't be read ends the tables, with an `error`.
 
     packets: (track, timestamp_ms, byte offset, bytes, lacing, cluster's position in the segment).
+    The frames of a laced block follow one another at the track's default duration, if it states one.
     """
     out: dict = {"tracks": [], "packets": [], "cues": [], "clusters": 0, "error": None}
     scale, packets = 1_000_000, out["packets"]
+    frame_ns: dict[int, int] = {}  # of each track that states it
     try:
         for top, _, top_at, top_stop in _elements(data, 0, len(data)):
             if top != SEGMENT:
@@ -178,6 +184,8 @@ def parse(data: bytes) -> dict:
                 elif element == TRACKS:
                     for _, _, a, s in (x for x in _elements(data, at, stop) if x[0] == TRACK_ENTRY):
                         own = {e: data[b:t] for e, _, b, t in _elements(data, a, s)}
+                        number = int.from_bytes(own.get(TRACK_NUMBER, b""), "big")
+                        frame_ns[number] = int.from_bytes(own.get(DEFAULT_DURATION, b""), "big")
                         out["tracks"].append((int.from_bytes(own.get(TRACK_NUMBER, b""), "big"), own.get(CODEC_ID, b"").decode("latin1")))
                 elif element == CLUSTER:
                     out["clusters"] += 1
@@ -194,7 +202,8 @@ def parse(data: bytes) -> dict:
                         relative, flags = struct.unpack_from(">hB", data, a)
                         kind = flags >> 1 & 3
                         time = (base + relative) * scale // 1_000_000
-                        packets += [(track, time, offset, size, kind, start - top_at) for offset, size in _laced(data, a + 3, s, kind)]
+                        step = frame_ns.get(track, 0)
+                        packets += [(track, time + i * step // 1_000_000, offset, size, kind, start - top_at) for i, (offset, size) in enumerate(_laced(data, a + 3, s, kind))]
                 elif element == CUES:
                     for _, _, a, s in _elements(data, at, stop):
                         time, places = 0, []

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from packaudit.llm.bpe import lengths
 from packaudit.llm.common import saved
 
-#: Lengths per block of the suffix sums.
-BLOCK = 1024
-
-
 def length_histogram(docs: DataFrame, path: str) -> DataFrame:
     """(n_tokens, n_docs): documents by encoded length. Null and empty texts have length 0."""
     return lengths(docs, path).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
@@ -26,32 +22,28 @@ def limits(histogram: DataFrame) -> DataFrame:
     whose share reaches it). Totals between two lengths follow linearly: docs_longer tokens
     for each step of the limit.
 
-    Suffix sums run inside blocks of 1,024 lengths and then over the blocks' totals, so no task
-    holds more than a block's rows and the number of blocks (the longest text / 1,024).
+    Suffix sums run inside blocks of 1,024 lengths, then over the blocks' totals inside groups of
+    1,024 blocks, then over the groups (the longest text / 1,048,576): no task holds more rows
+    than that of one level.
     """
-    rows = histogram.select("n_tokens", "n_docs", F.floor(F.col("n_tokens") / BLOCK).cast("long").alias("_block"))
-    blocks = rows.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("_t"))
-    # one row with all block totals: a 1,024th of the longest text's length
-    every = blocks.agg(F.collect_list(F.struct("_block", "_d", "_t")).alias("_all"))
-    every = every.select(F.explode("_all").alias("_own"), "_all").select(F.col("_own._block").alias("_block"), "_all")
+    rows = histogram.select("n_tokens", "n_docs", (F.col("n_docs") * F.col("n_tokens")).alias("_t"), F.shiftright("n_tokens", 10).alias("_block"))
+    blocks = rows.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum("_t").alias("_t")).withColumn("_group", F.shiftright("_block", 10))
+    groups = blocks.groupBy("_group").agg(F.sum("_d").alias("_d"), F.sum("_t").alias("_t"))
 
-    def total(field: str, condition) -> F.Column:
-        return F.aggregate(F.filter("_all", condition), F.lit(0).cast("long"), lambda a, x: a + x[field])
+    def beyond(table: DataFrame, within: list, order: str, docs: str, tokens: str, name: str) -> DataFrame:
+        """table with the sums of docs and tokens over the rows of its part that come later."""
+        later = Window.partitionBy(*within).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+        return table.withColumns({f"_d_{name}": F.coalesce(F.sum(docs).over(later), F.lit(0)), f"_t_{name}": F.coalesce(F.sum(tokens).over(later), F.lit(0))})
 
-    beyond = every.select(
-        "_block",
-        total("_d", lambda x: x["_block"] > F.col("_block")).alias("_d_beyond"),
-        total("_t", lambda x: x["_block"] > F.col("_block")).alias("_t_beyond"),
-        total("_d", lambda x: F.lit(True)).alias("_docs"),
-        total("_t", lambda x: F.lit(True)).alias("tokens_total"),
-    )
-    later = Window.partitionBy("_block").orderBy("n_tokens").rowsBetween(1, Window.unboundedFollowing)
+    totals = groups.agg(F.sum("_d").alias("_docs"), F.sum("_t").alias("tokens_total"))
+    of_group = beyond(groups.withColumn("_all", F.lit(0)), ["_all"], "_group", "_d", "_t", "groups").select("_group", "_d_groups", "_t_groups")
+    of_block = beyond(blocks, ["_group"], "_block", "_d", "_t", "blocks").join(of_group, "_group").drop("_d", "_t", "_group")
     return (
-        rows.withColumn("_d_in", F.coalesce(F.sum("n_docs").over(later), F.lit(0)))
-        .withColumn("_t_in", F.coalesce(F.sum(F.col("n_docs") * F.col("n_tokens")).over(later), F.lit(0)))
-        .join(beyond, "_block")
-        .withColumn("docs_longer", F.col("_d_in") + F.col("_d_beyond"))
-        .withColumn("_longer", F.col("_t_in") + F.col("_t_beyond"))
+        beyond(rows, ["_block"], "n_tokens", "n_docs", "_t", "in")
+        .join(of_block, "_block")
+        .crossJoin(F.broadcast(totals))
+        .withColumn("docs_longer", F.col("_d_in") + F.col("_d_blocks") + F.col("_d_groups"))
+        .withColumn("_longer", F.col("_t_in") + F.col("_t_blocks") + F.col("_t_groups"))
         .select(
             F.col("n_tokens").alias("context_limit"),
             "n_docs",
@@ -64,6 +56,16 @@ def limits(histogram: DataFrame) -> DataFrame:
     )
 
 
+def at_limit(histogram: DataFrame, limit: int) -> DataFrame:
+    """(context_limit, docs_longer, truncated_total) for any limit, also between two lengths; one row, zeros for an empty table."""
+    n = F.col("n_tokens")
+    return histogram.agg(
+        F.lit(limit).cast("long").alias("context_limit"),
+        F.coalesce(F.sum(F.when(n > limit, F.col("n_docs"))), F.lit(0)).alias("docs_longer"),
+        F.coalesce(F.sum(F.least(n, F.lit(limit)) * F.col("n_docs")), F.lit(0)).alias("truncated_total"),
+    )
+
+
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """limits() of the documents; an empty table gives no rows."""
     return limits(saved(length_histogram(docs, path), "histogram"))
