@@ -40,7 +40,7 @@ def truncated(chunks: DataFrame, n: int) -> DataFrame:
 
 def citations(text: Column) -> Column:
     """Ids in square brackets, several to a bracket; blanks and severity words are none."""
-    groups = F.regexp_extract_all(text, F.lit(r"\[([^\]]*)\]"), 1)
+    groups = F.regexp_extract_all(text, F.lit(r"\[([^\[\]]+)\]"), 1)
     ids = F.flatten(F.transform(groups, lambda g: F.split(g, "[,;]")))
     return F.filter(F.transform(ids, lambda c: F.trim(c)), lambda c: (c != "") & ~F.lower(c).isin("critical", "warning", "info"))
 
@@ -99,10 +99,10 @@ def row_clusters(spans: DataFrame, reach: float = 3.0) -> DataFrame:
 
 
 def hashed_vectors(texts: DataFrame, size: int = 768) -> DataFrame:
-    """(id, idx, weight, value): tokens hashed to signed places, and the weights at unit length."""
+    """(id, idx, weight, value): tokens hashed to places, +1 where the fifth byte of the hash is odd, else -1; the weights at unit length."""
     token = texts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)).alias("t")).withColumn("h", F.sha2("t", 256))
     idx = (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % size).cast("int")
-    sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
     weights = token.groupBy("id", idx.alias("idx")).agg(F.sum(sign).alias("weight")).where("weight <> 0")
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id")))
     return weights.withColumn("value", F.round(F.col("weight") / norm, 6))

@@ -69,12 +69,13 @@ def account_rollup(statements: DataFrame) -> DataFrame:
     )
 
 
-def package_findings(inventory: DataFrame, months: DataFrame) -> DataFrame:
-    """MISSING_BANK_MONTHS, MISSING_CORE_DOCUMENTS and DOCUMENT_EXTRACTION_FAILURES of each package."""
+def package_findings(inventory: DataFrame, months: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """DUPLICATE_DOCUMENT, MISSING_BANK_MONTHS, MISSING_CORE_DOCUMENTS and DOCUMENT_EXTRACTION_FAILURES of each package, all warnings."""
     gaps = months.groupBy("application_id").agg(F.array_join(F.array_sort(F.collect_list("month")), ", ").alias("detail")).withColumn("code", F.lit("MISSING_BANK_MONTHS"))
     kinds = inventory.where("missing <> ''").select("application_id", F.replace("missing", F.lit(","), F.lit(", ")).alias("detail"), F.lit("MISSING_CORE_DOCUMENTS").alias("code"))
     failed = inventory.where("failed_count > 0").select("application_id", F.col("failed_count").cast("string").alias("detail"), F.lit("DOCUMENT_EXTRACTION_FAILURES").alias("code"))
-    return gaps.unionByName(kinds).unionByName(failed)
+    twice = duplicates.select("application_id", F.col("document_id").alias("detail"), F.lit("DUPLICATE_DOCUMENT").alias("code"))
+    return gaps.unionByName(kinds).unionByName(failed).unionByName(twice).withColumn("severity", F.lit("warning"))
 
 
 def all_failed(inventory: DataFrame) -> DataFrame:

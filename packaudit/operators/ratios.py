@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packaudit.functions.money import AMOUNT, RATIO, half_up, ratio
@@ -44,6 +44,16 @@ def ratio_set(periods: DataFrame) -> DataFrame:
     return made.select("application_id", "document_id", "year", F.explode(rows).alias("_r")).select("application_id", "document_id", "year", "_r.*")
 
 
+INPUTS = ["current_assets", "current_liabilities", "non_current_liabilities", "total_equity", "net_profit", "revenue", "ebit", "interest_expense"]
+
+
+def newest_ratios(periods: DataFrame) -> DataFrame:
+    """ratio_set() of each application's newest period, with the lines that it comes from as text."""
+    last = periods.withColumn("_n", F.row_number().over(Window.partitionBy("application_id").orderBy(F.desc("year")))).where("_n = 1").drop("_n")
+    inputs = last.select("application_id", F.concat_ws(";", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in INPUTS]).alias("inputs"))
+    return ratio_set(last).join(inputs, "application_id")
+
+
 def derived_lines(periods: DataFrame, tax_rate: str = "0.24") -> DataFrame:
     """Gross profit, EBIT, profit before tax, tax, net profit and the balance-sheet totals."""
     c = F.col

@@ -57,11 +57,18 @@ def ratings(findings: DataFrame, metrics: DataFrame) -> DataFrame:
     return rows.select("application_id", F.explode(pairs).alias("_r")).select("application_id", "_r.*")
 
 
-def concentration(chunks: DataFrame, phrase: Column) -> DataFrame:
-    """Percentages of 50 and more on the lines that a condition on `line` picks: distinct, ascending, per document."""
-    lines = chunks.select("document_id", F.explode(F.split("text", "\n")).alias("line")).where(phrase)
-    each = lines.select("document_id", F.explode(F.regexp_extract_all("line", F.lit(r"(\d+)%"), 1)).alias("p")).withColumn("p", F.col("p").cast("long")).where("p >= 50")
-    return each.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("p")), lambda x: x.cast("string")), ",").alias("percentages"))
+# Phrases that a line on concentration has
+CONCENTRATION = r"(?i)customer concentration|supplier dependence|supplier concentration"
+
+
+def concentration(chunks: DataFrame, least: float = 50.0) -> DataFrame:
+    """(application_id, percentages, chunk_ids): percentages of `least` and more on lines of management accounts
+    that speak of concentration, distinct and ascending, and the chunks that have them."""
+    lines = chunks.where("kind = 'management_accounts'").select("application_id", "chunk_id", F.explode(F.split("text", r"\R")).alias("line")).where(F.col("line").rlike(CONCENTRATION))
+    found = F.regexp_extract_all("line", F.lit(r"(?<!\d)(\d{1,3}(?:\.\d+)?)\s*%"), 1)
+    each = lines.select("application_id", "chunk_id", F.explode(found).alias("p")).withColumn("p", F.col("p").cast("double")).where(F.col("p") >= least)
+    sets = each.groupBy("application_id").agg(F.array_sort(F.collect_set("p")).alias("_p"), F.array_sort(F.collect_set("chunk_id")).alias("_c"))
+    return sets.select("application_id", F.array_join(F.transform("_p", lambda x: x.cast("string")), ",").alias("percentages"), F.array_join("_c", ",").alias("chunk_ids"))
 
 
 def sparse_top(queries: DataFrame, chunks: DataFrame, k: int, least: float) -> DataFrame:

@@ -266,9 +266,12 @@ VIEWS["f_ratio"] = f"""SELECT application_id, document_id, year, 'current_ratio'
     UNION ALL SELECT application_id, document_id, year, 'debt_service', NULL, 'insufficient_data' FROM f_period"""
 
 
-@query("SELECT * FROM f_ratio")
+_INPUTS = " || ';' || ".join(f"'{c}=' || CAST({c} AS DECIMAL(18,2))" for c in ratios.INPUTS)
+
+
+@query(f"SELECT r.*, inputs FROM f_ratio r JOIN (SELECT document_id, {_INPUTS} AS inputs FROM f_period QUALIFY row_number() OVER (PARTITION BY application_id ORDER BY year DESC) = 1) USING (document_id)")
 def r6_ratio_set(spark, d):
-    return ratios.ratio_set(views.periods(spark, d))
+    return ratios.newest_ratios(views.periods(spark, d))
 
 
 def _one_ratio(key: str, name: str) -> None:

@@ -109,11 +109,13 @@ def a8_account_rollup(spark, d):
     return inventory.account_rollup(views.statements(spark, d))
 
 
-@query("""SELECT application_id, string_agg(month, ', ' ORDER BY month) AS detail, 'MISSING_BANK_MONTHS' AS code FROM f_missing GROUP BY 1
+@query("""SELECT *, 'warning' AS severity FROM (SELECT application_id, string_agg(month, ', ' ORDER BY month) AS detail, 'MISSING_BANK_MONTHS' AS code FROM f_missing GROUP BY 1
     UNION ALL SELECT application_id, replace(missing, ',', ', '), 'MISSING_CORE_DOCUMENTS' FROM f_inventory WHERE missing <> ''
-    UNION ALL SELECT application_id, CAST(failed_count AS VARCHAR), 'DOCUMENT_EXTRACTION_FAILURES' FROM f_inventory WHERE failed_count > 0""")
+    UNION ALL SELECT application_id, CAST(failed_count AS VARCHAR), 'DOCUMENT_EXTRACTION_FAILURES' FROM f_inventory WHERE failed_count > 0
+    UNION ALL SELECT application_id, document_id, 'DUPLICATE_DOCUMENT' FROM (SELECT application_id, document_id, row_number() OVER (PARTITION BY application_id, sha256 ORDER BY upload_ord) AS r FROM f_docs) WHERE r > 1)""")
 def r8_package_findings(spark, d):
-    return inventory.package_findings(inventory.package_inventory(with_status(spark, d)), cashflow.missing_months(views.monthly_statements(spark, d)))
+    docs = with_status(spark, d)
+    return inventory.package_findings(inventory.package_inventory(docs), cashflow.missing_months(views.monthly_statements(spark, d)), inventory.duplicate_documents(docs))
 
 
 def jobs(spark, d):
@@ -151,8 +153,11 @@ def w16_case_timeline(spark, d):
     return history.timeline(jobs(spark, d), "job_id", ["ts", "event_id"]).select("job_id", "event_id", "status", "previous_status")
 
 
-@query("""SELECT run_id, node, n AS steps, round(m, 4) AS p50_ms, round(CASE WHEN n = 1 THEN x[1] ELSE x[j] + (x[j + 1] - x[j]) * (19 * (n + 1) - 20 * j) / 20 END, 4) AS p95_ms FROM (
-    SELECT *, greatest(1, least(CAST(floor(19 * (n + 1) / 20) AS INT), n - 1)) AS j FROM (SELECT user_id AS run_id, event_type AS node, count(*) AS n, median(value) AS m, list(value ORDER BY value) AS x FROM events GROUP BY ALL))""")
+A15_SQL = """SELECT run_id, node, n AS steps, round(m, 4) AS p50_ms, round(CASE WHEN n = 1 THEN x[1] ELSE x[j] + (x[j + 1] - x[j]) * (19 * (n + 1) - 20 * j) / 20 END, 4) AS p95_ms FROM (
+    SELECT *, greatest(1, least(CAST(floor(19 * (n + 1) / 20) AS INT), n - 1)) AS j FROM (SELECT user_id AS run_id, event_type AS node, count(*) AS n, median(value) AS m, list(value ORDER BY value) AS x FROM events GROUP BY ALL))"""
+
+
+@query(A15_SQL)
 def a15_latency(spark, d):
     return history.latency(views.table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("node"), F.col("value").alias("ms")))
 

@@ -62,18 +62,21 @@ def j12_linked_follow_ups(spark, d):
     return records.follow_ups(history(spark, d))
 
 
-@query("""SELECT case_id, run_id, link_id FROM (SELECT user_id AS case_id, event_id % 500 AS run_id, event_id AS link_id FROM events) WHERE run_id IN (SELECT event_id FROM events WHERE event_id < 500 AND event_type <> 'error' AND event_id % 4 <> 0)
+@query("""SELECT case_id, run_id, link_id FROM (SELECT user_id AS case_id, event_id // 3 AS run_id, event_id AS link_id FROM events) WHERE run_id IN (SELECT event_id FROM events WHERE event_type <> 'error' AND event_id % 4 <> 0)
     QUALIFY row_number() OVER (PARTITION BY case_id, run_id ORDER BY link_id) = 1""")
 def j13_case_runs(spark, d):
     events = views.table(spark, d, "events")
-    links = events.select(F.col("user_id").alias("case_id"), (F.col("event_id") % 500).alias("run_id"), F.col("event_id").alias("link_id"))
-    runs = events.where("event_id < 500").select(F.col("event_id").alias("run_id"), F.when(F.col("event_type") != "error", "analysis").otherwise("other").alias("category"), (F.col("event_id") % 4 != 0).alias("has_result"))
+    links = events.select(F.col("user_id").alias("case_id"), F.floor(F.col("event_id") / 3).alias("run_id"), F.col("event_id").alias("link_id"))
+    runs = events.select(F.col("event_id").alias("run_id"), F.when(F.col("event_type") != "error", "analysis").otherwise("other").alias("category"), (F.col("event_id") % 4 != 0).alias("has_result"))
     return records.case_runs(links, runs)[0].select("case_id", "run_id", "link_id")
 
 
-@query(f"""SELECT document_id, matched, compared, CASE WHEN compared = 0 THEN 1.0 ELSE round(matched / compared, 6) END AS accuracy, n = m AS same_length FROM (
+J14_SQL = f"""SELECT document_id, matched, compared, CASE WHEN compared = 0 THEN 1.0 ELSE round(matched / compared, 6) END AS accuracy, n = m AS same_length FROM (
     SELECT document_id, count(*) AS n, count(*) FILTER (WHERE user_id % 9 <> 0 OR row_index > 0) AS m, count(*) FILTER (WHERE user_id % 9 <> 0 OR row_index > 0) AS compared,
-    count(*) FILTER (WHERE (user_id % 9 <> 0 OR row_index > 0) AND event_id % 23 <> 0) AS matched FROM f_txn GROUP BY document_id)""")
+    count(*) FILTER (WHERE (user_id % 9 <> 0 OR row_index > 0) AND event_id % 23 <> 0) AS matched FROM f_txn GROUP BY document_id)"""
+
+
+@query(J14_SQL)
 def j14_truth_alignment(spark, d):
     rows = views.ledger(spark, d)
     expected = rows.select("document_id", "row_index", F.col("balance").alias("value"))
@@ -95,15 +98,27 @@ def r10_ratings(spark, d):
     return records.ratings(finance.all_findings(spark, d), checks.statement_metrics(views.ledger(spark, d), views.statements(spark, d)))
 
 
-@query("SELECT document_id, string_agg(p, ',' ORDER BY p) AS percentages FROM (SELECT DISTINCT document_id, CAST(unnest(regexp_extract_all(line, '(\\d+)%', 1)) AS BIGINT) AS p FROM (SELECT CAST(event_id AS VARCHAR) AS document_id, 'Customer concentration: ' || event_id % 120 || '%' AS line FROM events WHERE event_id % 3 = 0)) WHERE p >= 50 GROUP BY 1")
+VIEWS["f_conc"] = """SELECT 'app' || user_id % 50 AS application_id, event_id || ':page:0' AS chunk_id, event_id, CASE WHEN user_id % 4 = 0 THEN 'tax_return' ELSE 'management_accounts' END AS kind,
+    ['Customer concentration: ', 'Growth: ', 'SUPPLIER dependence of ', 'Supplier concentration reached '][event_id % 4 + 1] || event_id % 120 || CASE WHEN event_id % 5 = 0 THEN '.5' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN ' %' ELSE '%' END AS line FROM events"""
+
+
+@query("""SELECT application_id, string_agg(p, ',' ORDER BY CAST(p AS DOUBLE)) AS percentages, max(chunks) AS chunk_ids FROM (SELECT DISTINCT application_id, CAST(p AS VARCHAR) AS p FROM (SELECT application_id, CAST(unnest(regexp_extract_all(line, '(?:^|[^0-9])([0-9]{1,3}(?:\\.[0-9]+)?)\\s*%', 1)) AS DOUBLE) AS p FROM f_conc
+    WHERE kind = 'management_accounts' AND regexp_matches(lower(line), 'customer concentration|supplier dependence|supplier concentration')) WHERE p >= 50)
+    JOIN (SELECT application_id, string_agg(chunk_id, ',' ORDER BY chunk_id) AS chunks FROM f_conc WHERE kind = 'management_accounts' AND regexp_matches(lower(line), 'customer concentration|supplier dependence|supplier concentration') AND event_id % 120 + CASE WHEN event_id % 5 = 0 THEN 0.5 ELSE 0 END >= 50 GROUP BY 1) USING (application_id) GROUP BY 1""")
 def r14_concentration(spark, d):
     e = F.col("event_id")
-    line = F.when(e % 3 == 0, F.concat(F.lit("Customer concentration: "), e % 120, F.lit("%"))).otherwise(F.concat(F.lit("Growth: "), e % 120, F.lit("%")))
-    pages = views.table(spark, d, "events").select(e.cast("string").alias("document_id"), line.alias("text"))
-    return records.concentration(pages, F.lower("line").contains("customer concentration"))
+    start = F.element_at(F.array(*[F.lit(x) for x in ("Customer concentration: ", "Growth: ", "SUPPLIER dependence of ", "Supplier concentration reached ")]), (e % 4 + 1).cast("int"))
+    line = F.concat(start, e % 120, F.when(e % 5 == 0, ".5").otherwise(""), F.when(e % 3 == 0, " %").otherwise("%"))
+    rows = views.table(spark, d, "events").select(
+        F.concat(F.lit("app"), F.col("user_id") % 50).alias("application_id"),
+        F.concat(e, F.lit(":page:0")).alias("chunk_id"),
+        F.when(F.col("user_id") % 4 == 0, "tax_return").otherwise("management_accounts").alias("kind"),
+        line.alias("text"),
+    )
+    return records.concentration(rows)
 
 
-_VECTOR = "SELECT id, CAST(('0x' || substr(sha256(t), 1, 8)) AS UBIGINT) % 768 AS idx, CAST(sum(CASE WHEN CAST(('0x' || substr(sha256(t), 9, 2)) AS INT) % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS weight FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM {0}) GROUP BY ALL HAVING weight <> 0"
+_VECTOR = "SELECT id, CAST(('0x' || substr(sha256(t), 1, 8)) AS UBIGINT) % 768 AS idx, CAST(sum(CASE WHEN CAST(('0x' || substr(sha256(t), 9, 2)) AS INT) % 2 = 1 THEN 1 ELSE -1 END) AS BIGINT) AS weight FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM {0}) GROUP BY ALL HAVING weight <> 0"
 VIEWS["f_vc"] = _VECTOR.format("(SELECT chunk_id AS id, text FROM f_chunks)")
 VIEWS["f_vq"] = _VECTOR.format("(SELECT item_id AS id, text FROM benchmark)")
 

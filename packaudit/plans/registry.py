@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from packaudit.plans import finance, packages, records, texts
+from packaudit.plans import evidence, finance, packages, records, texts
 
-MODULES = (finance, packages, texts, records)
+MODULES = (finance, packages, texts, records, evidence)
 
 
 def queries() -> dict:

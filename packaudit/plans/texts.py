@@ -56,17 +56,18 @@ def t10_truncation(spark, d):
     return chunks.truncated(chunks.page_chunks(views.documents(spark, d)), 200).select("chunk_id", "text", "truncated")
 
 
-VIEWS["f_summary"] = r"""SELECT conv_id, turn, regexp_replace(text, '[\[\]\n]', ' ', 'g') || ' [conv-' || conv_id || ':page:' || CASE WHEN (conv_id * 8 + turn) % 7 = 0 THEN 999 ELSE turn END || ', critical; conv-' || conv_id || ':page:0].' AS body FROM conversations"""
+VIEWS["f_summary"] = r"""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Note [see [conv-' || conv_id || ':page:' || turn || '] and [] too: ' ELSE '' END || regexp_replace(text, '[\[\]\n]', ' ', 'g') || ' [conv-' || conv_id || ':page:' || CASE WHEN (conv_id * 8 + turn) % 7 = 0 THEN 999 ELSE turn END || ', critical; conv-' || conv_id || ':page:0].' AS body FROM conversations"""
 
 
 def summaries(spark, d):
     turn = F.when((F.col("conv_id") * 8 + F.col("turn")) % 7 == 0, 999).otherwise(F.col("turn"))
     clean = F.regexp_replace("text", r"[\[\]\n]", " ")
-    body = F.concat(clean, F.lit(" [conv-"), "conv_id", F.lit(":page:"), turn, F.lit(", critical; conv-"), "conv_id", F.lit(":page:0]."))
+    nested = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Note [see [conv-"), "conv_id", F.lit(":page:"), "turn", F.lit("] and [] too: "))).otherwise("")
+    body = F.concat(nested, clean, F.lit(" [conv-"), "conv_id", F.lit(":page:"), turn, F.lit(", critical; conv-"), "conv_id", F.lit(":page:0]."))
     return views.table(spark, d, "conversations").select("conv_id", "turn", body.alias("body"))
 
 
-VIEWS["f_cited"] = r"""SELECT conv_id, turn, trim(c) AS cited FROM (SELECT conv_id, turn, unnest(flatten([regexp_split_to_array(g, '[,;]') for g in regexp_extract_all(body, '\[([^\]]*)\]', 1)])) AS c FROM f_summary) WHERE trim(c) <> '' AND lower(trim(c)) NOT IN ('critical', 'warning', 'info')"""
+VIEWS["f_cited"] = r"""SELECT conv_id, turn, trim(c) AS cited FROM (SELECT conv_id, turn, unnest(flatten([regexp_split_to_array(g, '[,;]') for g in regexp_extract_all(body, '\[([^\[\]]+)\]', 1)])) AS c FROM f_summary) WHERE trim(c) <> '' AND lower(trim(c)) NOT IN ('critical', 'warning', 'info')"""
 
 
 @query("SELECT * FROM f_cited")
@@ -116,7 +117,7 @@ def p4_row_clusters(spark, d):
     return chunks.row_clusters(chunks.word_spans(views.documents(spark, d)))
 
 
-_TOKENS = "SELECT id, CAST(('0x' || substr(sha256(t), 1, 8)) AS UBIGINT) % 768 AS idx, CASE WHEN CAST(('0x' || substr(sha256(t), 9, 2)) AS INT) % 2 = 0 THEN 1 ELSE -1 END AS sign FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM {0})"
+_TOKENS = "SELECT id, CAST(('0x' || substr(sha256(t), 1, 8)) AS UBIGINT) % 768 AS idx, CASE WHEN CAST(('0x' || substr(sha256(t), 9, 2)) AS INT) % 2 = 1 THEN 1 ELSE -1 END AS sign FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM {0})"
 VIEWS["f_vec"] = f"SELECT id, CAST(idx AS INT) AS idx, CAST(sum(sign) AS BIGINT) AS weight FROM ({_TOKENS.format('(SELECT item_id AS id, text FROM benchmark)')}) GROUP BY ALL"
 
 

@@ -42,8 +42,16 @@ def survey(spark: SparkSession, path: str, questions: list[str]) -> DataFrame:
     return filled.select(F.concat(F.lit("R"), F.monotonically_increasing_id() + 1).alias("participant_id"), answers.alias("answers"))
 
 
-def upserted(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """old with new's rows in place of those with the same key."""
+def upserted(old: DataFrame, new: DataFrame, key: str = "chunk_id", space: str | None = None, order: str | None = None) -> DataFrame:
+    """old with new's rows in place of those with the same key; of new rows with one key the last by `order` (any, without one) stays.
+
+    With `space`, the new rows are stamped with this embedding_space.
+    """
+    if space is not None:
+        new = new.withColumn("embedding_space", F.lit(space))
+    if order is not None:
+        new = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), order).alias("_r")).select("_r.*")
+    new = new.dropDuplicates([key])
     return old.join(new.select(key).distinct(), key, "left_anti").select(old.columns).unionByName(new.select(old.columns))
 
 

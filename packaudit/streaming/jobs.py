@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Percent and phase of each stage
-PHASES = {"parse": (15, "Reading documents"), "extract": (40, "Extracting records"), "validate": (55, "Checking records"), "ratios": (65, "Computing ratios"), "assess": (85, "Rating"), "summarise": (95, "Summarising")}
+PHASES = {"parse": (20, "extracting"), "extract": (40, "validating"), "validate": (50, "calculating"), "ratios": (55, "assessing"), "assess_5c": (80, "summarising"), "summarise": (95, "saving")}
 
 
 def progress(events: DataFrame) -> DataFrame:
@@ -23,8 +23,8 @@ def latest_state(events: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def live_state(events: DataFrame, key: str, at: str, keep: str = "7 days") -> DataFrame:
-    """The newest row of each key and day; days older than `keep` leave the state."""
-    return events.withWatermark(at, keep).groupBy(key, F.window(at, "1 day").alias("_w")).agg(F.max_by(F.struct(*[c for c in events.columns if c != key]), at).alias("_r")).select(key, "_r.*")
+    """The newest row of each key; a key without events for as long as `keep` leaves the state, and starts anew after."""
+    return events.withWatermark(at, keep).groupBy(key, F.session_window(at, keep).alias("_w")).agg(F.max_by(F.struct(*[c for c in events.columns if c != key]), at).alias("_r")).select(key, "_r.*")
 
 
 def first_uploads(uploads: DataFrame, at: str = "ts", within: str = "7 days") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from packaudit.functions.money import parsed_money
 from packaudit.functions.names import core_name, name_key, normal_name
-from packaudit.operators import cashflow, checks, history, inventory, ratios
+from packaudit.operators import cashflow, checks, chunks, evidence, history, inventory, ratios, records
+from packaudit.streaming import jobs
 
 HEAD = "application_id string, document_id string, account_number string, account_holder string, period_start date, period_end date, opening decimal(18,2), closing decimal(18,2), total_credits decimal(18,2), total_debits decimal(18,2)"
 ROWS = "application_id string, document_id string, row_index int, txn_date date, description string, credit decimal(18,2), debit decimal(18,2), balance decimal(18,2)"
@@ -112,3 +113,41 @@ def test_document_ids(spark):
 def test_money(spark):
     texts = spark.createDataFrame([("1,234.50",), ("(1,234.50)",), ("n/a",), (" 7 ",)], "t string")
     assert [r["m"] for r in texts.select(parsed_money(F.col("t")).alias("m")).collect()] == [D("1234.50"), D("-1234.50"), None, D("7.00")]
+
+
+def test_hashing_signs_are_literal(spark):
+    """'a' hashes to ca978112 ca...: place 0xca978112 % 768; the fifth byte, 0xca, is even, so -1. 'cash' has an odd one."""
+    import hashlib
+
+    got = {r["id"]: (r["idx"], r["weight"]) for r in chunks.hashed_vectors(spark.createDataFrame([(t, t) for t in ("a", "b", "cash", "loan")], "id string, text string")).collect()}
+    assert got["a"] == (0xCA978112 % 768, -1)
+    for t, (idx, weight) in got.items():
+        digest = hashlib.sha256(t.encode()).digest()
+        assert (idx, weight) == (int.from_bytes(digest[:4], "big") % 768, 1 if digest[4] & 1 else -1)
+
+
+def test_citations_in_nested_brackets(spark):
+    texts = [("see [a [b:page:1] and [c; WARNING, d] []",)]
+    assert spark.createDataFrame(texts, "t string").select(chunks.citations(F.col("t")).alias("c")).first()["c"] == ["b:page:1", "c", "d"]
+
+
+def test_concentration_lines(spark):
+    rows = [("a", "c3", "management_accounts", "Customer concentration: top 52.5 % and 1234%\nSupplier dependence: 70%"), ("a", "c4", "tax_return", "Customer concentration: 90%"), ("a", "c5", "management_accounts", "Growth 80%\nsupplier concentration 49.9%")]
+    got = records.concentration(spark.createDataFrame(rows, "application_id string, chunk_id string, kind string, text string")).collect()
+    assert [(r["application_id"], r["percentages"], r["chunk_ids"]) for r in got] == [("a", "52.5,70.0", "c3")]
+
+
+def test_stage_percents(spark):
+    got = jobs.progress(spark.createDataFrame([("j", "parse"), ("j", "assess_5c")], "job_id string, stage string")).collect()
+    assert [(r["percent"], r["phase"]) for r in got] == [(20, "extracting"), (80, "summarising")]
+
+
+def test_valid_inline_citations(spark):
+    summaries = spark.createDataFrame([(1, "A [x:page:1, y:page:2]. B [y:page:2] [open C.")], "id int, body string")
+    got = evidence.valid_inline(summaries, spark.createDataFrame([("x:page:1",)], "cited string"), ["id"]).first()
+    assert got["body"] == "A [x:page:1]. B  [open C."
+
+
+def test_unsupported_critical_wording(spark):
+    rows = spark.createDataFrame([("A critical warning was raised.", False), ("A critical warning was raised.", True), ("critically low", False)], "t string, c boolean")
+    assert [r[0] for r in rows.select(evidence.unsupported_critical(F.col("t"), F.col("c"))).collect()] == [True, False, False]
