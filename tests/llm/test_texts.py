@@ -209,7 +209,7 @@ def spam_and_prose(spark):
     """Prose, menus and symbol spam, all of which pass the base, and some that fail it."""
     made, filler = [], "the of and to in is that it for was".split()
     for i in range(120):
-        w = words(80 + i % 40, 500 + i)
+        w = [x.translate(str.maketrans("0123456789", "klmnopqrst")) for x in words(80 + i % 40, 500 + i)]
         if i % 6 == 0:
             text = " | ".join(w)
         elif i % 6 == 1 and i % 4 == 1:
