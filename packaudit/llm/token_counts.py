@@ -35,13 +35,13 @@ def limits(histogram: DataFrame) -> DataFrame:
         later = Window.partitionBy(*within).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
         return table.withColumns({f"_d_{name}": F.coalesce(F.sum(docs).over(later), F.lit(0)), f"_t_{name}": F.coalesce(F.sum(tokens).over(later), F.lit(0))})
 
-    totals = groups.agg(F.sum("_d").alias("_docs"), F.sum("_t").alias("tokens_total"))
-    of_group = beyond(groups.withColumn("_all", F.lit(0)), ["_all"], "_group", "_d", "_t", "groups").select("_group", "_d_groups", "_t_groups")
+    whole = Window.partitionBy("_all")
+    groups = groups.withColumn("_all", F.lit(0)).withColumns({"_docs": F.sum("_d").over(whole), "tokens_total": F.sum("_t").over(whole)})
+    of_group = beyond(groups, ["_all"], "_group", "_d", "_t", "groups").select("_group", "_d_groups", "_t_groups", "_docs", "tokens_total")
     of_block = beyond(blocks, ["_group"], "_block", "_d", "_t", "blocks").join(of_group, "_group").drop("_d", "_t", "_group")
     return (
         beyond(rows, ["_block"], "n_tokens", "n_docs", "_t", "in")
         .join(of_block, "_block")
-        .crossJoin(F.broadcast(totals))
         .withColumn("docs_longer", F.col("_d_in") + F.col("_d_blocks") + F.col("_d_groups"))
         .withColumn("_longer", F.col("_t_in") + F.col("_t_blocks") + F.col("_t_groups"))
         .select(

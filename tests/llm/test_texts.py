@@ -250,3 +250,29 @@ def test_clashing_columns_survive_with_rows(spark):
     got = rules.quality_rules(frame(spark), with_rows=True)
     assert {"doc_id", "text", "lang", "source", "n_chars", "length", "_h", "kept"} <= set(got.columns)
     assert got.count() == len(rows())
+
+
+def test_token_limits_over_many_blocks(spark):
+    """Lengths in one block, in several blocks of a group and in several groups; limits between lengths."""
+    rows = [(0, 2), (5, 1), (1500, 3), (1023, 1), (1024, 1), (3_000_000, 1), (2_100_000, 2)]
+    lengths = [n for n, k in rows for _ in range(k)]
+    table = spark.createDataFrame(rows, "n_tokens long, n_docs long")
+    for r in token_counts.limits(table).collect():
+        limit = r["context_limit"]
+        assert (r["docs_longer"], r["truncated_total"]) == (sum(n > limit for n in lengths), sum(min(n, limit) for n in lengths))
+        assert r["tokens_total"] == sum(lengths)
+    for limit in (1, 1000, 2_500_000, 9_000_000):
+        r = token_counts.at_limit(table, limit).first()
+        assert (r["docs_longer"], r["truncated_total"]) == (sum(n > limit for n in lengths), sum(min(n, limit) for n in lengths))
+
+
+def test_media_frame_times_and_cut_files():
+    payload = bytes(i % 251 for i in range(512 * 150))
+    file = matroska.mux(payload)
+    found = matroska.parse(file)
+    assert found["error"] is None and [p[1] for p in found["packets"]] == [i * 64 for i in range(150)]
+    cut = matroska.parse(file[:-5])
+    assert cut["error"] and cut["packets"] == found["packets"]
+    half = matroska.parse(file[: len(file) // 2])
+    assert half["error"] and 0 < len(half["packets"]) < 150
+    assert half["packets"] == found["packets"][: len(half["packets"])]
