@@ -157,7 +157,8 @@ def workload(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: documents, pages, share of documents that were read, failures and chunks."""
     read = F.col("status").isin("extracted", "indexed")
     sums = documents.agg(F.count("*").alias("documents"), F.sum("page_count").alias("pages"), F.round(F.avg(read.cast("int")), 6).alias("success"), F.count(F.when(~read, 1)).alias("errors"))
-    return sums.withColumn("_k", F.lit(1)).join(chunks.agg(F.count("*").alias("chunks")).withColumn("_k", F.lit(1)), "_k").drop("_k")
+    both = sums.unionByName(chunks.agg(F.count("*").alias("chunks")), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def cash_totals(months: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -170,9 +171,9 @@ def cash_totals(months: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def gates(accuracy: DataFrame, faithfulness: DataFrame, p95: DataFrame, limit_ms: float = 180_000) -> DataFrame:
     """One row: mean accuracy and whether it reaches 0.9, no citation is invalid, and the slowest step's p95 is below the limit."""
-    one = F.lit(1).alias("_k")
-    a = accuracy.agg(F.round(F.avg("accuracy"), 6).alias("accuracy")).select("accuracy", one)
-    f = faithfulness.agg((F.sum("citations") == F.sum("valid")).alias("citations_valid")).select("citations_valid", one)
-    p = p95.agg(F.max("p95_ms").alias("p95_ms")).select("p95_ms", one)
-    both = a.join(f, "_k").join(p, "_k")
+    a = accuracy.agg(F.round(F.avg("accuracy"), 6).alias("accuracy"))
+    f = faithfulness.agg((F.sum("citations") == F.sum("valid")).alias("citations_valid"))
+    p = p95.agg(F.max("p95_ms").alias("p95_ms"))
+    both = a.unionByName(f, allowMissingColumns=True).unionByName(p, allowMissingColumns=True)
+    both = both.agg(F.max("accuracy").alias("accuracy"), F.bool_or("citations_valid").alias("citations_valid"), F.max("p95_ms").alias("p95_ms"))
     return both.select("accuracy", (F.col("accuracy") >= 0.9).alias("accurate"), "citations_valid", (F.col("p95_ms") < limit_ms).alias("fast"))
