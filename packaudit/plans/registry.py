@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from packaudit.plans import evidence, finance, packages, records, texts
+from packaudit.plans import evidence, extraction, finance, packages, records, texts
 
-MODULES = (finance, packages, texts, records, evidence)
+MODULES = (finance, packages, texts, records, evidence, extraction)
 
 
 def queries() -> dict:

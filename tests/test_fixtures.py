@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from packaudit.functions.money import parsed_money
 from packaudit.functions.names import core_name, name_key, normal_name
-from packaudit.operators import cashflow, checks, chunks, evidence, history, inventory, ratios, records
+from packaudit.operators import cashflow, checks, chunks, evidence, extraction, history, inventory, ratios, records
 from packaudit.streaming import jobs
 
 HEAD = "application_id string, document_id string, account_number string, account_holder string, period_start date, period_end date, opening decimal(18,2), closing decimal(18,2), total_credits decimal(18,2), total_debits decimal(18,2)"
@@ -151,3 +151,20 @@ def test_valid_inline_citations(spark):
 def test_unsupported_critical_wording(spark):
     rows = spark.createDataFrame([("A critical warning was raised.", False), ("A critical warning was raised.", True), ("critically low", False)], "t string, c boolean")
     assert [r[0] for r in rows.select(evidence.unsupported_critical(F.col("t"), F.col("c"))).collect()] == [True, False, False]
+
+
+def test_document_kinds_in_their_order(spark):
+    pages = [
+        ("s", 1, "Balance sheet"), ("s", 2, "SURUHANJAYA Syarikat Malaysia"), ("t", 1, "Form C, chargeable income; income statement"), ("a", 1, "cover"), ("a", 2, "income statement"),
+        ("b", 1, "Account number 1\nStatement period"), ("u", 1, "cover"), ("u", 2, "Statement of account"), ("m", 1, "MANAGEMENT ACCOUNTS"),
+    ]
+    got = extraction.document_kinds(spark.createDataFrame(pages, "document_id string, page int, text string")).collect()
+    assert {r["document_id"]: r["kind"] for r in got} == {"s": "ssm_registration", "t": "tax_return", "a": "audited_financials", "b": "bank_statement", "u": "unknown", "m": "management_accounts"}
+
+
+def test_directors_and_units(spark):
+    lines = ["1. Too Early - NRIC: 1 - Role: Director", "Directors:", "1. Ann Lee  - NRIC: 80-1 - Role: Managing Director", "not one", "2. Bo - NRIC: 2 - Role: Director"]
+    rows = spark.createDataFrame([("d", 1, i, x) for i, x in enumerate(lines)], "document_id string, page int, row_ord int, text string")
+    assert [tuple(r) for r in extraction.directors(rows).orderBy("row_index").collect()] == [("d", 0, "Ann Lee", "80-1", "Managing Director"), ("d", 1, "Bo", "2", "Director")]
+    units = spark.createDataFrame([("a", "in RM'000"), ("b", "RM thousands"), ("c", "RM 000"), ("d", "rm\u2019 000")], "document_id string, text string")
+    assert {r["document_id"]: r["multiplier"] for r in extraction.unit_multiplier(units).collect()} == {"a": 1000, "b": 1000, "c": 1, "d": 1000}
