@@ -19,7 +19,8 @@ FUNCTION_WORDS = (
     "der die und das den von zu mit sich auf für ist im dem nicht ein eine als auch es "
     "el los las y del se con una su al lo como más pero sus le ya o este sí"
 ).split()
-ROUNDS = 25
+#: Rounds of estimation at most; it ends when the share of good texts moves by less.
+ROUNDS, SETTLED = 25, 1e-6
 #: Where estimation starts: probability that a text is good if no rule votes against it, and if one does.
 UNOPPOSED, OPPOSED = 0.98, 0.1
 #: How a rule votes on all texts counts like so many texts, as a share of all, in its rates on either class.
@@ -164,7 +165,9 @@ def fit(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> VoteModel:
             k: {name: tuple((row[f"{k}{v}{c}"] + held * x) / (size[k] + held) for v, x in zip((-1, 0, 1), every[c], strict=True)) for name, c in zip(names, columns, strict=True)}
             for k in "gb"
         }
-        model = VoteModel((row["good"] + 1) / (n + 2), rates["g"], rates["b"])
+        before, model = model.share, VoteModel((row["good"] + 1) / (n + 2), rates["g"], rates["b"])
+        if abs(model.share - before) < SETTLED:
+            break
         p = model.posterior()
     return model
 

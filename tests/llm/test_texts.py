@@ -192,6 +192,7 @@ def estimated(votes):
     """(share, rates on good, rates on bad) of lists of votes, one by one in plain Python."""
     n, held = len(votes), rules.PRIOR * len(votes) + 1
     p = [rules.OPPOSED if min(v) < 0 else rules.UNOPPOSED for v in votes]
+    last = rules.UNOPPOSED
     for _ in range(rules.ROUNDS):
         share, good, bad = (sum(p) + 1) / (n + 2), [], []
         for k in range(len(votes[0])):
@@ -202,6 +203,9 @@ def estimated(votes):
         for v in votes:
             odds = math.log(share / (1 - share)) + sum(math.log(good[k][x + 1] / bad[k][x + 1]) for k, x in enumerate(v))
             p.append(1 / (1 + math.exp(-odds)))
+        if abs(share - last) < rules.SETTLED:
+            break
+        last = share
     return share, good, bad, p
 
 
