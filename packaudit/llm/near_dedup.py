@@ -182,9 +182,10 @@ def rare_pairs(nodes: DataFrame, rows: DataFrame, near: Near) -> DataFrame:
     most = F.least(n, F.floor((n - i) * (100 + t) / t) - n)
     least = F.ceil(n * t / 100)
     second = placed.where(most >= least).withColumn("c", F.explode(F.sequence(size_class(least), size_class(most))))
-    both = first.select("s", "c", "root").unionByName(second.select("s", "c", "root"))
-    counts = both.groupBy("s", "c", "root").agg(F.count("*").alias("_k")).groupBy("s", "c").agg(F.max(F.struct("_k", "root")).alias("_top"), F.count("*").alias("_roots"))
-    tops = saved(counts.where("_roots > 1").select("s", "c", F.col("_top.root").alias("_heavy")), "heavy")
+    both = first.select("s", "c", "root", F.lit(1).alias("_l")).unionByName(second.select("s", "c", "root", F.lit(0).alias("_l")))
+    counts = both.groupBy("s", "c", "root").agg(F.count("*").alias("_k"), F.max("_l").alias("_l"))
+    counts = counts.groupBy("s", "c").agg(F.max(F.struct("_k", "root")).alias("_top"), F.count("*").alias("_roots"), F.max("_l").alias("_l"))
+    tops = saved(counts.where("_roots > 1 and _l = 1").select("s", "c", F.col("_top.root").alias("_heavy")), "heavy")
     sketch = nodes.select("node", "odd")
     left = first.join(tops, ["s", "c"]).join(sketch, "node").select("odd", "s", "c", F.col("node").alias("a"), F.col("root").alias("_ra"), F.col("n").alias("na"), F.col("i").alias("ia"), (F.col("root") == F.col("_heavy")).alias("_ha"))
     right = second.join(tops, ["s", "c"]).join(sketch, "node").select("odd", "s", "c", F.col("node").alias("b"), F.col("root").alias("_rb"), F.col("n").alias("nb"), F.col("i").alias("ib"), (F.col("root") == F.col("_heavy")).alias("_hb"))
