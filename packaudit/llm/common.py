@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,10 +17,17 @@ SLICE_BYTES = 1_000_000
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; without that setting there is none."""
+    """A new path in the shared folder that spark.checkpoint.dir names.
+
+    Where the setting is missing, a temporary folder is taken on one machine (tests); with
+    executors elsewhere that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
