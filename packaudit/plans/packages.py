@@ -109,10 +109,13 @@ def a8_account_rollup(spark, d):
     return inventory.account_rollup(views.statements(spark, d))
 
 
-@query("""SELECT *, 'warning' AS severity FROM (SELECT application_id, string_agg(month, ', ' ORDER BY month) AS detail, 'MISSING_BANK_MONTHS' AS code FROM f_missing GROUP BY 1
+R8_SQL = """SELECT *, 'warning' AS severity FROM (SELECT application_id, string_agg(month, ', ' ORDER BY month) AS detail, 'MISSING_BANK_MONTHS' AS code FROM f_missing GROUP BY 1
     UNION ALL SELECT application_id, replace(missing, ',', ', '), 'MISSING_CORE_DOCUMENTS' FROM f_inventory WHERE missing <> ''
     UNION ALL SELECT application_id, CAST(failed_count AS VARCHAR), 'DOCUMENT_EXTRACTION_FAILURES' FROM f_inventory WHERE failed_count > 0
-    UNION ALL SELECT application_id, document_id, 'DUPLICATE_DOCUMENT' FROM (SELECT application_id, document_id, row_number() OVER (PARTITION BY application_id, sha256 ORDER BY upload_ord) AS r FROM f_docs) WHERE r > 1)""")
+    UNION ALL SELECT application_id, document_id, 'DUPLICATE_DOCUMENT' FROM (SELECT application_id, document_id, row_number() OVER (PARTITION BY application_id, sha256 ORDER BY upload_ord) AS r FROM f_docs) WHERE r > 1)"""
+
+
+@query(R8_SQL)
 def r8_package_findings(spark, d):
     docs = with_status(spark, d)
     return inventory.package_findings(inventory.package_inventory(docs), cashflow.missing_months(views.monthly_statements(spark, d)), inventory.duplicate_documents(docs))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from packaudit.plans import evidence, extraction, finance, packages, records, texts
+from packaudit.plans import evidence, extraction, finance, packages, records, summaries, texts
 
-MODULES = (finance, packages, texts, records, evidence, extraction)
+MODULES = (finance, packages, texts, records, evidence, extraction, summaries)
 
 
 def queries() -> dict:
