@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packaudit.llm import bpe, exact_spans, html_extract, kneser_ney, matroska, near_dedup, packing, rules, token_counts, window_index
-from packaudit.llm.common import keyed, real_id, table, units
+from packaudit.llm import bpe, exact_spans, gnat, html_extract, kneser_ney, matroska, maxscore, near_dedup, packing, periodic, rules, token_counts, window_index
+from packaudit.llm.common import keyed, real_id, saved, table, units
+from packaudit.llm.vectors import integer_vectors
 
 
 def vocabulary() -> str:
@@ -87,6 +88,47 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(sf_dir, spark, "documents"), vocabulary())
 
 
+def op11_gnat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    items = saved(integer_vectors(table(sf_dir, spark, "embeddings"), label=label), "vectors")
+    return gnat.hard_negatives(items, items.where("id % 100 = 0"), positives=5, negatives=10, least=30, most=90)
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(_made_periodic(table(sf_dir, spark, "documents").select("doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("_longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_longest.start")).alias("start"),
+        F.col("_longest.length").alias("length"),
+        (-F.col("_longest.period")).alias("period"),
+        F.floor(1000 * F.col("_longest.length") / -F.col("_longest.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _made_periodic(documents: DataFrame) -> DataFrame:
+    """Some documents with their tails replaced by a part of them that comes again and again."""
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), periodic.SPACE), "")
+    h, n = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.size("_w")
+    g = F.floor(h / 10)
+    chosen = documents.withColumn("_w", F.when(h % 10 == 0, words)).withColumn("_a", g % F.greatest(n, F.lit(1))).withColumn("_p", 1 + F.floor((n - F.col("_a")) / (3 + g % 8)))
+    place = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))
+    made = F.array_join(F.transform(place, lambda i: F.get("_w", i)), " ")
+    return chosen.select("doc_id", F.when(n > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = saved(integer_vectors(table(sf_dir, spark, "embeddings")), "vectors")
+    items = vectors.select("id", maxscore.dense_terms(F.col("vec")).alias("terms"))
+    asked = vectors.where("id % 50 = 0").select("id", maxscore.dense_query(F.col("vec")).alias("terms"))
+    return maxscore.top_k(items, asked, k=5).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kneser_ney": op1_kneser_ney,
@@ -99,6 +141,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_matroska": op9_matroska,
         "op10_packing": op10_packing,
+        "op11_gnat": op11_gnat,
+        "op12_periodic": op12_periodic,
+        "op13_maxscore": op13_maxscore,
     }
 
 
@@ -130,6 +175,27 @@ OP3 = (
 )
 
 
+_VECTORS = """v AS (SELECT vec_id, {label} AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 {more})"""
+_DOT = "CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT)"
+
+OP11 = (
+    "WITH "
+    + _VECTORS.format(label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END", more="AND label IS NOT NULL")
+    + f""", pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, {_DOT} AS score FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN pairs USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10"""
+)
+
+OP13 = (
+    "WITH "
+    + _VECTORS.format(label="0", more="")
+    + f"""SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM (SELECT a.vec_id AS query_id, b.vec_id, {_DOT} AS score FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+    WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; the others are held against brute force, libraries and round trips in tests/llm."""
-    return {"op2_window_dedup": OP2, "op3_near_dedup": OP3}
+    return {"op2_window_dedup": OP2, "op3_near_dedup": OP3, "op11_gnat": OP11, "op13_maxscore": OP13}
