@@ -73,31 +73,6 @@ def row_buckets(spans: DataFrame, height: float = 3.0) -> DataFrame:
     return rows.select("document_id", "bucket", "spans", _joined(F.col("_s")).alias("text"))
 
 
-def row_clusters(spans: DataFrame, reach: float = 3.0) -> DataFrame:
-    """Rows by a moving centre: in order of the midpoint, a span joins the row whose mean so far is within reach, else starts a row.
-
-    The fold runs over one page's spans; each step looks at the current row only.
-    """
-    pages = spans.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), "x", "i", "line"))).alias("_s"))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("rows"))
-
-    def step(state: Column, span: Column) -> Column:
-        joins = (state["n"] > 0) & (F.abs(span["y"] - state["total"] / state["n"]) <= reach)
-        row = F.when(joins, state["row"]).otherwise(state["row"] + 1)
-        return F.struct(
-            row.alias("row"),
-            F.when(joins, state["total"]).otherwise(0.0).__add__(span["y"]).alias("total"),
-            (F.when(joins, state["n"]).otherwise(0) + 1).alias("n"),
-            F.array_append(state["rows"], row).alias("rows"),
-        )
-
-    numbered = pages.select("document_id", F.explode(F.arrays_zip("_s", F.aggregate("_s", start, step)["rows"].alias("row"))).alias("_z"))
-    rows = numbered.groupBy("document_id", F.col("_z.row").cast("long").alias("row_ord")).agg(
-        F.count("*").alias("spans"), F.collect_list(F.struct("_z._s.x", "_z._s.i", "_z._s.line")).alias("_s")
-    )
-    return rows.select("document_id", "row_ord", "spans", _joined(F.col("_s")).alias("text"))
-
-
 def hashed_vectors(texts: DataFrame, size: int = 768) -> DataFrame:
     """(id, idx, weight, value): tokens hashed to places, +1 where the fifth byte of the hash is odd, else -1; the weights at unit length."""
     token = texts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)).alias("t")).withColumn("h", F.sha2("t", 256))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from packaudit.plans import evidence, extraction, finance, packages, records, summaries, texts
+from packaudit.plans import evidence, extraction, finance, layouts, packages, records, summaries, texts
 
-MODULES = (finance, packages, texts, records, evidence, extraction, summaries)
+MODULES = (finance, packages, texts, records, evidence, extraction, summaries, layouts)
 
 
 def queries() -> dict:

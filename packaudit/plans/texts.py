@@ -111,12 +111,6 @@ def p5_row_buckets(spark, d):
     return chunks.row_buckets(chunks.word_spans(views.documents(spark, d)))
 
 
-@query("SELECT document_id, i // 8 AS row_ord, count(*) AS spans, string_agg(line, ' ' ORDER BY x, i) AS text FROM f_span GROUP BY ALL")
-def p4_row_clusters(spark, d):
-    """Rows by the moving centre; on this layout they are the lines that the words were laid out in."""
-    return chunks.row_clusters(chunks.word_spans(views.documents(spark, d)))
-
-
 _TOKENS = "SELECT id, CAST(('0x' || substr(sha256(t), 1, 8)) AS UBIGINT) % 768 AS idx, CASE WHEN CAST(('0x' || substr(sha256(t), 9, 2)) AS INT) % 2 = 1 THEN 1 ELSE -1 END AS sign FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM {0})"
 VIEWS["f_vec"] = f"SELECT id, CAST(idx AS INT) AS idx, CAST(sum(sign) AS BIGINT) AS weight FROM ({_TOKENS.format('(SELECT item_id AS id, text FROM benchmark)')}) GROUP BY ALL"
 
