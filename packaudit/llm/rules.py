@@ -19,10 +19,16 @@ FUNCTION_WORDS = (
     "der die und das den von zu mit sich auf für ist im dem nicht ein eine als auch es "
     "el los las y del se con una su al lo como más pero sus le ya o este sí"
 ).split()
-#: Rounds of estimation at most; it ends when the share of good texts moves by less.
-ROUNDS, SETTLED = 25, 1e-6
+#: Rounds of estimation at most; it ends when neither the share of good texts nor a rate moves by more.
+ROUNDS, SETTLED = 25, 1e-4
 #: Where estimation starts: probability that a text is good if no rule votes against it, and if one does.
 UNOPPOSED, OPPOSED = 0.98, 0.1
+#: A rule that votes against so large a share of the texts doesn't suit the table: estimation doesn't start from it.
+UNSUITED = 0.9
+#: What an abstention adds to the log odds at most, either way: it can't decide alone.
+ABSTENTION = 1.0
+#: The first estimates count like so many texts, as a share of a class, in all later ones: they keep the meaning of the classes.
+ANCHOR = 0.5
 #: How a rule votes on all texts counts like so many texts, as a share of all, in its rates on either class.
 PRIOR = 0.002
 
@@ -107,7 +113,8 @@ def votes() -> dict[str, Column]:
         "word_length": rule((chars >= words * 3) & (chars <= words * 8), (chars < words * 2) | (chars > words * 12)),
         "capitals": rule(f("n_upper") * 10 <= chars, f("n_upper") * 4 > chars),
         "shouts": rule(enough & (f("n_shouts") * 200 <= words), f("n_shouts") * 10 > words),
-        "function_words": rule(f("n_function_words") * 100 >= words * 15, enough & (f("n_function_words") * 100 < words * 6)),
+        # few hits are no evidence: the language may be another one
+        "function_words": rule(f("n_function_words") * 100 >= words * 15, F.lit(False)),
         "stops": rule((f("n_stops") * 3 <= words) & (f("n_stops") * 40 >= words), (f("n_stops") * 2 > words) | (f("n_stops") * 100 < words)),
         "line_words": rule(words >= lines * 5, (lines >= 5) & (words < lines * 3)),
         "digits": rule(f("n_digits") * 20 <= chars, enough & (f("n_digits") * 4 > chars)),
@@ -121,8 +128,21 @@ class VoteModel:
         self.share, self.good, self.bad = share, good, bad
 
     def weights(self) -> dict[str, tuple[float, ...]]:
-        """What each vote of a rule adds to the log odds of good; an abstention counts as well."""
-        return {n: tuple(math.log(g / b) for g, b in zip(self.good[n], self.bad[n], strict=True)) for n in self.good}
+        """What each vote of a rule (-1, 0, 1) adds to the log odds of good.
+
+        A vote against never speaks for a text and a vote in favour never against it, whatever the
+        estimate says; an abstention counts a little.
+        """
+        out = {}
+        for n in self.good:
+            against, none, favour = (math.log(g / b) for g, b in zip(self.good[n], self.bad[n], strict=True))
+            out[n] = min(against, 0.0), max(-ABSTENTION, min(none, ABSTENTION)), max(favour, 0.0)
+        return out
+
+    def moved(self, other: "VoteModel") -> float:
+        """The largest change between two estimates."""
+        pairs = [(self.share, other.share)] + [p for mine, its in ((self.good, other.good), (self.bad, other.bad)) for n in mine for p in zip(mine[n], its.get(n, (0.0,) * 3), strict=True)]
+        return max(abs(a - b) for a, b in pairs)
 
     def posterior(self) -> Column:
         """Probability that a text is good, given its votes (columns _v_<rule>)."""
@@ -135,16 +155,20 @@ class VoteModel:
 def fit(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> VoteModel:
     """Expectation maximisation over the distinct vote patterns, 3^rules of them at most.
 
-    Each round is one aggregation: the posterior of each pattern under the last estimates (at
-    first: whether any rule votes against), then from its sums the share of good texts and how
-    each rule votes on either class. The two classes get rates of their own, so a rule may be
-    sure of one and blind for the other, and an abstention says what it is worth. Rates lean a
-    little towards the rule's votes on all texts, which keeps them off 0.
+    Each round is one aggregation: the posterior of each pattern under the last estimates, then from
+    its sums the share of good texts and how each rule votes on either class. The two classes get
+    rates of their own, so a rule may be sure of one and blind for the other, and an abstention says
+    what it is worth. Rates lean a little towards the rule's votes on all texts, which keeps them
+    off 0. At first a text is doubtful if a rule votes against it, of those rules that don't vote
+    against nearly all texts. If no text is doubtful then, or all are alike, nothing tells two
+    classes apart, and all texts stay as good as they were.
     """
     columns = [f"_v_{n}" for n in names]
     patterns = saved(voted.groupBy(*columns).agg(F.count("*").alias("_n")).coalesce(1), "votes")
-    p = F.when(F.array_min(F.array(*columns)) < 0, OPPOSED).otherwise(UNOPPOSED)
-    model = VoteModel(UNOPPOSED, {}, {})
+    opposed = patterns.agg(F.sum("_n").alias("n"), *[F.sum(F.when(F.col(c) < 0, F.col("_n")).otherwise(0)).alias(c) for c in columns]).first()
+    suited = [c for c in columns if opposed["n"] and opposed[c] < UNSUITED * opposed["n"]]
+    p = F.when(F.least(F.lit(0), F.lit(0), *[F.col(c) for c in suited]) < 0, OPPOSED).otherwise(UNOPPOSED)
+    model, first = VoteModel(UNOPPOSED, {}, {}), None
     for _ in range(rounds):
         weight = {"g": F.col("_n") * F.col("_p"), "b": F.col("_n") * (1 - F.col("_p"))}
         row = (
@@ -165,8 +189,10 @@ def fit(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> VoteModel:
             k: {name: tuple((row[f"{k}{v}{c}"] + held * x) / (size[k] + held) for v, x in zip((-1, 0, 1), every[c], strict=True)) for name, c in zip(names, columns, strict=True)}
             for k in "gb"
         }
-        before, model = model.share, VoteModel((row["good"] + 1) / (n + 2), rates["g"], rates["b"])
-        if abs(model.share - before) < SETTLED:
+        first = first or rates
+        rates = {k: {x: tuple((r + ANCHOR * f) / (1 + ANCHOR) for r, f in zip(rates[k][x], first[k][x], strict=True)) for x in names} for k in "gb"}
+        before, model = model, VoteModel((row["good"] + 1) / (n + 2), rates["g"], rates["b"])
+        if model.moved(before) < SETTLED:
             break
         p = model.posterior()
     return model
@@ -182,7 +208,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A text fails the base if it has under 10 words or over a fifth of its words lie in repeated
     5-word windows. The rules look at other things; their rates are estimated on the texts that
     pass the base, and of these the ones whose posterior probability reaches keep_at are kept. A
-    null or empty text fails. Columns of docs with one of these names, or that begin with _v_ or _f, are
+    null or empty text fails. Where the votes tell no two classes apart (all texts alike, a rule
+    that votes against nearly all of them), all that pass the base are kept, in any language.
+    Columns of docs with one of these names, or that begin with _v_ or _f, are
     replaced. Repeated rows and null ids stay as they are; an empty table gives none.
     """
     rules = votes()
