@@ -85,3 +85,43 @@ def test_chunk_tables(spark, tmp_path):
     files.write_chunks(old, f"{tmp_path}/c")
     files.write_chunks(new, f"{tmp_path}/c")
     assert sorted(r["chunk_id"] for r in spark.read.parquet(f"{tmp_path}/c").collect()) == ["1", "2", "3"]
+
+
+def test_a_key_expires_and_comes_back(spark, tmp_path):
+    schema = "job_id string, status string, ts timestamp"
+    at = datetime(2025, 1, 1)
+    steps = [
+        [("a", "queued", at), ("a", "running", at + timedelta(hours=1)), ("b", "queued", at), (None, "queued", None)],
+        [("a", "stale", at + timedelta(minutes=30)), ("b", "done", at + timedelta(days=5))],
+        [("c", "queued", at + timedelta(days=9))],  # moves the watermark past a's seven days
+        [("c", "running", at + timedelta(days=10))],
+        [("a", "again", at + timedelta(days=10))],
+    ]
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        seen = {}
+        for i, rows in enumerate(steps):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/step{i}")
+
+            def store(batch, epoch):
+                for r in batch.orderBy("ts").collect():
+                    seen.setdefault(i, []).append((r["job_id"], r["status"], r["live"]))  # noqa: B023
+
+            stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+            q = jobs.live_state(stream, "job_id", "ts").writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert seen[0] == [("b", "queued", True), ("a", "running", True)]
+    assert [r for r in seen[1] if r[0] == "a"] == [] and ("b", "done", True) in seen[1]
+    later = [r for i in (2, 3) for r in seen.get(i, []) if r[0] == "a"]
+    assert later == [("a", "running", False)]
+    assert [r for r in seen[4] if r[0] == "a"] == [("a", "again", True)]
+
+
+def test_a_pluggable_store(spark, tmp_path):
+    kept = []
+    write = jobs.into(lambda rows, epoch: kept.append((epoch, rows.count())), "job_id", "ts")
+    write(events(spark, f"{tmp_path}/in"), 3)
+    assert kept == [(3, 3)]
