@@ -112,21 +112,39 @@ def boxes(spans: DataFrame, group: list[str]) -> DataFrame:
     return spans.groupBy(*group).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-def readiness(inventory: DataFrame) -> DataFrame:
-    """(application_id, action, title, dimensions): what to do about missing kinds, failures and duplicates, in that order."""
-    kind = F.explode(F.filter(F.split("missing", ","), lambda k: k != ""))
-    labels = F.create_map(*[F.lit(x) for k, (label, _) in GUIDANCE.items() for x in (k, label)])
-    dims = F.create_map(*[F.lit(x) for k, (_, d) in GUIDANCE.items() for x in (k, d)])
-    kinds = inventory.select("application_id", kind.alias("_k")).select(
-        "application_id", F.concat(F.lit("missing-"), "_k").alias("action"), F.concat(F.lit("Request "), labels[F.col("_k")]).alias("title"), dims[F.col("_k")].alias("dimensions")
+def readiness(inventory: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(application_id, place, action, title, detail, dimensions): what to do about missing kinds and bank months, failures, duplicates and unknown debt service, in that order.
+
+    ratios: (application_id, debt_service), a row for each period.
+    """
+    labels, dims = (F.create_map(*[F.lit(x) for k, v in GUIDANCE.items() for x in (k, v[i])]) for i in (0, 1))
+    absent = F.posexplode(F.filter(F.split("missing", ","), lambda k: k != ""))
+    kinds = inventory.select("application_id", absent.alias("place", "_k")).select(
+        "application_id",
+        "place",
+        F.concat(F.lit("missing-"), "_k").alias("action"),
+        F.concat(F.lit("Request "), labels[F.col("_k")]).alias("title"),
+        F.lit("The package inventory does not contain this core document type. Confirm whether it is required and obtain it before relying on the assessment.").alias("detail"),
+        dims[F.col("_k")].alias("dimensions"),
     )
 
-    def counted(column: str, action: str, verb: str, what: str) -> DataFrame:
-        n = F.col(column)
+    def counted(n: Column, place: int, action: str, verb: str, what: str, detail: Column, dimensions: str = "") -> DataFrame:
         title = F.concat(F.lit(f"{verb} "), n, F.lit(f" {what}"), F.when(n == 1, "").otherwise("s"))
-        return inventory.where(n > 0).select("application_id", F.lit(action).alias("action"), title.alias("title"), F.lit("").alias("dimensions"))
-
-    return kinds.unionByName(counted("failed_count", "failed-documents", "Resolve", "unprocessed document")).unionByName(counted("duplicate_count", "duplicates", "Review", "duplicate upload"))
+        return inventory.where(n > 0).select("application_id", F.lit(place).alias("place"), F.lit(action).alias("action"), title.alias("title"), detail.alias("detail"), F.lit(dimensions).alias("dimensions"))
+
+    months = F.size(F.filter(F.split("missing_months", ","), lambda m: m != ""))
+    coverage = F.concat(F.lit("No statement coverage was identified for "), F.replace("missing_months", F.lit(","), F.lit(", ")), F.lit(". Request missing statements or confirm the review period."))
+    schedule = F.lit("Debt-service coverage is unavailable for at least one period. Obtain the actual repayment schedule rather than estimating principal payments from liabilities.")
+    unknown = ratios.where("debt_service is null").select("application_id").distinct()
+    parts = [
+        counted(months, 10, "bank-coverage", "Review", "missing bank month", coverage, "Character,Capacity"),
+        counted(F.col("failed_count"), 11, "failed-documents", "Resolve", "unprocessed document", F.lit("Inspect extraction errors and re-upload readable source PDFs where necessary.")),
+        counted(F.col("duplicate_count"), 12, "duplicates", "Review", "duplicate upload", F.lit("Confirm whether the repeated PDFs are intentional before counting them as separate evidence.")),
+        unknown.select("application_id", F.lit(13).alias("place"), F.lit("repayment-schedule").alias("action"), F.lit("Verify debt-service obligations").alias("title"), schedule.alias("detail"), F.lit("Capacity").alias("dimensions")),
+    ]
+    for p in parts:
+        kinds = kinds.unionByName(p)
+    return kinds
 
 
 def completion(answers: DataFrame) -> DataFrame:

@@ -12,10 +12,15 @@ def matching(records: DataFrame, columns: list[str], text: str, category: str |
     return rows.where(F.lower(F.concat_ws(" ", *columns)).contains(text.lower()))
 
 
-def compatible(records: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
-    """Whether each record's status is one of its category's."""
-    table = F.create_map(*[x for k, v in allowed.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
-    return records.withColumn("compatible", F.coalesce(F.array_contains(table[F.col("category")], F.col("status")), F.lit(False)))
+# Statuses that an entry of each category may have
+STATUSES = {"test": ["not_run", "passed", "failed"], "bug": ["open", "resolved"], "note": ["recorded"]}
+
+
+def compatible(records: DataFrame) -> DataFrame:
+    """Whether each entry (category, status, title) can be taken: it has a title, and its status is one of its category's."""
+    table = F.create_map(*[x for k, v in STATUSES.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
+    titled = F.coalesce(F.trim(F.regexp_replace("title", r"\s+", " ")) != "", F.lit(False))
+    return records.withColumn("compatible", titled & F.coalesce(F.array_contains(F.try_element_at(table, F.col("category")), F.col("status")), F.lit(False)))
 
 
 def follow_ups(records: DataFrame) -> DataFrame:

@@ -137,14 +137,6 @@ def bundle_status(topics: DataFrame, has_evidence: DataFrame) -> DataFrame:
     return each.select("application_id", status.alias("status"), "warnings")
 
 
-def sampled(rows: DataFrame, by: str, order: str, limit: int) -> DataFrame:
-    """Of each group at most `limit` rows, spread evenly over its order; half places round to even."""
-    w = Window.partitionBy(by)
-    ranked = rows.withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w)})
-    at = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda p: F.bround(p * (F.col("_n") - 1) / F.lit(limit - 1), 0).cast("int"))
-    return ranked.where((F.col("_n") <= limit) | F.array_contains(at, F.col("_i"))).drop("_i", "_n")
-
-
 def prompt_citations(citable: DataFrame, *parts: DataFrame) -> DataFrame:
     """(application_id, cited array): the ids of all parts that can be cited, sorted."""
     ids = parts[0].select("application_id", "chunk_id")
@@ -152,8 +144,3 @@ def prompt_citations(citable: DataFrame, *parts: DataFrame) -> DataFrame:
         ids = ids.unionByName(p.select("application_id", "chunk_id"))
     known = ids.join(citable.select("application_id", "chunk_id").distinct(), ["application_id", "chunk_id"], "left_semi")
     return known.groupBy("application_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("cited"))
-
-
-def ordered_map(rows: DataFrame, by: str, key: str, value: Column) -> DataFrame:
-    """(by, entries): the map of key to value of each group, keys ascending."""
-    return rows.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))))).alias("entries"))

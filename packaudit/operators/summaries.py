@@ -29,24 +29,62 @@ def heading(paragraph: Column) -> Column:
     return F.when(paragraph.startswith(CHECKS), "System checks").when(labelled != "", labelled).when(judged != "", judged).otherwise("Assessment detail")
 
 
+# A bracket of ids with a kind and a number, several between commas
+_ID = r"[^\[\]]*?:(?:summary|transaction|director|period|page):\d+"
+CITATION = rf"\[{_ID}(?:\s*[,;]\s*{_ID})*\]"
+
+
+def segments(texts: DataFrame, key: list[str]) -> DataFrame:
+    """(key, place, kind, value): a body as text and citations in turn.
+
+    Brackets that aren't citations are text. An id that comes again, with only white space
+    between, is left out; behind other text it counts anew.
+    """
+    parts = F.regexp_extract_all("body", F.lit(rf"(?s){CITATION}|.+?(?={CITATION}|\z)"), 0)
+    pieces = texts.select(*key, F.posexplode(parts).alias("_at", "_part"))
+    quoted = F.col("_part").rlike(f"^{CITATION}$")
+    ids = F.filter(F.transform(F.split(F.expr("substring(_part, 2, length(_part) - 2)"), r"\s*[,;]\s*"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    each = F.when(quoted, F.transform(ids, lambda x: F.struct(F.lit("citation").alias("kind"), x.alias("value")))).otherwise(F.array(F.struct(F.lit("text").alias("kind"), F.col("_part").alias("value"))))
+    rows = pieces.select(*key, "_at", F.posexplode(each).alias("_n", "_s")).select(*key, "_at", "_n", "_s.*")
+    own = Window.partitionBy(*key).orderBy("_at", "_n")
+    said = (F.col("kind") == "text") & F.col("value").rlike(r"\S")
+    claims = rows.withColumn("_claim", F.sum(said.cast("int")).over(own))
+    again = F.row_number().over(Window.partitionBy(*key, "_claim", "kind", "value").orderBy("_at", "_n")) > 1
+    kept = claims.withColumn("_again", (F.col("kind") == "citation") & again).where("not _again")
+    return kept.select(*key, (F.row_number().over(own) - 1).alias("place"), "kind", "value")
+
+
+def grouped(parts: DataFrame, key: list[str]) -> DataFrame:
+    """(key, place, kind, values array): segments() with neighbouring citations as one group of sources; white space between two of them is left out."""
+    own = Window.partitionBy(*key).orderBy("place")
+    cited = F.col("kind") == "citation"
+    blank = ~cited & ~F.col("value").rlike(r"\S") & F.coalesce(F.lag(cited).over(own), F.lit(False)) & F.coalesce(F.lead(cited).over(own), F.lit(False))
+    left = parts.withColumn("_blank", blank).where("not _blank")
+    starts = ~cited | ~F.coalesce(F.lag(cited).over(own), F.lit(False))
+    groups = left.withColumn("_g", F.sum(starts.cast("int")).over(own)).groupBy(*key, "_g").agg(F.array_sort(F.collect_list(F.struct("place", "kind", "value"))).alias("_v"))
+    kind = F.when(F.col("_v")[0]["kind"] == "citation", "sources").otherwise("text")
+    return groups.select(*key, (F.col("_g") - 1).cast("int").alias("place"), kind.alias("kind"), F.array_distinct(F.transform("_v", lambda v: v["value"])).alias("values"))
+
+
 def review_flags(*parts: DataFrame) -> DataFrame:
-    """(application_id, place, flag): the different flags of (application_id, flag), those of earlier parts first, then by text."""
-    rows = reduce(DataFrame.unionByName, [p.select("application_id", "flag", F.lit(i).alias("_part")) for i, p in enumerate(parts)])
-    first = rows.groupBy("application_id", "flag").agg(F.min("_part").alias("_part"))
-    return first.select("application_id", F.row_number().over(Window.partitionBy("application_id").orderBy("_part", "flag")).alias("place"), "flag")
+    """(application_id, place, flag): the different flags of (application_id, ord, flag) in the order of first appearance, earlier parts first."""
+    rows = reduce(DataFrame.unionByName, [p.select("application_id", "flag", F.struct(F.lit(i).alias("part"), F.col("ord").cast("long").alias("ord"), F.col("flag").alias("flag")).alias("_at")) for i, p in enumerate(parts)])
+    first = rows.groupBy("application_id", "flag").agg(F.min("_at").alias("_at"))
+    return first.select("application_id", F.row_number().over(Window.partitionBy("application_id").orderBy("_at")).alias("place"), "flag")
 
 
-def unmentioned(findings: DataFrame, bodies: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(application_id, document_id, line): findings beyond info whose code the body doesn't name, with their citations that exist.
+def with_checks(bodies: DataFrame, findings: DataFrame, citable: DataFrame) -> DataFrame:
+    """(application_id, body): bodies with a line for each finding beyond info whose code they don't name, under "System validation checks:".
 
-    findings: (application_id, document_id, code, severity, citations array); a finding without such
-    a citation rests on the package inventory.
+    findings: (application_id, finding_ord, code, severity, message, citations array), appended in their
+    order with those of their citations that exist, each once; one without such a citation rests on the
+    package inventory. A body that names all codes stays as it is.
     """
-    left = findings.where("severity <> 'info'").join(bodies, "application_id", "left").where(~F.coalesce(F.col("body").contains(F.col("code")), F.lit(False)))
-    left = left.withColumn("_n", F.xxhash64("code", "severity", F.array_join("citations", ",")))
-    cited = left.select("application_id", "document_id", "_n", F.posexplode("citations").alias("_at", "cited")).join(allowed.select("cited").distinct(), "cited", "left_semi")
-    tags = cited.groupBy("application_id", "document_id", "_n", "cited").agg(F.min("_at").alias("_at")).groupBy("application_id", "document_id", "_n")
-    tags = tags.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "cited"))), lambda t: F.concat(F.lit("["), t["cited"], F.lit("]"))), " ").alias("_tags"))
-    basis = F.coalesce("_tags", F.lit("(package inventory check)"))
-    line = F.concat("code", F.lit(" ("), F.upper("severity"), F.lit("): "), "document_id", F.lit(" "), basis)
-    return left.join(tags, ["application_id", "document_id", "_n"], "left").select("application_id", "document_id", line.alias("line"))
+    left = findings.where("severity <> 'info'").join(bodies, "application_id").where(~F.col("body").contains(F.col("code")))
+    ids = citable.groupBy("application_id").agg(F.collect_set("chunk_id").alias("_ids"))
+    known = left.join(ids, "application_id", "left").withColumn("_tags", F.array_intersect("citations", F.coalesce("_ids", F.array().cast("array<string>"))))
+    basis = F.when(F.size("_tags") > 0, F.array_join(F.transform("_tags", lambda c: F.concat(F.lit("["), c, F.lit("]"))), " ")).otherwise("(package inventory check)")
+    line = F.concat("code", F.lit(" ("), F.upper("severity"), F.lit("): "), "message", F.lit(" "), basis)
+    lines = known.groupBy("application_id").agg(F.array_sort(F.collect_list(F.struct("finding_ord", line.alias("line")))).alias("_l"))
+    added = F.concat("body", F.lit(f"\n\n{CHECKS}\n"), F.array_join(F.transform("_l", lambda x: x["line"]), "\n"))
+    return bodies.join(lines, "application_id", "left").select("application_id", F.when(F.col("_l").isNotNull(), added).otherwise(F.col("body")).alias("body"))

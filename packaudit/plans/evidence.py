@@ -163,12 +163,24 @@ def p14_row_boxes(spark, d):
     return evidence.boxes(spans, ["document_id", "bucket"])
 
 
-@query("""SELECT application_id, 'missing-' || k AS action, 'Request ' || CASE k WHEN 'bank_statement' THEN 'bank statements' WHEN 'audited_financials' THEN 'audited financial statements' WHEN 'ssm_registration' THEN 'SSM registration' ELSE 'tax return' END AS title,
-    CASE k WHEN 'bank_statement' THEN 'Character,Capacity' WHEN 'audited_financials' THEN 'Capacity,Capital' WHEN 'ssm_registration' THEN 'Character' ELSE 'Character,Conditions' END AS dimensions FROM (SELECT application_id, unnest(string_split(missing, ',')) AS k FROM f_inventory WHERE missing <> '')
-    UNION ALL SELECT application_id, 'failed-documents', 'Resolve ' || failed_count || ' unprocessed document' || CASE WHEN failed_count = 1 THEN '' ELSE 's' END, '' FROM f_inventory WHERE failed_count > 0
-    UNION ALL SELECT application_id, 'duplicates', 'Review ' || duplicate_count || ' duplicate upload' || CASE WHEN duplicate_count = 1 THEN '' ELSE 's' END, '' FROM f_inventory WHERE duplicate_count > 0""")
+_DETAILS = [
+    "The package inventory does not contain this core document type. Confirm whether it is required and obtain it before relying on the assessment.",
+    "Inspect extraction errors and re-upload readable source PDFs where necessary.",
+    "Confirm whether the repeated PDFs are intentional before counting them as separate evidence.",
+    "Debt-service coverage is unavailable for at least one period. Obtain the actual repayment schedule rather than estimating principal payments from liabilities.",
+]
+
+
+@query(f"""SELECT application_id, CAST(place AS INT) AS place, 'missing-' || k AS action, 'Request ' || CASE k {" ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in evidence.GUIDANCE.items())} END AS title, '{_DETAILS[0]}' AS detail, CASE k {" ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in evidence.GUIDANCE.items())} END AS dimensions
+    FROM (SELECT application_id, unnest(string_split(missing, ',')) AS k, unnest(range(len(string_split(missing, ',')))) AS place FROM f_inventory WHERE missing <> '')
+    UNION ALL SELECT application_id, 10, 'bank-coverage', 'Review ' || n || ' missing bank month' || CASE WHEN n = 1 THEN '' ELSE 's' END, 'No statement coverage was identified for ' || replace(missing_months, ',', ', ') || '. Request missing statements or confirm the review period.', 'Character,Capacity' FROM (SELECT *, len(string_split(missing_months, ',')) AS n FROM f_inventory WHERE missing_months <> '')
+    UNION ALL SELECT application_id, 11, 'failed-documents', 'Resolve ' || failed_count || ' unprocessed document' || CASE WHEN failed_count = 1 THEN '' ELSE 's' END, '{_DETAILS[1]}', '' FROM f_inventory WHERE failed_count > 0
+    UNION ALL SELECT application_id, 12, 'duplicates', 'Review ' || duplicate_count || ' duplicate upload' || CASE WHEN duplicate_count = 1 THEN '' ELSE 's' END, '{_DETAILS[2]}', '' FROM f_inventory WHERE duplicate_count > 0
+    UNION ALL SELECT DISTINCT application_id, 13, 'repayment-schedule', 'Verify debt-service obligations', '{_DETAILS[3]}', 'Capacity' FROM f_status WHERE kind = 'audited_financials' AND status = 'extracted'""")
 def r15_readiness(spark, d):
-    return evidence.readiness(inventory.package_inventory(packages.with_status(spark, d)))
+    """Debt service is never known, so each package with accounts that were read has to verify it."""
+    read = packages.with_status(spark, d).where("kind = 'audited_financials' and status = 'extracted'").select("application_id", F.lit(None).cast("decimal(18,4)").alias("debt_service"))
+    return evidence.readiness(packages.inventory_of(spark, d), read)
 
 
 @query("SELECT task, count(*) AS participants, round(sum(CAST(completed AS INT)) / count(*), 4) AS rate FROM (SELECT event_type AS task, user_id, max(value) > 50 AS completed FROM events GROUP BY ALL) GROUP BY 1")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from packaudit.operators import cashflow, history, inventory
+from packaudit.operators import history, inventory
 from packaudit.plans import finance, views  # noqa: F401  finance adds SQL views
+from packaudit.plans.shared import FRAMES, shared
 from packaudit.plans.sql_views import VIEWS, oracle
 
+FRAMES["f_docs"] = views.documents
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -24,15 +26,16 @@ def query(sql: str | None = None):
 
 
 def with_status(spark, d, package="source"):
-    n = F.col("upload_ord")
-    docs = views.documents(spark, d, package).withColumns({"parse_error": n % 37 == 0, "rejected": n % 31 == 0})
+    n, tidy = F.col("upload_ord"), F.coalesce(F.regexp_extract("application_id", r"(\d+)", 1).try_cast("int") % 5 == 1, F.lit(False))
+    docs = views.documents(spark, d, package).withColumns({"parse_error": (n % 37 == 0) & ~tidy, "rejected": (n % 31 == 0) & ~tidy, "kind": F.when(tidy & (F.col("kind") == "unknown"), "tax_return").otherwise(F.col("kind"))})
     return inventory.processing_status(docs).drop("text")
 
 
-_STATUS = """CASE WHEN upload_ord % 37 = 0 THEN 'parse_failed' WHEN needs_ocr THEN 'ocr_required' WHEN upload_ord % 31 = 0 THEN 'failed'
+_STATUS = """CASE WHEN upload_ord % 37 = 0 AND NOT tidy THEN 'parse_failed' WHEN needs_ocr THEN 'ocr_required' WHEN upload_ord % 31 = 0 AND NOT tidy THEN 'failed'
     WHEN kind IN ('audited_financials', 'bank_statement', 'ssm_registration', 'tax_return') THEN 'extracted' WHEN kind <> 'unknown' THEN 'indexed' ELSE 'failed' END"""
-VIEWS["f_status"] = f"SELECT *, {_STATUS} AS status FROM f_docs"
-VIEWS["f_status_lang"] = f"SELECT *, {_STATUS} AS status FROM f_docs_lang"
+_TIDY = "(SELECT * REPLACE (CASE WHEN tidy AND kind = 'unknown' THEN 'tax_return' ELSE kind END AS kind) FROM (SELECT *, coalesce(TRY_CAST(regexp_extract(application_id, '(\\d+)', 1) AS INT) % 5 = 1, false) AS tidy FROM {0}))"
+VIEWS["f_status"] = f"SELECT * EXCLUDE (tidy), {_STATUS} AS status FROM {_TIDY.format('f_docs')}"
+VIEWS["f_status_lang"] = f"SELECT * EXCLUDE (tidy), {_STATUS} AS status FROM {_TIDY.format('f_docs_lang')}"
 
 
 @query("""SELECT application_id, upload_ord, base_id || CASE WHEN n > 1 THEN '__' || n ELSE '' END AS document_id FROM (
@@ -60,7 +63,7 @@ _DUP = "(SELECT application_id, document_id, first_value(document_id) OVER w AS
 
 @query(f"SELECT application_id, document_id, original FROM {_DUP} WHERE n > 1")
 def w4_duplicate_documents(spark, d):
-    return inventory.duplicate_documents(views.documents(spark, d, "lang"))
+    return inventory.duplicate_documents(views.documents(spark, d, "lang")).drop("upload_ord")
 
 
 VIEWS["f_kinds"] = """SELECT application_id, coalesce(string_agg(k, ',' ORDER BY k) FILTER (WHERE NOT have), '') AS missing FROM (SELECT a.application_id, k, (a.application_id, k) IN (SELECT (application_id, kind) FROM f_docs) AS have
@@ -72,15 +75,32 @@ def r9_missing_core_kinds(spark, d):
     return inventory.missing_kinds(views.documents(spark, d))
 
 
-VIEWS["f_inventory"] = """SELECT *, missing = '' AND duplicate_count = 0 AND failed_count = 0 AS complete FROM (
-    SELECT application_id, document_count, page_count, read_count, failed_count, missing, coalesce(n, 0) AS duplicate_count FROM (
+statements = shared(
+    "f_doc_stmt",
+    """SELECT application_id, document_id, m.month AS period_start FROM (SELECT *, upload_ord - upload_ord AS zero, CAST(regexp_replace(application_id, '^[^0-9]*', '') AS INT) AS number FROM f_docs WHERE kind = 'bank_statement') AS s
+    JOIN (VALUES (0, 1, DATE '2024-01-01'), (0, 2, DATE '2024-02-01'), (0, 3, DATE '2024-03-01'), (0, 4, DATE '2024-04-01'), (0, 5, DATE '2024-05-01'), (0, 6, DATE '2024-06-01'), (0, 7, DATE '2024-07-01'), (0, 8, DATE '2024-08-01'), (0, 9, DATE '2024-09-01'), (0, 10, DATE '2024-10-01'), (0, 11, DATE '2024-11-01'), (0, 12, DATE '2024-12-01'), (0, 0, DATE '2023-06-01')) AS m(zero, n, month) ON s.zero = m.zero
+    WHERE s.number % 2 = 1 OR (m.n + upload_ord) % 5 < 3""",
+)
+years = shared("f_doc_year", "SELECT application_id, document_id, CAST(2020 + upload_ord % 4 AS INT) AS year FROM f_docs WHERE kind = 'audited_financials'")
+
+
+def inventory_of(spark, d):
+    return inventory.package_inventory(with_status(spark, d), statements(spark, d), years(spark, d))
+
+
+VIEWS["f_kinds_tidy"] = VIEWS["f_kinds"].replace("f_docs", "f_status")
+VIEWS["f_doc_gap"] = """SELECT application_id, string_agg(m, ',' ORDER BY m) AS missing_months FROM (SELECT application_id, strftime(make_date(y, unnest(range(1, 13)), 1), '%Y-%m') AS m FROM (SELECT application_id, max(year(period_start)) AS y FROM f_doc_stmt GROUP BY 1))
+    WHERE (application_id, m) NOT IN (SELECT (application_id, strftime(period_start, '%Y-%m')) FROM f_doc_stmt) GROUP BY 1"""
+VIEWS["f_inventory"] = """SELECT *, missing_months = '' AND missing = '' AND duplicate_count = 0 AND failed_count = 0 AS complete FROM (
+    SELECT application_id, document_count, page_count, read_count, failed_count, missing, coalesce(n, 0) AS duplicate_count, coalesce(missing_months, '') AS missing_months, coalesce(financial_years, '') AS financial_years FROM (
     SELECT application_id, count(*) AS document_count, CAST(sum(page_count) AS BIGINT) AS page_count, count(*) FILTER (WHERE status IN ('extracted', 'indexed')) AS read_count, count(*) FILTER (WHERE status NOT IN ('extracted', 'indexed')) AS failed_count FROM f_status GROUP BY 1)
-    JOIN f_kinds USING (application_id) LEFT JOIN (SELECT application_id, count(*) AS n FROM (SELECT application_id, row_number() OVER (PARTITION BY application_id, sha256 ORDER BY upload_ord) AS r FROM f_docs) WHERE r > 1 GROUP BY 1) USING (application_id))"""
+    JOIN f_kinds_tidy USING (application_id) LEFT JOIN (SELECT application_id, count(*) AS n FROM (SELECT application_id, row_number() OVER (PARTITION BY application_id, sha256 ORDER BY upload_ord) AS r FROM f_docs) WHERE r > 1 GROUP BY 1) USING (application_id)
+    LEFT JOIN f_doc_gap USING (application_id) LEFT JOIN (SELECT application_id, string_agg(DISTINCT year, ',' ORDER BY year) AS financial_years FROM f_doc_year GROUP BY 1) USING (application_id))"""
 
 
 @query("SELECT * FROM f_inventory")
 def a5_package_inventory(spark, d):
-    return inventory.package_inventory(with_status(spark, d))
+    return inventory_of(spark, d)
 
 
 @query("SELECT application_id, kind, count(*) AS n FROM f_docs GROUP BY ALL")
@@ -90,12 +110,12 @@ def a6_documents_by_kind(spark, d):
 
 @query("SELECT application_id, complete FROM f_inventory")
 def a23_complete_flag(spark, d):
-    return inventory.package_inventory(with_status(spark, d)).select("application_id", "complete")
+    return inventory_of(spark, d).select("application_id", "complete")
 
 
 @query("SELECT application_id, read_count = 0 AS all_failed FROM f_inventory")
 def r12_all_failed(spark, d):
-    return inventory.all_failed(inventory.package_inventory(with_status(spark, d)))
+    return inventory.all_failed(inventory_of(spark, d))
 
 
 @query("SELECT application_id, account_number, string_agg(DISTINCT strftime(period_start, '%Y-%m'), ',' ORDER BY strftime(period_start, '%Y-%m')) AS months FROM f_stmt_m GROUP BY ALL")
@@ -109,16 +129,17 @@ def a8_account_rollup(spark, d):
     return inventory.account_rollup(views.statements(spark, d))
 
 
-R8_SQL = """SELECT *, 'warning' AS severity FROM (SELECT application_id, string_agg(month, ', ' ORDER BY month) AS detail, 'MISSING_BANK_MONTHS' AS code FROM f_missing GROUP BY 1
-    UNION ALL SELECT application_id, replace(missing, ',', ', '), 'MISSING_CORE_DOCUMENTS' FROM f_inventory WHERE missing <> ''
-    UNION ALL SELECT application_id, CAST(failed_count AS VARCHAR), 'DOCUMENT_EXTRACTION_FAILURES' FROM f_inventory WHERE failed_count > 0
-    UNION ALL SELECT application_id, document_id, 'DUPLICATE_DOCUMENT' FROM (SELECT application_id, document_id, row_number() OVER (PARTITION BY application_id, sha256 ORDER BY upload_ord) AS r FROM f_docs) WHERE r > 1)"""
+R8_SQL = """SELECT application_id, CAST(row_number() OVER (PARTITION BY application_id ORDER BY upload_ord) AS BIGINT) AS finding_ord, 'DUPLICATE_DOCUMENT' AS code, 'warning' AS severity, 'Document ' || document_id || ' duplicates another uploaded PDF.' AS message, document_id AS detail
+    FROM (SELECT *, row_number() OVER (PARTITION BY application_id, sha256 ORDER BY upload_ord) AS r FROM f_docs) WHERE r > 1
+    UNION ALL SELECT application_id, 1099511627777, 'MISSING_BANK_MONTHS', 'warning', 'Missing bank coverage for: ' || replace(missing_months, ',', ', '), replace(missing_months, ',', ', ') FROM f_inventory WHERE missing_months <> ''
+    UNION ALL SELECT application_id, 1099511627778, 'MISSING_CORE_DOCUMENTS', 'warning', 'Missing core document types: ' || replace(missing, ',', ', '), replace(missing, ',', ', ') FROM f_inventory WHERE missing <> ''
+    UNION ALL SELECT application_id, 1099511627779, 'DOCUMENT_EXTRACTION_FAILURES', 'warning', failed_count || ' document(s) could not be extracted or indexed.', CAST(failed_count AS VARCHAR) FROM f_inventory WHERE failed_count > 0"""
+VIEWS["f_package_finding"] = R8_SQL
 
 
-@query(R8_SQL)
+@query("SELECT * FROM f_package_finding")
 def r8_package_findings(spark, d):
-    docs = with_status(spark, d)
-    return inventory.package_findings(inventory.package_inventory(docs), cashflow.missing_months(views.monthly_statements(spark, d)), inventory.duplicate_documents(docs))
+    return inventory.package_findings(inventory_of(spark, d), inventory.duplicate_documents(with_status(spark, d)))
 
 
 def jobs(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from packaudit.functions.money import cents
 from packaudit.operators import checks, chunks, records
 from packaudit.plans import finance, texts, views  # noqa: F401  texts adds SQL views
+from packaudit.plans.shared import shared
 from packaudit.plans.sql_views import VIEWS, money, oracle
 
 QUERIES: dict = {}
@@ -46,9 +47,16 @@ def f10_history_filter(spark, d):
     return records.matching(history(spark, d), ["details", "status"], '"K": 7', "error").select("id", "status")
 
 
-@query("SELECT id, coalesce((category = 'error' AND status IN ('open', 'failed')) OR (category = 'purchase' AND status = 'done'), false) AS compatible FROM f_history")
+entries = shared(
+    "f_entry",
+    """SELECT CAST(event_id AS STRING) AS id, CASE event_type WHEN 'error' THEN 'bug' WHEN 'view' THEN 'note' WHEN 'click' THEN 'other' ELSE 'test' END AS category,
+    CASE WHEN value < 15 THEN 'open' WHEN value < 30 THEN 'passed' WHEN value < 60 THEN 'recorded' WHEN value < 90 THEN 'not_run' ELSE 'resolved' END AS status, CASE WHEN length(props) % 3 = 0 THEN '  ' WHEN value > 200 THEN NULL ELSE props END AS title FROM events""",
+)
+
+
+@query("SELECT id, coalesce(trim(title) <> '', false) AND coalesce(CASE category WHEN 'test' THEN status IN ('not_run', 'passed', 'failed') WHEN 'bug' THEN status IN ('open', 'resolved') WHEN 'note' THEN status = 'recorded' END, false) AS compatible FROM f_entry")
 def f11_compatibility(spark, d):
-    return records.compatible(history(spark, d), {"error": ["open", "failed"], "purchase": ["done"]}).select("id", "compatible")
+    return records.compatible(entries(spark, d)).select("id", "compatible")
 
 
 @query("SELECT id FROM f_history WHERE contains(lower(application_id), 'app12')")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packaudit.operators import chunks, retrieval
+from packaudit.operators import cashflow, chunks, retrieval
 from packaudit.plans import packages, texts, views  # noqa: F401  texts adds SQL views
 from packaudit.plans.shared import FRAMES, shared
 from packaudit.plans.sql_views import VIEWS, oracle
@@ -24,7 +24,6 @@ def query(sql: str | None = None):
 
 
 FRAMES["f_chunks"] = lambda spark, d: chunks.page_chunks(views.documents(spark, d))
-FRAMES["f_docs"] = views.documents
 
 # chunks with phrases of the topics, some very long; a tenth of them say that they are of another package's document
 _PHRASE = ["tax return gross business income tax payable", "bank statement credits debits balance cash flow interest expense", "total equity retained earnings working capital", "facility statement pledged collateral guarantee", "management accounts customer concentration", "cash flow forecast projected receipts", "directors ownership payment history"]
@@ -34,6 +33,7 @@ evidence_chunks = shared(
     "f_ev_chunk",
     f"""SELECT c.application_id, c.document_id, c.chunk_id, c.page, {_KIND} AS kind, c.text || {_SAID} AS plain, repeat(c.text || {_SAID} || ' ', CAST(1 + (c.page * 7) % 60 AS INT)) AS text, c.page % 10 = 3 AS stray FROM f_chunks c JOIN f_docs d ON d.document_id = c.document_id""",
 )
+shared("f_ev_package_id", "SELECT DISTINCT application_id FROM f_docs")
 evidence_packages = shared("f_ev_kind", "SELECT DISTINCT application_id, kind FROM f_ev_chunk")
 findings = shared(
     "f_ev_finding",
@@ -159,6 +159,6 @@ def v10_prompt_citations(spark, d):
     measured = metrics(spark, d)
     citable = evidence_chunks(spark, d).select("application_id", "chunk_id").unionByName(measured.where("ord % 5 <> 0").select("application_id", "chunk_id"))
     tax = views.documents(spark, d).where("kind = 'tax_return'").select("application_id", F.concat("document_id", F.lit(":page:2")).alias("chunk_id"))
-    bank = retrieval.sampled(measured.where("kind = 'bank_statement'"), "application_id", "ord", 5)
+    bank = cashflow.even_sample(measured.where("kind = 'bank_statement'"), ["application_id"], ["ord"], 5)
     found = retrieval.prompt_citations(citable, chosen(spark, d).where("kept and new"), tax, bank, measured.where("kind <> 'bank_statement'"), findings(spark, d).where("cited"))
     return found.withColumn("cited", F.array_join("cited", " "))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from packaudit.operators import retrieval
+from packaudit.operators import cashflow, retrieval
 
 HIT = "application_id string, topic_ord int, chunk_id string, document_id string, kind string, score double, text string, accepted boolean"
 
@@ -102,6 +102,6 @@ def test_metrics_give_the_capacity_topic_chunks(spark):
 
 def test_even_samples(spark):
     rows = spark.createDataFrame([("a", i) for i in range(18)] + [("b", i) for i in range(4)], "application_id string, ord int")
-    found = retrieval.sampled(rows, "application_id", "ord", 5).orderBy("application_id", "ord").collect()
+    found = cashflow.even_sample(rows, ["application_id"], ["ord"], 5).orderBy("application_id", "ord").collect()
     assert [r["ord"] for r in found if r["application_id"] == "a"] == sorted({round(p * 17 / 4) for p in range(5)})
     assert len([r for r in found if r["application_id"] == "b"]) == 4
