@@ -21,22 +21,50 @@ def test_paragraphs_and_headings(spark):
     assert headings(spark, None) == []
 
 
-def test_flags_in_order_of_parts(spark):
-    a = spark.createDataFrame([(1, "b"), (1, "a"), (2, "x")], "application_id int, flag string")
-    b = spark.createDataFrame([(1, "a"), (1, "0")], "application_id int, flag string")
+def test_flags_in_order_of_first_appearance(spark):
+    a = spark.createDataFrame([(1, 0, "b"), (1, 1, "a"), (2, 0, "x")], "application_id int, ord int, flag string")
+    b = spark.createDataFrame([(1, 0, "z"), (1, 1, "a"), (1, 2, "0"), (1, 3, "z")], "application_id int, ord int, flag string")
     rows = summaries.review_flags(a, b).orderBy("application_id", "place").collect()
-    assert [tuple(r) for r in rows] == [(1, 1, "a"), (1, 2, "b"), (1, 3, "0"), (2, 1, "x")]
+    assert [tuple(r) for r in rows] == [(1, 1, "b"), (1, 2, "a"), (1, 3, "z"), (1, 4, "0"), (2, 1, "x")]
 
 
-def test_unmentioned_findings(spark):
-    fields = "application_id int, document_id string, code string, severity string, citations array<string>"
+def test_findings_that_a_body_leaves_out(spark):
+    fields = "application_id int, finding_ord int, code string, severity string, message string, citations array<string>"
     found = [
-        (1, "d", "SAID", "critical", ["c1"]),
-        (1, "d", "LEFT", "warning", ["c2", "no", "c1", "c2"]),
-        (1, "d", "NOTE", "info", ["c1"]),
-        (2, "e", "LEFT", "critical", []),
+        (1, 3, "LEFT", "warning", "two months", ["c2", "no", "c1", "c2"]),
+        (1, 1, "SAID", "critical", "said", ["c1"]),
+        (1, 2, "FIRST", "critical", "no documents", ["no"]),
+        (1, 4, "NOTE", "info", "note", ["c1"]),
+        (2, 1, "SAID", "critical", "said", []),
     ]
-    bodies = spark.createDataFrame([(1, "SAID and done")], "application_id int, body string")
-    allowed = spark.createDataFrame([("c1",), ("c2",)], "cited string")
-    rows = summaries.unmentioned(spark.createDataFrame(found, fields), bodies, allowed).orderBy("application_id").collect()
-    assert [r.line for r in rows] == ["LEFT (WARNING): d [c2] [c1]", "LEFT (CRITICAL): e (package inventory check)"]
+    bodies = spark.createDataFrame([(1, "SAID and done"), (2, "SAID too"), (3, "nothing")], "application_id int, body string")
+    citable = spark.createDataFrame([(1, "c1"), (1, "c2"), (2, "no")], "application_id int, chunk_id string")
+    rows = summaries.with_checks(bodies, spark.createDataFrame(found, fields), citable).orderBy("application_id").collect()
+    assert [r.body for r in rows] == [
+        "SAID and done\n\nSystem validation checks:\nFIRST (CRITICAL): no documents (package inventory check)\nLEFT (WARNING): two months [c2] [c1]",
+        "SAID too",
+        "nothing",
+    ]
+
+
+def parts(spark, text):
+    return summaries.segments(spark.createDataFrame([(1, text)], "id int, body string"), ["id"])
+
+
+def test_citation_segments(spark):
+    def cited(text):
+        return [r.value for r in parts(spark, text).where("kind = 'citation'").orderBy("place").collect()]
+
+    assert cited("A [one:summary:0, one:summary:0][two:summary:0] [one:summary:0]. B [one:summary:0]") == ["one:summary:0", "two:summary:0", "one:summary:0"]
+    rows = parts(spark, "Evidence [package/facility:page:4] [estimated]").orderBy("place").collect()
+    assert [(r.kind, r.value) for r in rows] == [("text", "Evidence "), ("citation", "package/facility:page:4"), ("text", " [estimated]")]
+    assert parts(spark, "").collect() == []
+
+
+def test_grouped_citations(spark):
+    def groups(text):
+        rows = summaries.grouped(parts(spark, text), ["id"]).orderBy("place").collect()
+        return [(r.kind, r["values"]) for r in rows]
+
+    assert groups("A [one:page:1] [two:page:2]. B [one:page:1]") == [("text", ["A "]), ("sources", ["one:page:1", "two:page:2"]), ("text", [". B "]), ("sources", ["one:page:1"])]
+    assert groups("[estimated] [one:period:0]  ") == [("text", ["[estimated] "]), ("sources", ["one:period:0"]), ("text", ["  "])]
