@@ -48,20 +48,6 @@ def aligned(expected: DataFrame, actual: DataFrame, tolerance: str = "0.01") ->
     return out.select("document_id", "matched", "compared", accuracy.alias("accuracy"), (F.col("_e") == F.col("_a")).alias("same_length"))
 
 
-def ratings(findings: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Character and capacity of each package by rule, before the guards.
-
-    Critical findings make both weak; a warning makes character adequate; capacity is strong if cash flowed in.
-    """
-    found = findings.groupBy("application_id").agg(F.bool_or(F.col("severity") == "critical").alias("_c"), F.bool_or(F.col("severity") == "warning").alias("_w"))
-    cash = metrics.groupBy("application_id").agg(F.sum("net_change").alias("_n"))
-    rows = cash.join(found, "application_id", "full").fillna(False, ["_c", "_w"])
-    character = F.when(F.col("_c"), "weak").when(F.col("_w"), "adequate").otherwise("strong")
-    capacity = F.when(F.col("_n").isNull(), "insufficient_data").when((F.col("_n") > 0) & ~F.col("_c"), "strong").otherwise("weak")
-    pairs = F.array(F.struct(F.lit("Character").alias("dimension"), character.alias("rating")), F.struct(F.lit("Capacity").alias("dimension"), capacity.alias("rating")))
-    return rows.select("application_id", F.explode(pairs).alias("_r")).select("application_id", "_r.*")
-
-
 # Phrases that a line on concentration has
 CONCENTRATION = r"(?i)customer concentration|supplier dependence|supplier concentration"
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packaudit.functions.money import cents
-from packaudit.operators import checks, chunks, records
-from packaudit.plans import finance, texts, views  # noqa: F401  texts adds SQL views
+from packaudit.operators import chunks, records
+from packaudit.plans import texts, views  # noqa: F401  texts adds SQL views
 from packaudit.plans.shared import shared
 from packaudit.plans.sql_views import VIEWS, money, oracle
 
@@ -99,20 +99,17 @@ def j16_chunk_lookup(spark, d):
     return found.select("application_id", "document_id", "text")
 
 
-@query("""SELECT application_id, unnest(['Character', 'Capacity']) AS dimension, unnest([CASE WHEN c THEN 'weak' WHEN w THEN 'adequate' ELSE 'strong' END, CASE WHEN n IS NULL THEN 'insufficient_data' WHEN n > 0 AND NOT c THEN 'strong' ELSE 'weak' END]) AS rating
-    FROM (SELECT application_id, coalesce(c, false) AS c, coalesce(w, false) AS w, n FROM (SELECT application_id, sum(total_credits - total_debits) AS n FROM f_stmt GROUP BY 1)
-    FULL JOIN (SELECT application_id, bool_or(severity = 'critical') AS c, bool_or(severity = 'warning') AS w FROM f_findings GROUP BY 1) USING (application_id))""")
-def r10_ratings(spark, d):
-    return records.ratings(finance.all_findings(spark, d), checks.statement_metrics(views.ledger(spark, d), views.statements(spark, d)))
-
-
 VIEWS["f_conc"] = """SELECT 'app' || user_id % 50 AS application_id, event_id || ':page:0' AS chunk_id, event_id, CASE WHEN user_id % 4 = 0 THEN 'tax_return' ELSE 'management_accounts' END AS kind,
     ['Customer concentration: ', 'Growth: ', 'SUPPLIER dependence of ', 'Supplier concentration reached '][event_id % 4 + 1] || event_id % 120 || CASE WHEN event_id % 5 = 0 THEN '.5' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN ' %' ELSE '%' END AS line FROM events"""
 
 
-@query("""SELECT application_id, string_agg(p, ',' ORDER BY CAST(p AS DOUBLE)) AS percentages, max(chunks) AS chunk_ids FROM (SELECT DISTINCT application_id, CAST(p AS VARCHAR) AS p FROM (SELECT application_id, CAST(unnest(regexp_extract_all(line, '(?:^|[^0-9])([0-9]{1,3}(?:\\.[0-9]+)?)\\s*%', 1)) AS DOUBLE) AS p FROM f_conc
+R14_SQL = """SELECT application_id, string_agg(p, ',' ORDER BY CAST(p AS DOUBLE)) AS percentages, max(chunks) AS chunk_ids FROM (SELECT DISTINCT application_id, CAST(p AS VARCHAR) AS p FROM (SELECT application_id, CAST(unnest(regexp_extract_all(line, '(?:^|[^0-9])([0-9]{1,3}(?:\\.[0-9]+)?)\\s*%', 1)) AS DOUBLE) AS p FROM f_conc
     WHERE kind = 'management_accounts' AND regexp_matches(lower(line), 'customer concentration|supplier dependence|supplier concentration')) WHERE p >= 50)
-    JOIN (SELECT application_id, string_agg(chunk_id, ',' ORDER BY chunk_id) AS chunks FROM f_conc WHERE kind = 'management_accounts' AND regexp_matches(lower(line), 'customer concentration|supplier dependence|supplier concentration') AND event_id % 120 + CASE WHEN event_id % 5 = 0 THEN 0.5 ELSE 0 END >= 50 GROUP BY 1) USING (application_id) GROUP BY 1""")
+    JOIN (SELECT application_id, string_agg(chunk_id, ',' ORDER BY chunk_id) AS chunks FROM f_conc WHERE kind = 'management_accounts' AND regexp_matches(lower(line), 'customer concentration|supplier dependence|supplier concentration') AND event_id % 120 + CASE WHEN event_id % 5 = 0 THEN 0.5 ELSE 0 END >= 50 GROUP BY 1) USING (application_id) GROUP BY 1"""
+VIEWS["f_concentration"] = R14_SQL
+
+
+@query("SELECT * FROM f_concentration")
 def r14_concentration(spark, d):
     e = F.col("event_id")
     start = F.element_at(F.array(*[F.lit(x) for x in ("Customer concentration: ", "Growth: ", "SUPPLIER dependence of ", "Supplier concentration reached ")]), (e % 4 + 1).cast("int"))

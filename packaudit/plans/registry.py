@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from packaudit.plans import evidence, extraction, finance, layouts, packages, records, retrieval, summaries, texts
+from packaudit.plans import evidence, extraction, finance, layouts, packages, rating, records, retrieval, summaries, texts
 
-MODULES = (finance, packages, texts, records, evidence, extraction, summaries, layouts, retrieval)
+MODULES = (finance, packages, texts, records, evidence, extraction, summaries, layouts, retrieval, rating)
 
 
 def queries() -> dict:
