@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packaudit.functions.money import AMOUNT, half_up
-from packaudit.functions.names import core_name, name_key, normal_name
+from packaudit.functions.names import SUFFIXES, core_name, name_key, normal_name
 from packaudit.operators import cashflow, checks, crossdoc, ratios
 from packaudit.plans import views
 from packaudit.plans.sql_views import VIEWS, oracle
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+RAW: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = oracle(sql)
+            SQL[f.__name__], RAW[f.__name__] = oracle(sql), sql
         return f
 
     return add
@@ -47,7 +48,7 @@ _NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upp
 
 def _core(x: str) -> str:
     out = _NORMAL.format(x)
-    for s in ["SDN BHD", "SDN. BHD.", "BERHAD", "BHD", "ENTERPRISE", "TRADING", "RESOURCES", "HOLDINGS"]:
+    for s in SUFFIXES:
         out = rf"trim(regexp_replace({out}, '{s.replace('.', chr(92) + '.')}$', ''))"
     return out
 
@@ -115,7 +116,10 @@ def with_totals(spark, d):
     return p.withColumns({"total_liabilities": liabilities, "total_assets": assets, "period_index": F.lit(0)})
 
 
-@query("SELECT application_id, document_id, 'AUDITED_ACCOUNTING_EQUATION' AS code, 'critical' AS severity, document_id || ':period:0' AS citations, 0 AS period_index FROM f_period WHERE l_suppkey % 7 = 0")
+VIEWS["f_totals"] = """SELECT *, CAST(current_liabilities + non_current_liabilities AS DECIMAL(18,2)) AS total_liabilities, CAST(current_liabilities + non_current_liabilities + total_equity + CASE WHEN l_suppkey % 7 = 0 THEN 0.02 ELSE 0 END AS DECIMAL(18,2)) AS total_assets FROM f_period"""
+
+
+@query("SELECT application_id, document_id, 'AUDITED_ACCOUNTING_EQUATION' AS code, 'critical' AS severity, document_id || ':period:0' AS citations, 0 AS period_index FROM f_totals WHERE abs(total_assets - total_liabilities - total_equity) > 0.01")
 def f3_accounting_equation(spark, d):
     return flat(checks.accounting_equation(with_totals(spark, d)))
 
@@ -138,7 +142,7 @@ def f5_upload_limits(spark, d):
     return checks.upload_verdict(files, bytes_=60000)
 
 
-@query("SELECT application_id, document_id, 'period ends before it starts' AS reason FROM f_stmt WHERE user_id % 19 = 0")
+@query("SELECT application_id, document_id, 'period ends before it starts' AS reason FROM (SELECT * REPLACE (CASE WHEN user_id % 19 = 0 THEN period_start - 1 ELSE period_end END AS period_end) FROM f_stmt) WHERE period_end < period_start")
 def f6_period_guard(spark, d):
     s = views.statements(spark, d)
     return checks.period_guard(s.withColumn("period_end", F.when(F.col("user_id") % 19 == 0, F.date_sub("period_start", 1)).otherwise(F.col("period_end"))))
@@ -386,11 +390,32 @@ VIEWS["f_findings"] = " UNION ALL ".join(
 )
 
 
-@query("SELECT * FROM f_findings")
-def o3_all_findings(spark, d):
+#: Checks beyond those of single documents and registrations, by their queries.
+OTHERS = ("f3_accounting_equation", "w3_possible_duplicate", "j5_income_against_deposits", "j6_audited_against_tax", "j7_financials_mismatch")
+
+
+def rated_findings(spark, d):
+    """Findings of ledgers, statements and registrations."""
     return flat(all_findings(spark, d))
 
 
+def _every_sql() -> str:
+    text = "SELECT application_id, document_id, code, severity, citations FROM {}"
+    return " UNION ALL ".join([text.format("f_findings"), *[text.format(f"({RAW[n]})") for n in OTHERS]])
+
+
+VIEWS["f_every_finding"] = _every_sql()
+
+
+@query("SELECT * FROM f_every_finding")
+def o3_all_findings(spark, d):
+    """The union of all checks on documents, across documents and against registrations."""
+    out = rated_findings(spark, d)
+    for name in OTHERS:
+        out = out.unionByName(QUERIES[name](spark, d).select(*out.columns))
+    return out
+
+
 @query("SELECT application_id, severity, count(*) AS n FROM f_findings GROUP BY ALL")
 def a9_findings_by_severity(spark, d):
     return all_findings(spark, d).groupBy("application_id", "severity").agg(F.count("*").alias("n"))

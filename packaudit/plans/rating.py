@@ -22,7 +22,7 @@ def query(sql: str):
     return add
 
 
-FRAMES["f_findings"] = finance.o3_all_findings
+FRAMES["f_findings"] = finance.rated_findings
 FRAMES["f_concentration"] = records.r14_concentration
 packages = shared("f_rate_package", "SELECT DISTINCT 'app' || user_id % 13 AS application_id FROM events")
 metrics = shared(

@@ -79,9 +79,9 @@ def j13_case_runs(spark, d):
     return records.case_runs(links, runs)[0].select("case_id", "run_id", "link_id")
 
 
-J14_SQL = f"""SELECT document_id, matched, compared, CASE WHEN compared = 0 THEN 1.0 ELSE round(matched / compared, 6) END AS accuracy, n = m AS same_length FROM (
-    SELECT document_id, count(*) AS n, count(*) FILTER (WHERE user_id % 9 <> 0 OR row_index > 0) AS m, count(*) FILTER (WHERE user_id % 9 <> 0 OR row_index > 0) AS compared,
-    count(*) FILTER (WHERE (user_id % 9 <> 0 OR row_index > 0) AND event_id % 23 <> 0) AS matched FROM f_txn GROUP BY document_id)"""
+VIEWS["f_j14"] = "SELECT document_id, row_index, balance AS expected, CASE WHEN user_id % 9 <> 0 OR row_index > 0 THEN CAST(balance + CASE WHEN event_id % 23 = 0 THEN 0.02 ELSE 0 END AS DECIMAL(18,2)) END AS actual FROM f_txn"
+J14_SQL = """SELECT document_id, coalesce(matched, 0) AS matched, coalesce(compared, 0) AS compared, CASE WHEN coalesce(compared, 0) = 0 THEN 1.0 ELSE round(matched / compared, 6) END AS accuracy, n = m AS same_length FROM (SELECT document_id, count(expected) AS n, count(actual) AS m FROM f_j14 GROUP BY 1)
+    LEFT JOIN (SELECT e.document_id, count(*) AS compared, count(*) FILTER (WHERE abs(e.expected - a.actual) <= 0.01) AS matched FROM f_j14 e JOIN f_j14 a ON e.document_id = a.document_id AND e.row_index = a.row_index WHERE a.actual IS NOT NULL GROUP BY 1) USING (document_id)"""
 
 
 @query(J14_SQL)
