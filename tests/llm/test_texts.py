@@ -191,21 +191,29 @@ def test_rules_base(spark):
 def estimated(votes):
     """(share, rates on good, rates on bad) of lists of votes, one by one in plain Python."""
     n, held = len(votes), rules.PRIOR * len(votes) + 1
-    p = [rules.OPPOSED if min(v) < 0 else rules.UNOPPOSED for v in votes]
-    last = rules.UNOPPOSED
+    suited = [k for k in range(len(votes[0])) if sum(v[k] < 0 for v in votes) < rules.UNSUITED * n]
+    p = [rules.OPPOSED if any(v[k] < 0 for k in suited) else rules.UNOPPOSED for v in votes]
+    last, first = None, None
     for _ in range(rules.ROUNDS):
-        share, good, bad = (sum(p) + 1) / (n + 2), [], []
+        share, rates = (sum(p) + 1) / (n + 2), ([], [])
         for k in range(len(votes[0])):
             every = [(sum(v[k] == x for v in votes) + 1) / (n + 3) for x in (-1, 0, 1)]
-            for out, w in ((good, p), (bad, [1 - q for q in p])):
+            for out, w in zip(rates, (p, [1 - q for q in p]), strict=True):
                 out.append([(sum(q for q, v in zip(w, votes, strict=True) if v[k] == x) + held * e) / (sum(w) + held) for x, e in zip((-1, 0, 1), every, strict=True)])
+        first = first or rates
+        rates = [[[(x + rules.ANCHOR * f) / (1 + rules.ANCHOR) for x, f in zip(a, b, strict=True)] for a, b in zip(now, then, strict=True)] for now, then in zip(rates, first, strict=True)]
+        good, bad = rates
         p = []
         for v in votes:
-            odds = math.log(share / (1 - share)) + sum(math.log(good[k][x + 1] / bad[k][x + 1]) for k, x in enumerate(v))
+            odds = math.log(share / (1 - share))
+            for k, x in enumerate(v):
+                w = math.log(good[k][x + 1] / bad[k][x + 1])
+                odds += min(w, 0) if x < 0 else max(w, 0) if x > 0 else max(-rules.ABSTENTION, min(w, rules.ABSTENTION))
             p.append(1 / (1 + math.exp(-odds)))
-        if abs(share - last) < rules.SETTLED:
+        now = [share, *(x for side in rates for rule in side for x in rule)]
+        if last and max(abs(a - b) for a, b in zip(now, last, strict=True)) < rules.SETTLED:
             break
-        last = share
+        last = now
     return share, good, bad, p
 
 
