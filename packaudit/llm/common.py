@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,40 @@ def scratch(spark: SparkSession, tag: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+#: Scratch paths that this driver has given out, and those of them that stages of a pipeline made.
+_MADE: list[str] = []
+_OF_STAGES: list[str] = []
+
+
+@contextlib.contextmanager
+def stage_scratch(docs: DataFrame) -> Iterator[None]:
+    """Around a pipeline's stage: what earlier stages put into the scratch folder goes, but for what docs reads.
+
+    Earlier stages' rows are written when the next stage begins, so nothing else needs it.
+    """
+    used = {f.rpartition("/")[0] for f in docs.inputFiles()}
+    left = [p for p in _OF_STAGES if any(u.endswith(p.rpartition("/")[2]) for u in used)]
+    removed(docs.sparkSession, [p for p in _OF_STAGES if p not in left])
+    _OF_STAGES[:] = left
+    before = len(_MADE)
+    yield
+    _OF_STAGES.extend(_MADE[before:])
+
+
+def removed(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes folders of the scratch folder."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
@@ -38,6 +69,12 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of tables from saved() that nothing reads any more."""
+    for table in tables:
+        removed(table.sparkSession, {f.rpartition("/")[0] for f in table.inputFiles()})
+
+
 #: Stands for a null id: larger than others.
 NO_ID = (1 << 63) - 1
 

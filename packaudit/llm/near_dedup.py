@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packaudit.llm.anchors import Rolling, joined_words, mixed, word_values
-from packaudit.llm.common import saved, slices, starts_of
+from packaudit.llm.common import dropped, saved, slices, starts_of
 
 
 @dataclass(frozen=True)
@@ -173,6 +173,7 @@ def rare_pairs(nodes: DataFrame, rows: DataFrame, near: Near) -> DataFrame:
     placed = shared.withColumns({"_r": rank, "_m": F.count("*").over(by_node)}).withColumn("i", F.col("n") - F.col("_m") + F.col("_r"))
     n, i = F.col("n"), F.col("i")
     placed = saved(placed.where(i <= n - F.ceil(n * t / 100)).select("s", "node", "root", "n", "i"), "rare")
+    dropped(frequent)
 
     def size_class(x: F.Column) -> F.Column:
         return F.floor(F.log(x.cast("double")) / float(np.log(CLASS))).cast("int")
@@ -196,7 +197,9 @@ def rare_pairs(nodes: DataFrame, rows: DataFrame, near: Near) -> DataFrame:
         and (100 + {t}) * (na + nb - ({differ})) >= 2 * {t} * (na + nb)"""
     light = left.where("not _ha").join(right, ["s", "c"]).where(can)
     heavy = left.where("_ha").join(right.where("not _hb"), ["s", "c"]).where(can)
-    return light.select("a", "b").unionByName(heavy.select("a", "b")).distinct()
+    pairs = saved(light.select("a", "b").unionByName(heavy.select("a", "b")).distinct(), "pairs")
+    dropped(left, right, tops, placed)
+    return pairs
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, near: Near) -> DataFrame:
@@ -269,13 +272,16 @@ def near_duplicates(rows: DataFrame, near: Near = Near()) -> DataFrame:
 
     keys = chunk_keys(classes, near)
     sizes = keys.groupBy("key").agg(F.count("*").alias("_n"), F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a < _b")
-    shared = saved(keys.join(saved(sizes.select("key", "_n"), "sizes"), "key"), "shared")
+    sizes = saved(sizes.select("key", "_n"), "sizes")
+    shared = saved(keys.join(sizes, "key"), "shared")
     heavy = saved(shared.groupBy("node").agg(F.sum("_n").alias("_w")), "weights")
     weighed = saved(shared.select("key", "node").join(heavy, "node"), "weighed")
     leads = saved(weighed.groupBy("key").agg(F.max(F.struct("_w", F.col("node").alias("lead"))).alias("_l")), "leads")
     best = weighed.join(leads, "key").where("struct(_w, node) < _l").groupBy("node").agg(F.max("_l").alias("_l"))
     best = best.select(F.col("_l.lead").alias("a"), F.col("node").alias("b"))
-    links = saved(confirmed(saved(best, "stars"), classes, rows, near), "links")
+    stars = saved(best, "stars")
+    dropped(sizes, heavy, weighed, leads)
+    links = saved(confirmed(stars, classes, rows, near), "links")
     first = saved(components(links), "components")
 
     def rooted(table: DataFrame) -> DataFrame:
@@ -283,9 +289,12 @@ def near_duplicates(rows: DataFrame, near: Near = Near()) -> DataFrame:
 
     placed = saved(rooted(shared.select("key", "node")), "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
-    open_ = placed.join(saved(mixed_keys, "mixed"), "key").select("node", "root").distinct()
-    pairs = rare_pairs(saved(open_.join(classes.select("node", "_id", "_h", "odd"), "node"), "open"), rows, near)
-    more = saved(confirmed(saved(pairs, "pairs"), classes, rows, near), "links")
+    mixed_keys = saved(mixed_keys, "mixed")
+    open_ = placed.join(mixed_keys, "key").select("node", "root").distinct()
+    open_ = saved(open_.join(classes.select("node", "_id", "_h", "odd"), "node"), "open")
+    dropped(stars, shared, placed, mixed_keys)
+    pairs = rare_pairs(open_, rows, near)
+    more = saved(confirmed(pairs, classes, rows, near), "links")
     roots = saved(components(links.unionByName(more)), "components")
 
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
