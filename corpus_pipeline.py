@@ -6,26 +6,46 @@ the columns of documents. run() writes each stage's rows as Parquet and reads th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packaudit.llm import exact_spans, kneser_ney, near_dedup, packing, rules
-from packaudit.llm.common import packed, saved, table, units
+from packaudit.llm.common import packed, saved, stage_scratch, table, units
 from packaudit.llm.queries import vocabulary
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(made: Stage) -> Stage:
+    """A stage; when it begins, the scratch tables of the stages before it go."""
+
+    @wraps(made)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with stage_scratch(docs):
+            return made(spark, docs, sf_dir)
+
+    return run
+
+
+@stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose perplexity is within their language's limit; empty and null texts go."""
     judged = kneser_ney.quality(docs, table(sf_dir, spark, "labels"))
     return packed(docs).join(judged.where("kept").select("_id", "_h").distinct(), ["_id", "_h"], "left_semi").select("_row.*")
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base and that the weighed votes call good."""
     rows = packed(docs).select("_row", F.col("_row.text").alias("text"))
     return rules.quality_rules(rows, with_rows=True).where("kept").select("_row.*")
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that with the smallest id, then hash of the text. Of repeated rows one stays.
 
@@ -38,6 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one.select("_row.*").unionByName(rows.where("not _words").select("_row.*"))
 
 
+@stage
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with the texts without the long strings that occur again; n_chars follows the text.
 
@@ -51,6 +72,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return joined.select(*[(made[c] if c in made else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
+@stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts' token pieces and their places in sequences of at most 4,096 tokens."""
     return packing.pack(docs, vocabulary())
@@ -70,6 +92,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(sf_dir, spark, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+    for name, made in STAGES[:-1]:
+        docs = saved(made(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
