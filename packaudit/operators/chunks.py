@@ -49,10 +49,19 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def faithfulness(cited: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Per summary: citations, how many exist, and their share."""
-    known = cited.join(allowed.withColumn("_ok", F.lit(1)), "cited", "left")
-    return known.groupBy("conv_id").agg(F.count("*").alias("citations"), F.count("_ok").alias("valid"), F.round(F.count("_ok") / F.count("*"), 6).alias("faithfulness"))
+def faithfulness(bodies: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Per summary (conv_id, body; several rows of one are parts of it): citations, how many exist, the others, and shares.
+
+    Without citations faithfulness is 1.0, without sentences coverage is.
+    """
+    said = F.transform(sentences(F.col("body")), lambda s: F.size(citations(s)) > 0)
+    parts = bodies.groupBy("conv_id").agg(F.sum(F.size(said)).alias("sentences"), F.sum(F.size(F.filter(said, lambda x: x))).alias("cited_sentences"))
+    cited = bodies.select("conv_id", F.explode(citations(F.col("body"))).alias("cited")).join(allowed.withColumn("_ok", F.lit(1)), "cited", "left")
+    wrong = F.array_join(F.array_sort(F.collect_set(F.when(F.col("_ok").isNull(), F.col("cited")))), ",")
+    sums = cited.groupBy("conv_id").agg(F.count("*").alias("citations"), F.count("_ok").alias("valid"), wrong.alias("invalid"))
+    out = parts.join(sums, "conv_id", "left").fillna(0, ["citations", "valid"]).fillna("", ["invalid"])
+    share = lambda a, b: F.when(F.col(b) == 0, 1.0).otherwise(F.round(F.col(a) / F.col(b), 6))
+    return out.withColumns({"faithfulness": share("valid", "citations"), "sentence_coverage": share("cited_sentences", "sentences")})
 
 
 def word_spans(documents: DataFrame) -> DataFrame:

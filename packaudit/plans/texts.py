@@ -97,9 +97,19 @@ def j8_allow_list(spark, d):
     return t1_citations(spark, d).select("cited").distinct().join(allowed(spark, d), "cited", "left_semi")
 
 
-@query("SELECT conv_id, count(*) AS citations, count(*) FILTER (WHERE cited IN (SELECT cited FROM f_allowed)) AS valid, round(count(*) FILTER (WHERE cited IN (SELECT cited FROM f_allowed)) / count(*), 6) AS faithfulness FROM f_cited GROUP BY 1")
+VIEWS["f_said"] = r"SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN regexp_replace(text, '[\[\]\n]', ' ', 'g') ELSE body END AS body FROM f_summary JOIN conversations USING (conv_id, turn)"
+_BRACKET = r"regexp_extract_all({0}, '\[([^\[\]]+)\]', 1)"
+_HAS = "len(list_filter(flatten([regexp_split_to_array(g, '[,;]') for g in " + _BRACKET.format("s") + "]), lambda c: trim(c) <> '' AND lower(trim(c)) NOT IN ('critical', 'warning', 'info'))) > 0"
+
+
+@query(f"""SELECT conv_id, coalesce(sentences, 0) AS sentences, coalesce(cited_sentences, 0) AS cited_sentences, coalesce(citations, 0) AS citations, coalesce(valid, 0) AS valid, coalesce(invalid, '') AS invalid, CASE WHEN coalesce(citations, 0) = 0 THEN 1.0 ELSE round(valid / citations, 6) END AS faithfulness,
+    CASE WHEN coalesce(sentences, 0) = 0 THEN 1.0 ELSE round(cited_sentences / sentences, 6) END AS sentence_coverage FROM (SELECT DISTINCT conv_id FROM conversations)
+    LEFT JOIN (SELECT conv_id, count(*) AS sentences, count(*) FILTER (WHERE {_HAS}) AS cited_sentences FROM (SELECT conv_id, unnest(list_filter([trim(s) for s in regexp_extract_all(body, '[^.!?]*[.!?]|[^.!?]+$')], lambda s: s <> '')) AS s FROM f_said) GROUP BY 1) USING (conv_id)
+    LEFT JOIN (SELECT conv_id, count(*) AS citations, count(*) FILTER (WHERE ok) AS valid, string_agg(DISTINCT cited, ',' ORDER BY cited) FILTER (WHERE NOT ok) AS invalid FROM (SELECT conv_id, cited, cited IN (SELECT cited FROM f_allowed) AS ok FROM f_cited WHERE conv_id % 5 <> 0) GROUP BY 1) USING (conv_id)""")
 def a14_faithfulness(spark, d):
-    return chunks.faithfulness(t1_citations(spark, d), allowed(spark, d))
+    """Each conversation's summary; of every fifth only the words, so nothing is cited."""
+    said = summaries(spark, d).join(views.table(spark, d, "conversations"), ["conv_id", "turn"])
+    return chunks.faithfulness(said.select("conv_id", F.when(F.col("conv_id") % 5 == 0, F.regexp_replace("text", r"[\[\]\n]", " ")).otherwise(F.col("body")).alias("body")), allowed(spark, d))
 
 
 VIEWS["f_span"] = """SELECT document_id, i, line, x, y FROM (SELECT CAST(doc_id AS VARCHAR) AS document_id, unnest(range(len(w))) AS i, unnest(w) AS line FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS w FROM documents))
