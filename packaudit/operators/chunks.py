@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +14,34 @@ def page_chunks(documents: DataFrame) -> DataFrame:
     return lines.where(F.trim("text") != "").select("application_id", "document_id", F.concat("document_id", F.lit(":page:"), "page").alias("chunk_id"), F.col("page").cast("long").alias("page"), "text")
 
 
+# What a chunk says of a record, by kind of document and chunk
+TEXTS = {
+    ("bank_statement", "summary"): "Bank statement summary. Bank: {bank_name}. Account holder: {account_holder}. Account number: {account_number}. Period: {period_start} to {period_end}. Opening balance: {opening}. Closing balance: {closing}. Total credits: {total_credits}. Total debits: {total_debits}. Transactions: {transaction_count}.",
+    ("bank_statement", "transaction"): "{txn_date} | {side} | RM {amount} | balance RM {balance} | {description}",
+    ("ssm_registration", "summary"): "SSM registration. Company: {company_name} ({registration_number}). Type: {company_type}. Incorporated: {incorporation_date}. Paid-up capital: RM {paid_up_capital}. Address: {business_address}. Directors: {director_count}.",
+    ("ssm_registration", "director"): "Director #{number}: {name}. NRIC/Passport: {nric}. Role: {role}.",
+    ("audited_financials", "summary"): "Audited financials summary. Company: {company_name}. Auditor: {auditor}. FY end: {year_end}. Source display unit: {display_unit}; values normalized to RM using multiplier {multiplier}. Revenue (current): RM {revenue}. Net profit (current): RM {net_profit}. Total equity: RM {total_equity}. Periods reported: {period_count}.",
+    ("audited_financials", "period"): "Period {period_end}: revenue RM {revenue}, gross profit RM {gross_profit}, EBIT RM {ebit}, net profit RM {net_profit}, current assets RM {current_assets}, current liabilities RM {current_liabilities}, total equity RM {total_equity}, cash from ops RM {cash_from_operations}.",
+    ("tax_return", "summary"): "Tax return summary. Company: {company_name}. Tax reference: {tax_reference_number}. Year of assessment: {year_of_assessment}. Gross business income: RM {gross_business_income}. Chargeable income: RM {chargeable_income}. Tax payable: RM {tax_payable}.",
+}
+
+
+def said(kind: str, chunk: str) -> Column:
+    """The text of a record: the template with its columns; a column without a value reads -."""
+    parts = re.split(r"\{(\w+)\}", TEXTS[kind, chunk])
+    return F.concat(*[F.coalesce(F.col(p).cast("string"), F.lit("-")) if i % 2 else F.lit(p) for i, p in enumerate(parts) if p])
+
+
+def record_chunks(records: DataFrame, kind: str, chunk: str, index: Column | None = None, page: Column | None = None) -> DataFrame:
+    """(chunk_id, document_id, kind, page, text) of records of one kind; index is their place in the document, 0 for summaries."""
+    number = F.lit(0) if index is None else index
+    return records.select(F.concat("document_id", F.lit(f":{chunk}:"), number.cast("string")).alias("chunk_id"), "document_id", F.lit(chunk).alias("kind"), (F.lit(1) if page is None else page).cast("long").alias("page"), said(kind, chunk).alias("text"))
+
+
 def transaction_chunks(rows: DataFrame) -> DataFrame:
-    side = F.when(F.col("credit").isNotNull(), F.concat(F.lit(" credit RM "), "credit")).otherwise(F.concat(F.lit(" debit RM "), "debit"))
-    text = F.concat(F.lit("On "), F.col("txn_date").cast("string"), F.lit(" "), "description", side, F.lit(", balance RM "), "balance")
-    return rows.select(F.concat("document_id", F.lit(":transaction:"), "row_index").alias("chunk_id"), "document_id", text.alias("text"))
+    credit = F.col("credit").isNotNull()
+    sided = rows.withColumns({"side": F.when(credit, "credit").otherwise("debit"), "amount": F.coalesce("credit", "debit")})
+    return record_chunks(sided, "bank_statement", "transaction", F.col("row_index"), F.col("page") if "page" in rows.columns else None)
 
 
 def stable_id(text: Column) -> Column:

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from packaudit.operators import layout
+from packaudit.operators import chunks, layout
 from packaudit.plans.shared import exploded, shared
 from packaudit.plans.sql_views import VIEWS, oracle
+from packaudit.plans.texts import chunk_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -544,6 +545,30 @@ def a12_mismatches(spark, d):
     return comparisons(spark, d).where("not matched").drop("matched")
 
 
+accounts_truth = shared("f_account_truth", "SELECT t.*, 'Supplier ' || r.l_suppkey || ' Sdn Bhd' AS company_name, 'Firm ' || r.l_suppkey % 7 AS auditor, t.period_end AS year_end, CASE WHEN r.unit = 1000 THEN 'RM' || chr(39) || '000' ELSE 'RM' END AS display_unit, r.unit AS multiplier, 1 AS period_count FROM f_fs_truth t JOIN (SELECT DISTINCT document_id, l_suppkey, unit FROM f_fs_row) AS r ON r.document_id = t.document_id")
+numbered_people = shared("f_people_number", "SELECT *, row_index + 1 AS number FROM f_people_truth")
+
+
+@query(" UNION ALL ".join([
+    chunk_sql("f_bank_truth", "bank_statement", "summary"), chunk_sql("f_reg_truth", "ssm_registration", "summary"), chunk_sql("f_people_number", "ssm_registration", "director", "row_index"),
+    chunk_sql("f_account_truth", "audited_financials", "summary"), chunk_sql("f_account_truth", "audited_financials", "period", "period_index"), chunk_sql("f_tax_truth", "tax_return", "summary"),
+]))
+def p16_record_chunks(spark, d):
+    """Summaries of four kinds of documents, directors and periods as chunks."""
+    made = chunks.record_chunks
+    out = made(bank_truth(spark, d), "bank_statement", "summary")
+    accounts = accounts_truth(spark, d)
+    for part in (
+        made(reg_truth(spark, d), "ssm_registration", "summary"),
+        made(numbered_people(spark, d), "ssm_registration", "director", F.col("row_index")),
+        made(accounts, "audited_financials", "summary"),
+        made(accounts, "audited_financials", "period", F.col("period_index"), F.when(F.col("period_index") == 0, 1).otherwise(2)),
+        made(tax_truth(spark, d), "tax_return", "summary"),
+    ):
+        out = out.unionByName(part)
+    return out
+
+
 # -- the same extraction on shifted pages, by both rules
 
 # Shifts to the right, and up or down

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from packaudit.operators import chunks
@@ -31,7 +33,17 @@ def p17_page_chunks(spark, d):
     return chunks.page_chunks(views.documents(spark, d))
 
 
-@query("""SELECT document_id || ':transaction:' || row_index AS chunk_id, document_id, 'On ' || txn_date || ' ' || description || CASE WHEN credit IS NOT NULL THEN ' credit RM ' || credit ELSE ' debit RM ' || debit END || ', balance RM ' || balance AS text FROM f_txn""")
+def chunk_sql(table: str, kind: str, chunk: str, index: str = "0", page: str = "1") -> str:
+    """The same chunks in SQL, from the same template."""
+    parts = re.split(r"\{(\w+)\}", chunks.TEXTS[kind, chunk])
+    text = " || ".join(f"coalesce(CAST({p} AS VARCHAR), '-')" if i % 2 else f"'{p}'" for i, p in enumerate(parts) if p)
+    return f"SELECT document_id || ':{chunk}:' || {index} AS chunk_id, document_id, '{chunk}' AS kind, CAST({page} AS BIGINT) AS page, {text} AS text FROM {table}"
+
+
+SIDED = "(SELECT *, CASE WHEN credit IS NOT NULL THEN 'credit' ELSE 'debit' END AS side, coalesce(credit, debit) AS amount FROM f_txn)"
+
+
+@query(chunk_sql(SIDED, "bank_statement", "transaction", "row_index"))
 def p16_transaction_chunks(spark, d):
     return chunks.transaction_chunks(views.ledger(spark, d))
 
