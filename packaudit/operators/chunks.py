@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -108,11 +113,127 @@ def row_buckets(spans: DataFrame, height: float = 3.0) -> DataFrame:
     return rows.select("document_id", "bucket", "spans", _joined(F.col("_s")).alias("text"))
 
 
+_WORD = re.compile("[a-z0-9]+")
+
+
+class _Places(dict):
+    """2 * place + 1 where the sign is plus, of each token that this task has met."""
+
+    def __missing__(self, token: str) -> int:
+        h = hashlib.sha256(token.encode()).digest()
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[token] = 2 * (int.from_bytes(h[:4]) % self.size) + h[4] % 2
+        return self[token]
+
+
+def hashed(texts: DataFrame, size: int = 768) -> DataFrame:
+    """(id, places array of (idx, weight)) of each id with a token: tokens hashed to places, +1 where the fifth byte of the hash is odd, else -1.
+
+    Texts are shuffled once, by id; those of one id are parts of it.
+    """
+    whole = texts.groupBy("id").agg(F.lower(F.array_join(F.collect_list("text"), "\n")).alias("text"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Places()
+        known.size = size
+        for part in parts:
+            for at in range(0, part.num_rows, _BLOCK):
+                some = part.slice(at, _BLOCK)
+                found = [[known[w] for w in _WORD.findall(t)] for t in some.column(1).to_pylist()]
+                codes = np.fromiter((c for f in found for c in f), np.int64)
+                owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                sums = np.bincount(owner * size + codes // 2, codes % 2 * 2.0 - 1, len(found) * size).reshape(len(found), size)
+                i, j = np.nonzero(sums)
+                places = pa.StructArray.from_arrays([pa.array(j.astype(np.int32)), pa.array(sums[i, j].astype(np.int64))], ["idx", "weight"])
+                starts = np.searchsorted(i, np.arange(len(found) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(starts), places)], names=["id", "places"])
+
+    return whole.mapInArrow(run, f"id {dict(whole.dtypes)['id']}, places array<struct<idx int, weight long>>").where("size(places) > 0")
+
+
 def hashed_vectors(texts: DataFrame, size: int = 768) -> DataFrame:
-    """(id, idx, weight, value): tokens hashed to places, +1 where the fifth byte of the hash is odd, else -1; the weights at unit length."""
-    token = texts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)).alias("t")).withColumn("h", F.sha2("t", 256))
-    idx = (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % size).cast("int")
-    sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
-    weights = token.groupBy("id", idx.alias("idx")).agg(F.sum(sign).alias("weight")).where("weight <> 0")
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id")))
-    return weights.withColumn("value", F.round(F.col("weight") / norm, 6))
+    """(id, idx, weight, value): hashed() as a row for each place that isn't 0, value at unit length."""
+    square = F.aggregate("places", F.lit(0).cast("long"), lambda n, p: n + p["weight"] * p["weight"])
+    rows = hashed(texts, size).withColumn("_n", F.sqrt(square)).select("id", "_n", F.inline("places"))
+    return rows.select("id", "idx", "weight", F.round(F.col("weight") / F.col("_n"), 6).alias("value"))
+
+
+#: Places of query vectors up to which they are sent to every task; beyond, they are joined by a shuffle.
+SENT = 1_000_000
+_BLOCK = 1024  # rows that are multiplied at once
+
+
+def cosines(queries: DataFrame, vectors: DataFrame, key: list[str], least: float, k: int) -> DataFrame:
+    """(query_id, chunk_id, score) of the pairs with a score of at least `least` that may be among a query's k best.
+
+    queries: (query_id, *key, idx, weight); vectors: (chunk_id, *key, places array of (idx, weight)),
+    a row for each chunk; whole-number weights; only rows with an equal key meet. Few queries are
+    sent to every task and multiplied as matrices; only pairs that k others of their block don't
+    surpass go on to be ranked.
+    """
+    if queries.limit(SENT + 1).count() <= SENT:
+        return _scored(_products(queries, vectors, key, least, k), least)
+    square = F.aggregate("places", F.lit(0).cast("long"), lambda n, p: n + p["weight"] * p["weight"])
+    c = vectors.select("chunk_id", *key, square.alias("_nc"), F.inline("places")).withColumnRenamed("weight", "_b")
+    norms = queries.select("query_id", "idx", "weight").distinct().groupBy("query_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("_nq"))
+    q = queries.select("query_id", *key, "idx", F.col("weight").alias("_a")).join(norms, "query_id")
+    dots = c.join(q, [*key, "idx"]).groupBy("chunk_id", "_nc", "query_id", "_nq").agg(F.sum(F.col("_a") * F.col("_b")).alias("_dot"))
+    return _scored(dots, least)
+
+
+def _scored(dots: DataFrame, least: float) -> DataFrame:
+    score = F.round(F.col("_dot") / F.sqrt(F.col("_nq") * F.col("_nc")), 6)
+    return dots.where("_dot > 0").select("query_id", "chunk_id", score.alias("score")).where(F.col("score") >= least)
+
+
+def _matrices(asked: list, names: list, at: dict) -> dict[tuple, tuple[list[int], np.ndarray, np.ndarray]]:
+    """For each key its queries' numbers, their matrix (places x queries) and squared lengths."""
+    groups: dict[tuple, dict[int, list]] = {}
+    for query, *key, idx, weight in asked:
+        groups.setdefault(tuple(key), {}).setdefault(at[query], []).append((idx, weight))
+    out = {}
+    for key, of in groups.items():
+        rows, m = list(of), np.zeros((1 + max(i for v in of.values() for i, _ in v), len(of)))
+        for n, q in enumerate(rows):
+            for i, w in of[q]:
+                m[i, n] = w
+        out[key] = (rows, m, (m * m).sum(axis=0))
+    return out
+
+
+def _products(queries: DataFrame, vectors: DataFrame, key: list[str], least: float, k: int) -> DataFrame:
+    """(chunk_id, _nc, query_id, _nq, _dot): whole numbers in doubles, exact below 2^53; the scores here only leave out what is surely worse."""
+    asked = [tuple(r) for r in queries.select("query_id", *key, F.col("idx").cast("int"), F.col("weight").cast("long")).collect()]
+    names = sorted({r[0] for r in asked})
+    groups = _matrices(asked, names, {n: i for i, n in enumerate(names)})
+    kinds = dict(vectors.dtypes) | dict(queries.dtypes)
+    named = pa.array(names)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            keys = list(zip(*[part.column(1 + n).to_pylist() for n in range(len(key))])) if key else [()] * part.num_rows
+            mine: dict[tuple, list[int]] = {}
+            for n, at_key in enumerate(keys):
+                if at_key in groups:
+                    mine.setdefault(at_key, []).append(n)
+            for at_key, rows in mine.items():
+                numbers, right, nq = groups[at_key]
+                for at in range(0, len(rows), _BLOCK):
+                    some = part.take(pa.array(rows[at : at + _BLOCK]))
+                    places = some.column(1 + len(key))
+                    flat, lengths = places.flatten(), pc.list_value_length(places).to_numpy(zero_copy_only=False)
+                    idx, weight = flat.field("idx").to_numpy(), flat.field("weight").to_numpy().astype(float)
+                    owner = np.repeat(np.arange(some.num_rows), lengths)
+                    nc = np.bincount(owner, weight * weight, some.num_rows)
+                    left = np.zeros((some.num_rows, len(right)))
+                    left[owner[idx < len(right)], idx[idx < len(right)]] = weight[idx < len(right)]
+                    dots = left @ right
+                    scores = dots / np.sqrt(np.outer(nc, nq))
+                    best = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else np.full(len(numbers), least)
+                    i, j = np.nonzero((dots > 0) & (scores >= np.maximum(best, least) - 1e-5))
+                    found = [some.column(0).take(pa.array(i)), pa.array(nc[i].astype(np.int64)), named.take(pa.array(np.array(numbers)[j])), pa.array(nq[j].astype(np.int64)), pa.array(dots[i, j].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(found, names=["chunk_id", "_nc", "query_id", "_nq", "_dot"])
+
+    rows = vectors.select("chunk_id", *key, "places")
+    return rows.mapInArrow(run, f"chunk_id {kinds['chunk_id']}, _nc long, query_id {kinds['query_id']}, _nq long, _dot long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packaudit.operators.chunks import normal_text
+from packaudit.operators.chunks import cosines, normal_text
 from packaudit.operators.evidence import evidence_type
 
 # Topics, what is asked about each, and the kinds of documents that may answer
@@ -42,20 +42,17 @@ def filtered_top(queries: DataFrame, chunks: DataFrame, k: int, least: float = L
     """(query_id, chunk_id, score, rank): of the chunks in a query's package and kinds, the k most similar with a score of at least `least`.
 
     queries: (query_id, application_id, kinds array, idx, weight), chunks: (chunk_id, application_id,
-    kind, idx, weight), whole-number weights. Package and kind are part of the join's key, so a
-    place in the vector is no hot key of the whole table, and no pair outside the filter meets. A
-    query without kinds finds nothing; an empty package is an error.
+    kind, idx, weight) or a row for each chunk with places array of (idx, weight), whole-number
+    weights. No pair outside the filter meets. A query without kinds finds nothing; an empty
+    package is an error.
     """
     if queries.where("trim(application_id) = ''").limit(1).count():
         raise ValueError("a search needs an application_id")
-    key = ["application_id", "kind", "idx"]
-    q = queries.select("query_id", "application_id", F.explode("kinds").alias("kind"), "idx", F.col("weight").alias("_a"))
-    c = chunks.select("chunk_id", *key, F.col("weight").alias("_b"))
-    norm = lambda v, k, name: v.groupBy(k).agg(F.sum(F.col("weight") * F.col("weight")).alias(name))
-    dots = c.join(q, key).groupBy("query_id", "chunk_id").agg(F.sum(F.col("_a") * F.col("_b")).alias("_dot")).where("_dot > 0")
-    score = F.round(F.col("_dot") / F.sqrt(F.col("_nq") * F.col("_nc")), 6)
-    scored = dots.join(norm(queries, "query_id", "_nq"), "query_id").join(norm(chunks, "chunk_id", "_nc"), "chunk_id")
-    scored = scored.select("query_id", "chunk_id", score.alias("score")).where(F.col("score") >= least)
+    asked = queries.select("query_id", "application_id", F.explode("kinds").alias("kind"), "idx", "weight")
+    key = ["application_id", "kind"]
+    if "places" not in chunks.columns:
+        chunks = chunks.groupBy("chunk_id", *key).agg(F.collect_list(F.struct("idx", "weight")).alias("places"))
+    scored = cosines(asked, chunks, key, least, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
