@@ -103,7 +103,7 @@ def word_spans(documents: DataFrame) -> DataFrame:
 
 
 def _joined(spans: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: s["line"]), " ")
+    return F.array_join(F.transform(F.sort_array(spans), lambda s: s["line"]), " ")
 
 
 def row_buckets(spans: DataFrame, height: float = 3.0) -> DataFrame:

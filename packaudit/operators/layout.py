@@ -92,13 +92,14 @@ def row_clusters(spans: DataFrame, reach: float = 3.0) -> DataFrame:
     """Rows by a moving centre: from above, a span joins the row whose mean midpoint so far is within reach, else begins a row.
 
     A row's mean is never below its last span, so a step of more than `reach` always begins a row:
-    pages are cut there first, and only what lies between two cuts is folded.
+    pages are cut there first. What lies between two cuts is one row if it is lower than `reach`
+    (a mean lies between its values), and only the rest is folded.
     """
     order = Window.partitionBy(*PAGE).orderBy("_y", "x0", "i")
     placed = spans.withColumn("_y", _middle())
     cut = placed.withColumn("_cut", F.coalesce(F.col("_y") - F.lag("_y").over(order) > reach, F.lit(True)).cast("int"))
     strips = cut.withColumn("_strip", F.sum("_cut").over(order)).groupBy(*PAGE, "_strip")
-    strips = strips.agg(F.array_sort(F.collect_list(F.struct("_y", "x0", "i", "y0", "x1", "y1", "text"))).alias("_s"))
+    strips = strips.agg(F.sort_array(F.collect_list(F.struct("_y", "x0", "i", "y0", "x1", "y1", "text"))).alias("_s"))
     start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
     def step(state: Column, span: Column) -> Column:
@@ -111,11 +112,15 @@ def row_clusters(spans: DataFrame, reach: float = 3.0) -> DataFrame:
             F.when(joins, state["starts"]).otherwise(F.array_append(state["starts"], at)).alias("starts"),
         )
 
-    folded = strips.withColumn("_st", F.aggregate("_s", start, step)["starts"])
-    parts = F.transform("_st", lambda s, k: F.slice("_s", s, F.coalesce(F.get("_st", k + 1), F.size("_s") + 1) - s))
+    def divided(starts: Column) -> Column:
+        return F.transform(starts, lambda s, k: F.slice("_s", s, F.coalesce(F.get(starts, k + 1), F.size("_s") + 1) - s))
+
+    low = F.element_at("_s", -1)["_y"] - F.get("_s", F.lit(0))["_y"] < reach - 1e-6
+    folded = strips.withColumn("_parts", F.when(low, F.array("_s")).otherwise(_let(F.aggregate("_s", start, step)["starts"], divided)))
+    parts = F.col("_parts")
     rows = folded.select(*PAGE, "_strip", F.posexplode(parts).alias("_row", "_part"))
     number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("_strip", "_row")) - 1
-    cells = F.array_sort(F.transform("_part", lambda s: F.struct(s["x0"].alias("x0"), s["_y"].alias("y"), s["i"].alias("i"), s["y0"].alias("y0"), s["x1"].alias("x1"), s["y1"].alias("y1"), s["text"].alias("text"))))
+    cells = F.sort_array(F.transform("_part", lambda s: F.struct(s["x0"].alias("x0"), s["_y"].alias("y"), s["i"].alias("i"), s["y0"].alias("y0"), s["x1"].alias("x1"), s["y1"].alias("y1"), s["text"].alias("text"))))
     return rows.select(*PAGE, number.cast("long").alias("row_ord"), cells.alias("cells")).withColumn("text", _text(F.col("cells")))
 
 
@@ -123,7 +128,7 @@ def row_buckets(spans: DataFrame, height: float = 3.0) -> DataFrame:
     """Rows by fixed buckets of the midpoint; row_ord is the bucket."""
     bucket = (F.bround(_middle() / height, 0) * height).cast("long")
     cell = F.struct("x0", _middle().alias("y"), "i", "y0", "x1", "y1", "text")
-    rows = spans.groupBy(*PAGE, bucket.alias("row_ord")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    rows = spans.groupBy(*PAGE, bucket.alias("row_ord")).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
     return rows.withColumn("text", _text(F.col("cells")))
 
 

@@ -141,3 +141,25 @@ def test_rules_part_where_spans_are_shifted(spark):
     by = {n: {r["document_id"]: r["reason"] for r in layout.bank_statements(g(moved))[0].collect()} for n, g in (("mean", layout.row_clusters), ("bucket", layout.row_buckets))}
     assert by["mean"] == {"none|d": None, "jitter|d": None}
     assert by["bucket"]["none|d"] is None and by["bucket"]["jitter|d"] is not None
+
+
+def test_rows_around_the_reach_are_those_of_a_plain_loop(spark):
+    """Low strips are one row without a fold; strips as high as the reach and higher are folded."""
+    import random
+
+    rng, spans, want = random.Random(3), [], {}
+    for n in range(60):
+        ys = sorted(rng.choice([0.0, 1.4, 2.9, 3.0, 3.1, 4.5, 6.0, 9.0, 12.1]) for _ in range(rng.randrange(1, 9)))
+        spans += [(f"d{n}", 1, i, 40.0 + i, y - 4, 50.0 + i, y + 4, f"t{i}") for i, y in enumerate(ys)]
+        rows, total, count = [], 0.0, 0
+        for i, y in enumerate(ys):
+            if not rows or abs(y - total / count) > 3.0:
+                rows, total, count = rows + [[]], 0.0, 0
+            rows[-1].append(f"t{i}")
+            total, count = total + y, count + 1
+        want[f"d{n}"] = [" ".join(r) for r in rows]
+    frame = spark.createDataFrame(spans, "document_id string, page long, i long, x0 double, y0 double, x1 double, y1 double, text string")
+    found = {}
+    for r in layout.row_clusters(frame).orderBy("document_id", "row_ord").collect():
+        found.setdefault(r["document_id"], []).append(r["text"])
+    assert found == want
