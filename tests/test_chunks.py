@@ -22,3 +22,14 @@ def test_faithfulness_and_coverage(spark):
     one = got[1]
     assert (one["citations"], one["valid"], one["invalid"], one["faithfulness"], one["sentences"], one["cited_sentences"], one["sentence_coverage"]) == (3, 2, "b:page:9", 0.666667, 3, 2, 0.666667)
     assert (got[2]["faithfulness"], got[2]["sentence_coverage"], got[3]["faithfulness"], got[3]["sentence_coverage"]) == (1.0, 0.0, 1.0, 1.0)
+
+
+def test_words_are_grouped_where_their_document_lies(spark):
+    """The texts are dealt by document once; the rows of words aren't shuffled again."""
+    from packaudit.operators import chunks
+
+    docs = spark.createDataFrame([(f"d{n}", "a b c d e f g h i j") for n in range(9)], "document_id string, text string")
+    rows = chunks.row_buckets(chunks.word_spans(docs))
+    assert [(r["bucket"], r["spans"], r["text"]) for r in rows.where("document_id = 'd3'").orderBy("bucket").collect()] == [(0, 6, "a b d e g h"), (3, 2, "c f"), (30, 1, "j"), (33, 1, "i")]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(document_id") == 1 and "Exchange hashpartitioning(document_id#" in plan and "bucket" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
