@@ -81,8 +81,10 @@ def with_checks(bodies: DataFrame, findings: DataFrame, citable: DataFrame) -> D
     package inventory. A body that names all codes stays as it is.
     """
     left = findings.where("severity <> 'info'").join(bodies, "application_id").where(~F.col("body").contains(F.col("code")))
-    ids = citable.groupBy("application_id").agg(F.collect_set("chunk_id").alias("_ids"))
-    known = left.join(ids, "application_id", "left").withColumn("_tags", F.array_intersect("citations", F.coalesce("_ids", F.array().cast("array<string>"))))
+    said = ["_id", "application_id", "finding_ord", "code", "severity", "message"]
+    each = left.withColumn("_id", F.monotonically_increasing_id()).select(*said, F.posexplode_outer(F.array_distinct("citations")).alias("_at", "chunk_id"))
+    known = each.join(citable.select("application_id", "chunk_id", F.lit(True).alias("_ok")).distinct(), ["application_id", "chunk_id"], "left")
+    known = known.groupBy(*said).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("_ok"), F.struct("_at", "chunk_id")))), lambda t: t["chunk_id"]).alias("_tags"))
     basis = F.when(F.size("_tags") > 0, F.array_join(F.transform("_tags", lambda c: F.concat(F.lit("["), c, F.lit("]"))), " ")).otherwise("(package inventory check)")
     line = F.concat("code", F.lit(" ("), F.upper("severity"), F.lit("): "), "message", F.lit(" "), basis)
     lines = known.groupBy("application_id").agg(F.array_sort(F.collect_list(F.struct("finding_ord", line.alias("line")))).alias("_l"))

@@ -68,3 +68,27 @@ def test_grouped_citations(spark):
 
     assert groups("A [one:page:1] [two:page:2]. B [one:page:1]") == [("text", ["A "]), ("sources", ["one:page:1", "two:page:2"]), ("text", [". B "]), ("sources", ["one:page:1"])]
     assert groups("[estimated] [one:period:0]  ") == [("text", ["[estimated] "]), ("sources", ["one:period:0"]), ("text", ["  "])]
+
+
+def test_citations_are_looked_up_one_by_one(spark):
+    """Equal findings stay apart, citations keep their order, and no row carries the ids of its package."""
+    from packaudit.operators import summaries
+
+    bodies = spark.createDataFrame([("a", "Nothing."), ("b", "Names X.")], "application_id string, body string")
+    found = [("a", 2, "X", "warning", "m", ["c2", "gone", "c1", "c2"]), ("a", 2, "X", "warning", "m", ["c2", "gone", "c1", "c2"]), ("a", 1, "Y", "critical", "n", []), ("b", 1, "X", "warning", "m", ["c1"])]
+    rows = spark.createDataFrame(found, "application_id string, finding_ord long, code string, severity string, message string, citations array<string>")
+    citable = spark.createDataFrame([("a", "c1"), ("a", "c1"), ("a", "c2"), ("b", "gone")], "application_id string, chunk_id string")
+    made = summaries.with_checks(bodies, rows, citable)
+    assert {r["application_id"]: r["body"] for r in made.collect()} == {"a": "Nothing.\n\nSystem validation checks:\nY (CRITICAL): n (package inventory check)\nX (WARNING): m [c2] [c1]\nX (WARNING): m [c2] [c1]", "b": "Names X."}
+    assert "array_intersect" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_registrations_are_cited_once(spark):
+    from packaudit.operators import crossdoc
+
+    heads = spark.createDataFrame([("a", "s1", "NOBODY"), ("a", "s2", "NO ONE"), ("b", "s3", "ACME"), ("c", "s4", "NOBODY")], "application_id string, document_id string, account_holder string")
+    registered = spark.createDataFrame([("a", "r1", "ACME"), ("a", "r2", "OTHER"), ("b", "r3", "ACME SDN BHD")], "application_id string, document_id string, company_name string")
+    cited = sorted((r["application_id"], r["c"]) for r in crossdoc.cited_without_registration(heads, registered, "account_holder").collect())
+    assert cited == [("a", f"{d}:summary:0") for d in ("r1", "r2", "s1", "s2")]
+    whole = {r["document_id"]: r["citations"] for r in crossdoc.without_registration(heads, registered, "account_holder", "X", joined=True).collect()}
+    assert whole == {d: f"{d}:summary:0,r1:summary:0,r2:summary:0" for d in ("s1", "s2")}
