@@ -32,4 +32,4 @@ def test_words_are_grouped_where_their_document_lies(spark):
     rows = chunks.row_buckets(chunks.word_spans(docs))
     assert [(r["bucket"], r["spans"], r["text"]) for r in rows.where("document_id = 'd3'").orderBy("bucket").collect()] == [(0, 6, "a b d e g h"), (3, 2, "c f"), (30, 1, "j"), (33, 1, "i")]
     plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(document_id") == 1 and "Exchange hashpartitioning(document_id#" in plan and "bucket" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
+    assert plan.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in plan

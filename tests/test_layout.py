@@ -4,6 +4,7 @@ from datetime import date
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from packaudit.operators import layout
 
@@ -174,3 +175,29 @@ def test_amounts_in_thousands_are_those_of_the_sql(spark):
     values = ["1048215.00", "2474865.00", "58105.00", "95884373105.00", "10339352025.00", "-2531805.00", "0.00", "12345678.91"]
     sql = [_said("SELECT INUNITS(current) AS a FROM (VALUES {}) AS t(current, unit)".format(", ".join(f"(CAST('{v}' AS DECIMAL(18,2)), {u})" for v in values for u in (1, 1000))), engine) for engine in (0, 1)]
     assert [r["a"] for r in spark.sql(sql[0]).collect()] == [r[0] for r in duckdb.execute(sql[1]).fetchall()]
+
+
+def test_statements_are_compared_in_one_pass(spark):
+    """The rows are clustered once, a document that can't be read stays without fields, and verdicts are those of the long form."""
+    bad = spans(spark, *plain([(1, 90.0, [("05/01/2025", 40), ("1.00", 330)])]), doc="bad")
+    good = spans(spark, *plain([(1, 90.0, [("05/01/2025", 40), ("1.00", 330), ("9.00", 490)]), (1, 100.0, [("06/01/2025", 40), ("2.00", 330), ("7.00", 490)])]), doc="good")
+    read = layout.whole_statements(layout.row_clusters(bad.unionByName(good)))
+    heads = spark.createDataFrame([("good", "BANK A", 2), ("bad", "BANK A", 1)], "document_id string, bank_name string, transaction_count long")
+    rows = spark.createDataFrame([("good", 0, D("1.01"), date(2025, 1, 5)), ("good", 1, D("2.02"), None), ("good", 2, D("3.00"), None), ("bad", 0, D("1.00"), None)], "document_id string, row_index int, debit decimal(18,2), txn_date date")
+    found = layout.compared_statements(read, heads, rows, ["bank_name", "transaction_count"], ["debit", "txn_date"], every=True)
+    assert sorted((r["document_id"], r["field"] or "", r["matched"], r["expected"], r["actual"]) for r in found.collect()) == [
+        ("bad", "", None, None, None),
+        ("good", "bank_name", True, "BANK A", "BANK A"),
+        ("good", "transaction_count", True, "2", "2"),
+        ("good", "transactions[0].debit", True, "1.01", "1.00"),
+        ("good", "transactions[0].txn_date", True, "2025-01-05", "2025-01-05"),
+        ("good", "transactions[1].debit", False, "2.02", "2.00"),
+        ("good", "transactions[1].txn_date", False, None, "2025-01-06"),
+    ]
+    assert found._jdf.queryExecution().executedPlan().toString().count("sort_array(collect_list(struct(_y") <= 2
+    long = lambda f, names, p=None: layout.long_form(f, "bank_statement", names, p)
+    statements, txns = layout.bank_statements(layout.row_clusters(bad.unionByName(good)))
+    place = F.concat(F.lit("transactions["), "row_index", F.lit("]."))
+    want = layout.compared(long(heads, ["bank_name", "transaction_count"]).unionByName(long(rows, ["debit", "txn_date"], place)), long(statements.where("reason is null"), ["bank_name", "transaction_count"]).unionByName(long(txns, ["debit", "txn_date"], place)))
+    got = layout.compared_statements(read, heads, rows, ["bank_name", "transaction_count"], ["debit", "txn_date"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
