@@ -60,11 +60,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @stage
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with the texts without the long strings that occur again; n_chars follows the text.
+    """All rows, with the texts without the long strings and passages that occur again; n_chars follows the text.
 
-    A character goes only as a whole. A text may end up empty; a null text becomes empty.
+    Strings have 400 bytes and passages 50 words at least. A character goes only as a whole.
+    A text may end up empty; a null text becomes empty.
     """
-    left = exact_spans.stripped(units(docs), whole_characters=True)
+    left = exact_spans.stripped(units(docs), whole_characters=True, passages=True)
     left = left.groupBy("_id", "_h").agg(F.first("kept").cast("string").alias("_kept"))
     rows = packed(docs).withColumn("_row", F.col("_row").dropFields("text"))
     joined = rows.join(left, ["_id", "_h"])

@@ -74,6 +74,17 @@ def test_suffix_stage_keeps_rows_and_counts(spark, sf_dir):
     assert by_id[1001] == "" and by_id[12] == "One two three"
 
 
+def test_suffix_stage_takes_passages_of_fifty_words(spark, sf_dir):
+    """52 words of under 400 bytes go from both texts, in other spacing too; 49 words stay."""
+    passage, short = words(52, 50), words(49, 51)
+    assert len(" ".join(passage).encode()) < 400
+    texts = [" ".join([*words(60, 52 + i), *p, *words(60, 60 + i)]) for i, p in enumerate((passage, short, short))] + [" ".join(words(60, 70)) + "\n" + "\n".join(passage)]
+    docs = spark.createDataFrame([(i, t, *[None] * 6) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_array_dedup(spark, docs, sf_dir).collect()}
+    assert got[0].split() == [*words(60, 52), *words(60, 60)] and got[3].split() == words(60, 70)
+    assert got[1] == texts[1] and got[2] == texts[2]
+
+
 HTML = """<!doctype html><html><head><title>No</title><style>p{}</style></head><body><nav><ul><li><a href="/">Home</a><li><a href="/b">Other</a></ul></nav>
 <div class="ad">Buy our wonderful things today, they are cheap and good.</div>
 <article><h1>Title &amp; more</h1><p>First  paragraph with some words, and a <a href="/x">link</a> in it,

@@ -1,5 +1,6 @@
 """Window and byte-string removal against brute force."""
 
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -116,6 +117,41 @@ def test_periodic_texts(spark):
     check_words(spark, periodic(spark), Shape(width=8, reach=5, gram=2), 2)
 
 
+def by_bytes_and_passages(docs, width):
+    """What is left if each byte of a string and each word of a passage of width / 8 words goes that occurs again."""
+    strings, passages, n, out = Counter(), Counter(), width // exact_spans.CODE, Counter()
+    for _, text in docs:
+        data, w = (text or "").encode(), words_of(text)
+        strings.update(data[i : i + width] for i in range(len(data) - width + 1))
+        passages.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    for doc, text in docs:
+        data, w = (text or "").encode(), [m for m in re.finditer(rb"[^\x20\x09-\x0D]+", (text or "").encode())]
+        gone, words = bytearray(len(data)), set()
+        for i in range(len(data) - width + 1):
+            if strings[data[i : i + width]] > 1:
+                gone[i : i + width] = b"\x01" * width
+        for i in range(len(w) - n + 1):
+            if passages[tuple(m.group().decode() for m in w[i : i + n])] > 1:
+                words.update(range(i, i + n))
+        for i in words:
+            lo, hi = w[i].start(), w[i + 1].start() if i + 1 in words else w[i].end()
+            gone[lo:hi] = b"\x01" * (hi - lo)
+        out[doc, len(data), sum(gone), sum(gone[i] and (i == 0 or not gone[i - 1]) for i in range(len(data))), bytes(b for b, g in zip(data, gone) if not g)] += 1
+    return out
+
+
+def test_passages_in_other_spacing_and_shorter_than_a_string(spark):
+    """Against brute force, in texts that repeat at all distances too; few letters, so that passages are shorter than strings."""
+    rng = np.random.default_rng(5)
+    base = [" ".join(rng.choice(list("abcdefgh"), 40)) for _ in range(3)]
+    spaced = [(100 + i, base[i % 3][a : a + 30].replace(" ", "\n " if i % 2 else " ") + f" é{i}") for i, a in enumerate(rng.integers(0, 40, 30).tolist())]
+    for docs in ([*map(tuple, mutated(spark).collect()), *spaced, (None, None), (1, "")], [*map(tuple, periodic(spark).collect())]):
+        table = spark.createDataFrame(docs, "doc_id long, text string")
+        got = exact_spans.stripped(units(table), Shape(width=24, reach=14, gram=5), passages=True).collect()
+        want = by_bytes_and_passages(docs, 24)
+        assert Counter((doc_of(r["_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == want
+
+
 def test_a_megabyte_of_one_letter(spark):
     """Few rows, whatever the length; all of it goes, and so do words that an earlier text has."""
     table = spark.createDataFrame([(1, "a" * 1_000_000), (2, "b " * 200_000), (3, "b " * 300_000)], "doc_id long, text string")
