@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from packaudit.llm.common import SLICE_BYTES, kept, slices
 
 #: Bytes that a task keeps of pieces and their ids, in each of two generations; an entry's own cost is counted in.
-CACHE_BYTES, ENTRY_BYTES = 64_000_000, 220
+CACHE_BYTES, ENTRY_BYTES = 112_000_000, 220
 #: Longer pieces are encoded each time.
 LONGEST_KEPT = 64
 #: Texts' bytes that are cut into pieces at a time.
@@ -147,25 +147,32 @@ class TrieEncoder:
                 limit, right = b + 1, parts[right][0]
 
     def words(self, words: Iterable[str]) -> list[tuple[bytes, list[int]]]:
-        """The UTF-8 of non-empty words with their ids, by one depth-first walk over their trie."""
-        out: list[tuple[bytes, list[int]]] = []
+        """The UTF-8 of non-empty words with their ids."""
+        found: dict[str, bytes] = {}
+        self.encode(words, found)
+        return [(w.encode(), [i for (i,) in UNPACK(ids)]) for w, ids in found.items()]
+
+    def encode(self, words: Iterable[str], into: dict[str, bytes]) -> None:
+        """Puts the ids of non-empty words into a dictionary, by one depth-first walk over their trie."""
         longer, single, follows, state_of = self.longer.get, self.single, self.follows, self._state
+        pack, most = PACK, len(PACK)
         follows.trim()
         # a state: last token, the state without it, the state without the last symbol, that symbol
         start = (-1, None, None, -1)
         path, before = [start], b""
-        for code in sorted([w.encode() for w in words]):
+        for word in sorted(words):  # in the order of their UTF-8, too
+            code = word.encode()
             n = len(code) - 1
             # the path down to where this word leaves the last one; the last symbol is one of its own
             k = 0
-            for x, y in zip(before, code[:n], strict=False):
+            for x, y in zip(before, code):
                 if x != y:
                     break
                 k += 1
-            k = min(k, len(path) - 1)
+            k = min(k, n, len(path) - 1)
             del path[k + 1 :]
             up = path[k]
-            for u in (*code[k:n], code[n] | 256):
+            for u in code[k:n]:
                 t, rest = up[0], up[1]
                 grown = longer(t << 9 | u)
                 if grown is not None and (rest is start or follows[rest[0] << 32 | grown]):
@@ -175,15 +182,23 @@ class TrieEncoder:
                 else:
                     up = state_of(up, u, start)
                 path.append(up)
-            path.pop()  # symbols inside other words carry no end mark
             before = code
-            ids = []
-            while up is not start:
-                ids.append(up[0])
-                up = up[1]
+            # symbols inside other words carry no end mark: the last state isn't on the path
+            u = code[n] | 256
+            t, rest = up[0], up[1]
+            grown = longer(t << 9 | u)
+            if grown is not None and (rest is start or follows[rest[0] << 32 | grown]):
+                ids = [grown]
+            elif up is start or follows[t << 32 | single[u]]:
+                ids, rest = [single[u]], up
+            else:
+                t, rest, *_ = state_of(up, u, start)
+                ids = [t]
+            while rest is not start:
+                ids.append(rest[0])
+                rest = rest[1]
             ids.reverse()
-            out.append((code, ids))
-        return out
+            into[word] = pack[len(ids)](*ids) if len(ids) < most else struct.pack(f"<{len(ids)}I", *ids)
 
     def _state(self, up: tuple, u: int, start: tuple) -> tuple:
         """The state after symbol u where neither the last token grows nor u stands alone."""
@@ -232,7 +247,8 @@ class Cache:
     """Pieces of text to their ids as bytes, and to their ids' names joined by a space.
 
     Holds two generations, each of CACHE_BYTES and one slice's new pieces at most: when the newer
-    one is full, only what is used again lives on. Pieces beyond LONGEST_KEPT live for one slice.
+    one is full, only what is used again lives on. Pieces beyond LONGEST_KEPT live for one slice, and
+    so do words with one other character behind them, if only ids are asked for: both parts are kept.
     """
 
     def __init__(self, encoder: TrieEncoder):
@@ -269,26 +285,42 @@ class Cache:
             new -= again
             self.bytes += ENTRY_BYTES * (1 + named) * len(again)
         # a word is a piece of its own, with the same ids
-        ids, special, parts_of = self.ids, self.encoder.special, self.encoder.parts_of
-        words, parts = [], {}
+        ids, old, special, parts_of = self.ids, self.old[0], self.encoder.special, self.encoder.parts_of
+        words, heads, parts = set(), [], {}
         for p in new:
-            if p.isascii() and p.islower() and p.isalpha():
-                words.append(p)
-            elif p in special:
+            if p.isascii():
+                if p.isalpha():
+                    if p.islower():
+                        words.add(p)
+                        continue
+                elif (head := p[:-1]).isalpha() and not p[-1].isdigit():
+                    heads.append((p, head.lower(), p[-1]))
+                    continue
+            if p in special:
                 ids[p] = struct.pack("<I", special[p])
             else:
                 parts[p] = parts_of(p)
-        words = {w for ws in parts.values() for w in ws}.union(words).difference(ids)
-        for code, own in self.encoder.words(words):
-            ids[code.decode()] = PACK[len(own)](*own) if len(own) < len(PACK) else struct.pack(f"<{len(own)}I", *own)
+        words.update([w for _, w, _ in heads], [w for _, _, w in heads], *parts.values())
+        words.difference_update(ids)
+        if old:
+            again = words & old.keys()
+            for w in again:
+                ids[w] = old[w]
+            words -= again
+            self.bytes += ENTRY_BYTES * len(again)
+        self.encoder.encode(words, ids)
+        for p, head, end in heads:
+            ids[p] = ids[head] + ids[end]
         for p, ws in parts.items():
             ids[p] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
         if named:
             names = self.encoder.names
             for p in new:
                 self.names[p] = " ".join([names[i] for (i,) in UNPACK(ids[p])])
-        self.bytes += ENTRY_BYTES * (len(words) + len(parts) + named * len(new))
-        self.passing = [p for p in {*words, *parts} if len(p) > LONGEST_KEPT]
+        self.bytes += ENTRY_BYTES * (len(words) + named * len(heads) + len(parts) + named * len(new))
+        self.passing = [p for p in {*words, *new} if len(p) > LONGEST_KEPT]
+        if not named:
+            self.passing += [p for p, *_ in heads]
 
 
 UNPACK = struct.Struct("<I").iter_unpack

@@ -69,6 +69,24 @@ def test_cache_keeps_a_bound_of_bytes(monkeypatch, library):
         assert sum(len(p) > bpe.LONGEST_KEPT for p in cache.ids) <= 2
 
 
+def test_words_of_the_older_generation_are_not_encoded_again(monkeypatch, library):
+    """Nor do pieces that are a word and a mark take room: the word and the mark are kept."""
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 100 * bpe.ENTRY_BYTES)
+    encoder = bpe.cache_for(PATH).encoder
+    seen, encode = [], encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda words, into: (seen.append(set(words)), encode(words, into)))
+    cache = bpe.Cache(encoder)
+    names = ["".join(chr(97 + (i // 26**k) % 26) for k in range(3)) for i in range(0, 8000, 40)]
+    cache.learn([names])
+    marked = [f"{w.title()}," for w in names]
+    cache.learn([marked])
+    assert seen == [set(names), {","}]
+    want = ids_of(library, " ".join(marked))
+    assert b"".join(cache.ids[p] for p in marked) == struct.pack(f"<{len(want)}I", *want)
+    cache.learn([["other"]])
+    assert not cache.ids.keys() & set(marked)
+
+
 def test_packing_places_every_piece_once(spark, library):
     got = packing.pack(frame(spark), PATH, capacity=64).collect()
     want = Counter()
